@@ -86,8 +86,8 @@ class PowerTable:
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            n = max(n, 1 << 16)
-            self.up, self.down = powers(self.base, n), powers(self.inverse, n)
+            most = max(n, 1 << 16)
+            self.up, self.down = powers(self.base, most), powers(self.inverse, most)
         return self.up[:n], self.down[:n]
 
 
