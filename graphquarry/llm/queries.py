@@ -35,6 +35,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_read(spark, sf_dir, "documents"), read_ranks(f"{tokenizer_dir()}/byte_bpe_50k.tiktoken"))
 
 
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import plan_mix
+
+    return plan_mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"), F.to_json("draws").alias("draws"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import digest_conversations, format_conversations
 
@@ -51,7 +57,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_suffix_dedup, op4_token_counts, op9_chat_format, op10_html_text)
+    f.__name__: f for f in (op1_suffix_dedup, op4_token_counts, op7_source_mix, op9_chat_format, op10_html_text)
 }
 
 ORACLE_SQL: dict[str, str] = {}
