@@ -29,6 +29,12 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .contamination import find_passages
+
+    return find_passages(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokens import count_tokens, read_ranks
 
@@ -57,7 +63,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_suffix_dedup, op4_token_counts, op7_source_mix, op9_chat_format, op10_html_text)
+    f.__name__: f for f in (op1_suffix_dedup, op3_decontaminate, op4_token_counts, op7_source_mix, op9_chat_format, op10_html_text)
 }
 
 ORACLE_SQL: dict[str, str] = {}
