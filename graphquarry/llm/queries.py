@@ -41,6 +41,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_read(spark, sf_dir, "documents"), read_ranks(f"{tokenizer_dir()}/byte_bpe_50k.tiktoken"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import resample
+
+    return resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import plan_mix
 
@@ -63,7 +69,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_suffix_dedup, op3_decontaminate, op4_token_counts, op7_source_mix, op9_chat_format, op10_html_text)
+    f.__name__: f for f in (op1_suffix_dedup, op3_decontaminate, op4_token_counts, op6_quality, op7_source_mix, op9_chat_format, op10_html_text)
 }
 
 ORACLE_SQL: dict[str, str] = {}
