@@ -41,6 +41,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_read(spark, sf_dir, "documents"), read_ranks(f"{tokenizer_dir()}/byte_bpe_50k.tiktoken"))
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import similar_documents
+
+    return similar_documents(_read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import resample
 
@@ -69,7 +75,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_suffix_dedup, op3_decontaminate, op4_token_counts, op6_quality, op7_source_mix, op9_chat_format, op10_html_text)
+    f.__name__: f for f in (op1_suffix_dedup, op3_decontaminate, op4_token_counts, op5_ngram_jaccard, op6_quality, op7_source_mix, op9_chat_format, op10_html_text)
 }
 
 ORACLE_SQL: dict[str, str] = {}
