@@ -29,6 +29,12 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .classlm import score_texts
+
+    return score_texts(_read(spark, sf_dir, "documents"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .contamination import find_passages
 
@@ -75,7 +81,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_suffix_dedup, op3_decontaminate, op4_token_counts, op5_ngram_jaccard, op6_quality, op7_source_mix, op9_chat_format, op10_html_text)
+    f.__name__: f for f in (op1_suffix_dedup, op2_class_lm, op3_decontaminate, op4_token_counts, op5_ngram_jaccard, op6_quality, op7_source_mix, op9_chat_format, op10_html_text)
 }
 
 ORACLE_SQL: dict[str, str] = {}
