@@ -1,11 +1,65 @@
-"""Corpus cleaning: five stages over ``documents``."""
+"""Corpus cleaning: five stages over ``documents``, each on what the one before kept."""
 
 from __future__ import annotations
 
-STAGES: list = []
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphquarry.llm.common import materialize
+from graphquarry.llm.contamination import drop_contaminated
+from graphquarry.llm.jaccard import one_of_each
+from graphquarry.llm.mixing import mixed, plan_mix
+from graphquarry.llm.quality import resample
+from graphquarry.llm.substrings import drop_repeated_substrings
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return resample(docs, labels, carry=tuple(docs.columns)).filter("accepted").select(*docs.columns)
+
+
+def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return one_of_each(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without what repeats over 400 bytes; a document of which nothing is left goes."""
+    cut = drop_repeated_substrings(docs, carry=tuple(docs.columns), characters=True)
+    changed = F.size("spans") > 0
+    text = F.when(changed, F.col("kept").cast("string")).otherwise(F.col("text"))
+    out = cut.filter(~changed | (F.octet_length("kept") > 0)).withColumn("text", text)
+    return out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark passage stands."""
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Copies of documents as the mix takes them, with shard, epoch and place in the shard."""
+    columns = tuple(docs.columns)
+    return mixed(plan_mix(docs, carry=columns), columns)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", keep_quality),
+    ("near_duplicates", keep_one_of_similar),
+    ("repeats", cut_repeats),
+    ("benchmark", drop_benchmark),
+    ("mix", mix_sources),
+]
+
+#: SQL can't express the stages; they are tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -214,3 +215,22 @@ def find_passages(docs: DataFrame, items: DataFrame, text: str = "text", keys: t
         part = picked.mapInPandas(searcher(sent), schema)
         out = part if out is None else out.unionByName(part)
     return spark.createDataFrame([], schema) if out is None else out
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", q: int = Q, rate: float = RATE) -> DataFrame:
+    """``docs`` without the rows in which an item stands (see :func:`find_passages`). Row by row, no shuffle."""
+    spark, columns, out = docs.sparkSession, docs.columns, docs
+    listed = items.select(item, F.col(item_text).alias("__text")).filter("length(__text) > 0").toLocalIterator()
+
+    def cleaner(sent, at: int):
+        def run(batches):
+            index: Index = sent.value
+            for batch in batches:
+                yield batch.filter(pa.array([not (t and index.search(t)) for t in batch.column(at).to_pylist()], pa.bool_()))
+
+        return run
+
+    for some in chunks(listed, INDEX_CHARS, lambda r: len(r["__text"])):
+        sent = spark.sparkContext.broadcast(Index([(r[item], r["__text"]) for r in some], q, rate))
+        out = out.mapInArrow(cleaner(sent, columns.index(text)), docs.schema)
+    return out

@@ -412,6 +412,25 @@ def similar_documents(docs: DataFrame, text: str = "text", carry: tuple[str, ...
     return out.select(*(F.col(f"c{kept.index(c)}").alias(c) for c in carry), "n_shingles", "set_name", F.when(F.col("n_shingles") == 0, own).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``docs`` with one row of each component: that of the least id.
+
+    Texts without words all stay. Of rows with the same id in a component one
+    stays; rows without an id go only if their set stands in a component that
+    has one, or is a copy of another such row's.
+    """
+    columns = docs.columns
+    found = materialize(similar_documents(docs, text, (doc_id,), doc_id).filter("n_shingles > 0").select(F.col(doc_id).alias("id"), "set_name", "component_id"), "similar")
+    keep = found.filter("id = component_id").groupBy("component_id").agg(F.min("set_name").alias("set_name")).union(found.filter("component_id is null").select("component_id", "set_name").distinct())
+    named = docs.select(*(F.col(c).alias(f"c{k}") for k, c in enumerate(columns)), empty_binary(F.col(text)).alias("__text"))
+    schema = ", ".join(f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(docs.schema)) + ", n_shingles long, set_name binary"
+    named = named.mapInArrow(_describe([f"c{k}" for k in range(len(columns))], _arrow(docs.sparkSession.createDataFrame([], schema))), schema)
+    own = f"c{columns.index(doc_id)}"
+    one = named.filter("n_shingles > 0").join(keep, "set_name").filter(F.col(own).eqNullSafe(F.col("component_id"))).dropDuplicates(["set_name", own])
+    picked = [F.col(f"c{k}").alias(c) for k, c in enumerate(columns)]
+    return one.select(*picked).union(named.filter("n_shingles = 0").select(*picked))
+
+
 def _arrow(df: DataFrame) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 

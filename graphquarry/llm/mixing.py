@@ -76,7 +76,7 @@ def plan_mix(
     spark = docs.sparkSession
     key = F.xxhash64(F.lit(seed), *(F.col(c) for c in dict.fromkeys((*carry, text))))
     sized = docs.select(*carry, F.col(source).alias("__s"), word_count(F.col(text)).alias("size"), key.alias("__u"))
-    found = sized.groupBy("__s").agg(F.sum("size").alias("n")).limit(MOST_SOURCES + 1).collect()
+    found = sized.groupBy("__s").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).limit(MOST_SOURCES + 1).collect()
     if len(found) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
     found.sort(key=lambda r: (r["__s"] is None, (r["__s"] or "").encode()))
@@ -84,7 +84,8 @@ def plan_mix(
     targets = fill_targets(sizes, [weights[k % len(weights)] for k in range(len(found))], most)
     passes = [int(t // s) if s else 0 for s, t in zip(sizes, targets)]
     rest = [t - p * s if p < most else 0.0 for s, t, p in zip(sizes, targets, passes)]
-    small = max(1, min(block_words, int(sum(sizes)) // 100))
+    mean = sum(sizes) / max(1, sum(r["rows"] for r in found))
+    small = max(1, min(block_words, int(max(sum(sizes) / 100, 64 * mean))))  # some blocks, of many rows each
     blocks = [max(1, -(-int(s) // small)) for s in sizes]
     rows = [(k, r["__s"], s, t, p, x, b) for k, (r, s, t, p, x, b) in enumerate(zip(found, map(int, sizes), targets, passes, rest, blocks))]
     sources = F.broadcast(spark.createDataFrame(rows, f"__k int, __name {dict(docs.dtypes)[source]}, source_size long, target double, __passes int, __rest double, __blocks long"))

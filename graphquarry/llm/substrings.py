@@ -220,7 +220,16 @@ def _unite(spans: np.ndarray) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _cut(schema: pa.Schema):
+def _whole(text: bytes, a: int, b: int) -> tuple[int, int]:
+    """The stretch with the characters that it touches."""
+    while a and text[a] & 0xC0 == 0x80:
+        a -= 1
+    while b < len(text) and text[b] & 0xC0 == 0x80:
+        b += 1
+    return a, b
+
+
+def _cut(schema: pa.Schema, characters: bool):
     def run(table: pa.Table, found: pa.Table) -> pa.Table:
         spans: dict[bytes, list[tuple[int, int]]] = {}
         if len(found):
@@ -231,10 +240,12 @@ def _cut(schema: pa.Schema):
         kept, cuts = [], []
         for text in table.column("__text").to_pylist():
             cut = spans.get(_digest(text), []) if spans else []
+            if characters:
+                cut = [_whole(text, a, b) for a, b in cut]
             at, rest = 0, []
             for a, b in cut:
                 rest.append(text[at:a])
-                at = b
+                at = max(at, b)
             kept.append(b"".join([*rest, text[at:]]) if cut else text)
             cuts.append([{"start": a, "end": b} for a, b in cut])
         out = table.drop_columns(["__block", "__text"])
@@ -244,11 +255,12 @@ def _cut(schema: pa.Schema):
     return run
 
 
-def drop_repeated_substrings(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id",), span: int = 400, gram: int = 51) -> DataFrame:
+def drop_repeated_substrings(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id",), span: int = 400, gram: int = 51, characters: bool = False) -> DataFrame:
     """``carry`` with ``kept`` (binary, the bytes left) and ``spans`` (the bytes cut, array of start and end).
 
     Texts are UTF-8 bytes, null is empty; a text below ``span`` bytes stays as
-    it is. Every row counts: repeated rows are copies of each other, whatever
+    it is. With ``characters`` a stretch takes along the characters whose bytes it
+    splits, so what is left is UTF-8. Every row counts: repeated rows are copies of each other, whatever
     their ids, and null or equal ids do no harm, as places are found by content.
     ``carry`` columns come back unchanged; others are ignored.
     """
@@ -264,4 +276,4 @@ def drop_repeated_substrings(docs: DataFrame, text: str = "text", carry: tuple[s
     kinds = docs.select(*carry).schema
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds) + ", kept binary, spans array<struct<start:int,end:int>>"
     spans = pa.schema([("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
-    return dealt.groupBy("__block").cogroup(found.groupBy("__block")).applyInArrow(_cut(spans), schema)
+    return dealt.groupBy("__block").cogroup(found.groupBy("__block")).applyInArrow(_cut(spans, characters), schema)
