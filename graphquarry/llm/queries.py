@@ -65,6 +65,14 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan_mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"), F.to_json("draws").alias("draws"))
 
 
+def op8_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edited pictures of every 50th vector, searched for among the pictures of all."""
+    from .images import find_copies, picture_rows
+
+    vectors = _read(spark, sf_dir, "embeddings")
+    return find_copies(picture_rows(vectors, "vec_id", "embedding"), picture_rows(vectors, "vec_id", "embedding", edit=True), "vec_id")
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import digest_conversations, format_conversations
 
@@ -81,7 +89,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_suffix_dedup, op2_class_lm, op3_decontaminate, op4_token_counts, op5_ngram_jaccard, op6_quality, op7_source_mix, op9_chat_format, op10_html_text)
+    f.__name__: f for f in (op1_suffix_dedup, op2_class_lm, op3_decontaminate, op4_token_counts, op5_ngram_jaccard, op6_quality, op7_source_mix, op8_image_copies, op9_chat_format, op10_html_text)
 }
 
 ORACLE_SQL: dict[str, str] = {}
