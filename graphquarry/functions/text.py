@@ -1,0 +1,75 @@
+"""Scalar text functions as column expressions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def collapse(c: Column) -> Column:
+    return F.trim(F.regexp_replace(c, r"\s+", " "))
+
+
+def truncate(c: Column, most: int) -> Column:
+    return F.when(F.length(c) > most, F.concat(F.substring(c, 1, most), F.lit("…"))).otherwise(c)
+
+
+def utf16_length(c: Column) -> Column:
+    return (F.octet_length(F.encode(c, "UTF-16BE")) / 2).cast("long")
+
+
+def token_estimate(chars: Column) -> Column:
+    """Tokens of so many characters, four each, rounded up."""
+    return F.ceil(chars / 4).cast("long")
+
+
+def first_sentence(doc: Column, most: int = 100) -> Column:
+    return truncate(F.element_at(F.split(collapse(doc), r"(?<=[.!?])\s"), 1), most)
+
+
+def unquote(c: Column) -> Column:
+    return F.regexp_extract(c, r"""^(['"`])(.*)\1$""", 2)
+
+
+def reindent(c: Column) -> Column:
+    """Lines without the indent that all filled ones share."""
+    lines = F.split(c, "\n")
+    widths = F.transform(F.filter(lines, lambda x: F.trim(x) != ""), lambda x: F.length(x) - F.length(F.ltrim(x)))
+    common = F.coalesce(F.array_min(widths), F.lit(0))
+    return F.array_join(F.transform(lines, lambda x: F.substr(x, common + 1)), "\n")
+
+
+def line_slice(c: Column, first: Column, last: Column) -> Column:
+    """Lines ``first`` to ``last``, counted from 1."""
+    return F.array_join(F.slice(F.split(c, "\n"), first, F.greatest(last - first + 1, F.lit(0))), "\n")
+
+
+def external_name(qualifier: Column, name: Column) -> Column:
+    return F.concat(F.coalesce(F.concat(qualifier, F.lit(".")), F.lit("")), name)
+
+
+def relative_path(path: Column, root: str) -> Column:
+    clean = F.regexp_replace(path, r"\\", "/")
+    base = root.replace("\\", "/").rstrip("/") + "/"
+    return F.when(clean.startswith(base), F.substr(clean, F.lit(len(base) + 1))).otherwise(clean)
+
+
+def age(seconds: Column) -> Column:
+    return (F.when(seconds < 60, "just now").when(seconds < 3600, F.concat(F.floor(seconds / 60).cast("string"), F.lit(" min ago")))
+            .when(seconds < 86400, F.concat(F.floor(seconds / 3600).cast("string"), F.lit(" h ago"))).otherwise(F.concat(F.floor(seconds / 86400).cast("string"), F.lit(" days ago"))))
+
+
+def answer(reply: Column) -> Column:
+    """What the last line that begins with ``ANSWER:`` says, else the whole reply."""
+    lines = F.filter(F.split(F.coalesce(reply, F.lit("")), r"\r?\n"), lambda x: x.rlike(r"(?i)^\s*\**answer:"))
+    return F.coalesce(F.trim(F.regexp_replace(F.try_element_at(lines, F.lit(-1)), r"(?i)^\s*\**answer:\**", "")), reply)
+
+
+def csv_field(c: Column) -> Column:
+    text = F.coalesce(c.cast("string"), F.lit(""))
+    return F.when(text.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
+
+
+def is_code(token: Column) -> Column:
+    """Whether a word looks like an identifier: inner capitals, an underscore, a digit or a dollar sign, not all capitals."""
+    return token.rlike(r"[a-z][A-Z]|[_$0-9]") & ~token.rlike(r"^[A-Z0-9_]+$")
