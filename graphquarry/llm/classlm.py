@@ -35,7 +35,7 @@ from .suffixes import pack, unpack
 #: Words whose bigrams the driver clusters, and classes (besides those of the end and of unseen words).
 FREQUENT, CLASSES = 512, 60
 #: Tokens in a block, and bytes of input for each partition of words.
-BLOCK_TOKENS, PART_BYTES = 1 << 20, 8 << 20
+BLOCK_TOKENS, PART_BYTES = 1 << 19, 4 << 20
 #: Weight of the class distribution in smoothed transitions.
 MU = 20.0
 END = b""
