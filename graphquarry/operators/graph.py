@@ -59,7 +59,8 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
     """``(id, rank)`` by weights ``sqrt(n)`` of ``edges (src, dst, n)``.
 
     Self-edges and edges with unknown ends are dropped, dangling mass is spread
-    evenly, and it ends when the ranks change by less than ``tolerance`` in all.
+    evenly, and it ends when the ranks change by less than ``tolerance`` in all,
+    which is looked at after ``every`` rounds.
     """
     ids = cut(nodes.select("id").distinct())
     n = ids.count()
@@ -73,9 +74,8 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
         dangling = ranks.join(sources, "id", "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("d"))
         inflow = share.join(ranks, F.col("src") == F.col("id")).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("flow"))
         new = ids.join(inflow, F.col("id") == F.col("dst"), "left").crossJoin(F.broadcast(dangling)).select("id", (F.lit((1 - damping) / n) + damping / n * F.col("d") + damping * F.coalesce("flow", F.lit(0.0))).alias("rank"))
-        last = (k + 1) % every == 0 or k + 1 == rounds
-        new = cut(new) if last else new
-        if last and tolerance > 0 and k + 1 < rounds:
+        new = cut(new)
+        if (k + 1) % every == 0 and tolerance > 0 and k + 1 < rounds:
             moved = new.join(ranks.withColumnRenamed("rank", "was"), "id").agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0]
             if moved < tolerance:
                 return new

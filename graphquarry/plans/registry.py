@@ -339,11 +339,11 @@ def r22_namespace_prefixes(spark, d):
     return name.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("p")), lambda k: F.array_join(F.slice("p", F.lit(1), k), "."))).alias("namespace")).distinct()
 
 
-@query("SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'added' WHEN b.doc_id IS NULL THEN 'gone' WHEN a.h = b.h THEN 'unchanged' ELSE 'changed' END AS state FROM (SELECT doc_id, md5(text) AS h FROM documents WHERE doc_id % 7 <> 0) a FULL JOIN (SELECT doc_id, md5(CASE WHEN doc_id % 5 = 0 THEN text || 'x' ELSE text END) AS h FROM documents WHERE doc_id % 11 <> 0) b ON a.doc_id = b.doc_id")
+@query("SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'added' WHEN b.doc_id IS NULL THEN 'gone' WHEN a.h = b.h THEN 'unchanged' ELSE 'changed' END AS state FROM (SELECT doc_id, md5(text) AS h FROM documents WHERE source <> 'src7') a FULL JOIN (SELECT doc_id, md5(CASE WHEN lang = 'de' THEN text || 'x' ELSE text END) AS h FROM documents WHERE source <> 'src11') b ON a.doc_id = b.doc_id")
 def x5_full_sync(spark, d):
     docs = read(spark, d, "documents")
-    old = docs.filter("doc_id % 7 <> 0").select("doc_id", F.md5("text").alias("hash"))
-    new = docs.filter("doc_id % 11 <> 0").select("doc_id", F.md5(F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text"))).alias("hash"))
+    old = docs.filter("source <> 'src7'").select("doc_id", F.md5("text").alias("hash"))
+    new = docs.filter("source <> 'src11'").select("doc_id", F.md5(F.when(F.col("lang") == "de", F.concat("text", F.lit("x"))).otherwise(F.col("text"))).alias("hash"))
     return relate.changes(old, new, "doc_id")
 
 
