@@ -18,9 +18,10 @@ with another seed, where it meets all sets in the same case. Contents that more
 than ``CROWD`` sets share are not paired off, and need not be, but for sets in
 which they weigh more than ``spare`` together with the empty ones.
 
-Candidates are verified on the texts. Links are found in two rounds: each set
-with its most frequent companion, then all candidates that are not yet in one
-component.
+Candidates are verified on the texts. Links are found in three rounds: each set
+with its most frequent companion; then, of candidates that are not yet in one
+component and whose sketches (which bound the difference from below) allow a
+link, as many as would join the components; then all that are still apart.
 """
 
 from __future__ import annotations
@@ -42,8 +43,10 @@ from .suffixes import pack, unpack
 WORDS, PERCENT = 5, 80
 #: Levels of hashing; members of a content that are paired off at most.
 LEVELS, CROWD = 6, 32
+#: Bits of the least sketch.
+SKETCH = 512
 #: Bytes of text that are shingled at once, signatures that a task holds, and bytes of input for each partition of signatures.
-PIECE, HELD, PART_BYTES = 1 << 19, 1 << 21, 8 << 20
+PIECE, HELD, PART_BYTES = 1 << 19, 1 << 20, 8 << 20
 
 
 def band_bounds(most: int = 1 << 31) -> list[tuple[int, int]]:
@@ -137,6 +140,29 @@ def _names(one: np.ndarray, two: np.ndarray) -> list[bytes]:
     return [both[k:k + 16] for k in range(0, len(both), 16)]
 
 
+def sketches(shingles: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """The parity of each set's shingles in each of ``SKETCH`` or more classes, at least four for each shingle.
+
+    A shingle that only one of two sets has turns one bit over, so sketches
+    differ in no more bits than sets do in shingles. Numbers of classes are
+    powers of two; a wider sketch is folded by XOR of its halves.
+    """
+    mixed, out, at = mix64(shingles ^ U64(0x2545F4914F6CDD1D)), [], 0
+    for n in sizes.tolist():
+        wide = max(SKETCH, 1 << (4 * n - 1).bit_length()) if n else SKETCH
+        place = (mixed[at:at + n] & U64(wide - 1)).astype(np.int64)
+        out.append(np.packbits((np.bincount(place, minlength=wide) & 1).astype(np.uint8)).tobytes())
+        at += n
+    return out
+
+
+def fold(bits: bytes, size: int) -> np.ndarray:
+    x = np.frombuffer(bits, dtype=np.uint8)
+    while len(x) > size:
+        x = x[:len(x) // 2] ^ x[len(x) // 2:]
+    return x
+
+
 def signatures(shingles: np.ndarray, sizes: np.ndarray, plan: np.ndarray, lower: bool):
     """Signatures in each set's own band, or in the band below.
 
@@ -306,14 +332,57 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in chunks(batch.column("__text").to_pylist(), PIECE):
             shingles, sizes = shingle_sets(some)
             one, two = set_keys(shingles, sizes)
-            for text, name, key, n in zip(some, _names(one, two), one.view(np.int64).tolist(), sizes.tolist()):
+            for text, name, key, n, bits in zip(some, _names(one, two), one.view(np.int64).tolist(), sizes.tolist(), sketches(shingles, sizes)):
                 if n and name not in seen:
                     seen.add(name)
-                    rows.append((key, name, n, text))
+                    rows.append((key, name, n, text, bits))
         if len(seen) > 500_000:
             seen.clear()
-        columns = list(zip(*rows)) if rows else [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.int64(), pa.binary()))], names=["k", "c", "n", "text"])
+        columns = list(zip(*rows)) if rows else [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary()))], names=["k", "c", "n", "text", "bits"])
+
+
+def _plausible(forest: bool):
+    """Pairs of each group's members of different components whose sizes and sketches allow a link.
+
+    With ``forest`` no more than would join all components of the task's rows.
+    """
+    def run(table: pa.Table) -> pa.Table:
+        gid, n = (table.column(c).to_numpy() for c in ("gid", "n"))
+        names, bits = table.column("c").to_pylist(), table.column("bits").to_pylist()
+        ids: dict[bytes, int] = {}
+        root = np.fromiter((ids.setdefault(r, len(ids)) for r in table.column("root").to_pylist()), dtype=np.int64, count=len(gid))
+        above = list(range(len(ids)))
+
+        def find(k: int) -> int:
+            while above[k] != k:
+                above[k] = k = above[above[k]]
+            return k
+
+        order = np.lexsort((n, gid))
+        out: set[tuple[bytes, bytes]] = set()
+        for here in np.split(order, np.flatnonzero(np.diff(gid[order]) != 0) + 1):
+            least = min(len(bits[k]) for k in here)
+            sketch = np.stack([fold(bits[k], least) for k in here]).view(U64)
+            size, roots = n[here], root[here]
+            for k in range(len(here) - 1):
+                to = int(np.searchsorted(size, size[k] * 100 // PERCENT, side="right"))
+                rest = k + 1 + np.flatnonzero(roots[k + 1:to] != roots[k])
+                if not len(rest):
+                    continue
+                apart = np.bitwise_count(sketch[rest] ^ sketch[k]).sum(axis=1, dtype=np.int64)
+                for j in rest[apart <= (size[rest] + size[k]) * (100 - PERCENT) // (100 + PERCENT)].tolist():
+                    if forest:
+                        x, y = find(int(roots[k])), find(int(roots[j]))
+                        if x == y:
+                            continue
+                        above[y] = x
+                    x, y = names[here[k]], names[here[j]]
+                    out.add((min(x, y), max(x, y)))
+        a, b = zip(*out) if out else ((), ())
+        return pa.table({"a": pa.array(list(a), pa.binary()), "b": pa.array(list(b), pa.binary())})
+
+    return run
 
 
 def exact_shingles(text: bytes) -> set[tuple[bytes, ...]]:
@@ -378,7 +447,7 @@ def similar_documents(docs: DataFrame, text: str = "text", carry: tuple[str, ...
     parts = parts_for(docs, PART_BYTES)
     found = materialize(body.mapInArrow(_sign(plan, parts), "part long, run binary").groupBy("part").applyInArrow(_meet(crowd), _FOUND), "met")
     wanted = found.select(F.explode("members").alias("k")).distinct()
-    texts = materialize(body.mapInArrow(_texts, "k long, c binary, n long, text binary").join(wanted, "k", "left_semi").dropDuplicates(["k", "c"]), "texts")
+    texts = materialize(body.mapInArrow(_texts, "k long, c binary, n long, text binary, bits binary").join(wanted, "k", "left_semi").dropDuplicates(["k", "c"]), "texts")
     names = texts.select("k", "c", "n")
 
     companions = found.select(F.element_at("members", 1).alias("p"), F.explode(F.slice("members", 2, 1 << 30)).alias("k")).groupBy("k", "p").count()
@@ -387,22 +456,19 @@ def similar_documents(docs: DataFrame, text: str = "text", carry: tuple[str, ...
     first = materialize(_links(pairs, texts), "links")
     labels = connected_components(first)
 
-    def placed(members: DataFrame) -> DataFrame:
-        """(gid, k) with set name, size and component so far."""
-        return members.join(names, "k").join(labels.withColumnRenamed("v", "c"), "c", "left").select("gid", "c", "n", F.coalesce("root", "c").alias("root"))
-
-    small = placed(found.filter("kind = 0").dropDuplicates(["gid"]).select("gid", F.explode("members").alias("k")))
-    fits = "root <> b.root and a.c < b.c and least(a.n, b.n) * 100 >= greatest(a.n, b.n) * {}".format(PERCENT)
-    mixed = small.groupBy("gid").agg(F.collect_list(F.struct("c", "n", "root")).alias("m"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1")
-    apart = mixed.select(F.explode("m").alias("a"), "m").select("a", F.explode("m").alias("b")).filter("a." + fits).select(F.col("a.c").alias("a"), F.col("b.c").alias("b"))
+    small = found.filter("kind = 0").dropDuplicates(["gid"]).select("gid", F.explode("members").alias("k"))
     crowds = found.filter("kind = 1").select("gid", "weight", F.explode(F.arrays_zip("members", "slack", "code")).alias("x")).select("gid", "weight", F.col("x.members").alias("k"), F.col("x.slack").alias("slack"), F.col("x.code").alias("code")).distinct()
     dense = crowds.groupBy("k", "code", "slack").agg(F.sum("weight").alias("w")).filter("w >= slack").select("k", "code").distinct()
-    packed = materialize(placed(crowds.join(dense, ["k", "code"], "left_semi").select("gid", "k").distinct()), "crowds")
-    split = packed.groupBy("gid").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("gid")
-    packed = packed.join(split, "gid", "left_semi")
-    across = packed.alias("a").join(packed.alias("b"), F.expr("a.gid = b.gid and a." + fits)).select(F.col("a.c").alias("a"), F.col("b.c").alias("b"))
-    second = _links(materialize(apart.union(across).distinct(), "pairs"), texts)
-    roots = connected_components(labels.toDF("a", "b").union(second))
+    named = small.union(crowds.join(dense, ["k", "code"], "left_semi").select("gid", "k").distinct()).join(names, "k").select("gid", "c", "n")
+    for forest in (True, False):
+        placed = materialize(named.join(labels.withColumnRenamed("v", "c"), "c", "left").select("gid", "c", "n", F.coalesce("root", "c").alias("root")), "members")
+        split = placed.groupBy("gid").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("gid")
+        open_groups = materialize(placed.join(split, "gid", "left_semi"), "open")
+        dealt = open_groups.join(texts.select("c", "bits"), "c").withColumn("part", F.pmod("gid", F.lit(parts * 4)))
+        pairs = materialize(dealt.groupBy("part").applyInArrow(_plausible(forest), "a binary, b binary").distinct(), "pairs")
+        labels = connected_components(labels.toDF("a", "b").union(_links(pairs, texts)))
+        named = open_groups.select("gid", "c", "n")
+    roots = labels
 
     ids = narrow.filter("n_shingles > 0").groupBy("set_name").agg(F.min("id").alias("least")).join(roots.withColumnRenamed("v", "set_name"), "set_name", "left").withColumn("root", F.coalesce("root", "set_name"))
     least = ids.groupBy("root").agg(F.min("least").alias("component_id"))
