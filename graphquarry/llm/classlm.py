@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, empty_binary, materialize, parts_for, word_hashes
+from .common import U64, empty_binary, materialize, parts_for, small_batches, word_hashes
 from .suffixes import pack, unpack
 
 #: Words whose bigrams the driver clusters, and classes (besides those of the end and of unseen words).
@@ -305,6 +305,7 @@ def score_texts(
     words. Null or empty text is an end token. Repeated rows each count.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     from .jaccard import _arrow
 
     cols = [f"c{k}" for k in range(len(carry))]

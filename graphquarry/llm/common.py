@@ -41,6 +41,18 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch at most: with long texts, a worker's memory follows the batch.
+BATCH_ROWS = 1024
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hold the session's Arrow batches to ``BATCH_ROWS`` rows, where it allows more."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the input's bytes: a partition count without a job."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, PowerTable, chunks, mix64
+from .common import U64, PowerTable, chunks, mix64, small_batches
 
 #: Length of a gram, and edits allowed for each character of an item.
 Q, RATE = 8, 0.08
@@ -191,6 +191,7 @@ def find_passages(docs: DataFrame, items: DataFrame, text: str = "text", keys: t
     ``INDEX_CHARS`` characters at a time, one pass over ``docs`` for each.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     kinds, kind = dict(docs.dtypes), dict(items.dtypes)[item]
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + f", `{item}` {kind}, start int, end int, edits int"
     picked = docs.select(*keys, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
@@ -220,6 +221,7 @@ def find_passages(docs: DataFrame, items: DataFrame, text: str = "text", keys: t
 def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", q: int = Q, rate: float = RATE) -> DataFrame:
     """``docs`` without the rows in which an item stands (see :func:`find_passages`). Row by row, no shuffle."""
     spark, columns, out = docs.sparkSession, docs.columns, docs
+    small_batches(spark)
     listed = items.select(item, F.col(item_text).alias("__text")).filter("length(__text) > 0").toLocalIterator()
 
     def cleaner(sent, at: int):

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, chunks, empty_binary, materialize, mix64, parts_for, word_hashes
+from .common import U64, chunks, empty_binary, materialize, mix64, parts_for, small_batches, word_hashes
 from .components import connected_components
 from .suffixes import pack, unpack
 
@@ -422,6 +422,7 @@ def similar_documents(docs: DataFrame, text: str = "text", carry: tuple[str, ...
     absent from the minimum. Repeated rows stay.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     body = docs.select(empty_binary(F.col(text)).alias("__text"))
     kept = [*dict.fromkeys((*carry, doc_id))]
     described = docs.select(*(F.col(c).alias(f"c{k}") for k, c in enumerate(kept)), empty_binary(F.col(text)).alias("__text"))
