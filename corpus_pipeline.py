@@ -27,8 +27,8 @@ def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without what repeats over 400 bytes; a document of which nothing is left goes."""
-    cut = drop_repeated_substrings(docs, carry=tuple(docs.columns), characters=True)
+    """Texts without what repeats over 400 bytes or over 50 words; a document of which nothing is left goes."""
+    cut = drop_repeated_substrings(docs, carry=tuple(docs.columns), characters=True, words=51)
     changed = F.size("spans") > 0
     text = F.when(changed, F.col("kept").cast("string")).otherwise(F.col("text"))
     out = cut.filter(~changed | (F.octet_length("kept") > 0)).withColumn("text", text)

@@ -30,14 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, PowerTable, chunks, empty_binary, mix64, parts_for
+from .common import SPACE, U64, PowerTable, chunks, empty_binary, mix64, parts_for, word_hashes
 from .suffixes import front_code, front_decode, merge, pack, unpack
 
 #: Bytes of a block of documents and of a partition of runs, as the files have them.
 BLOCK_BYTES, PART_BYTES = 4 << 20, 8 << 20
 #: Bytes of text whose anchors are found at once; a longer text is read in pieces.
 PIECE = 1 << 18
-_TABLE = PowerTable(0xD6E8FEB86659FD93)
+_TABLE, _OTHER = PowerTable(0xD6E8FEB86659FD93), PowerTable(0xA3B195354A39B70D)
 _LOW = 20
 
 
@@ -229,6 +229,86 @@ def _whole(text: bytes, a: int, b: int) -> tuple[int, int]:
     return a, b
 
 
+def word_windows(texts: list[bytes], words: int, gram: int = 8) -> tuple[np.ndarray, ...]:
+    """For all windows of ``words`` words: text number, number of the first word, hash of the least gram, two hashes."""
+    hashes, counts = word_hashes(texts)
+    doc, n = np.repeat(np.arange(len(texts)), counts), len(hashes) - words + 1
+    if n < 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), *(np.zeros(0, U64) for _ in range(3))
+
+    def rolled(table: PowerTable, width: int) -> np.ndarray:
+        up, down = table.upto(len(hashes) + 1)
+        sums = np.concatenate([np.zeros(1, U64), np.cumsum(hashes * up[: len(hashes)], dtype=U64)])
+        return mix64((sums[width:] - sums[:-width]) * down[: len(hashes) - width + 1])
+
+    good = np.flatnonzero(doc[:n] == doc[words - 1:])
+    least = _least(rolled(_TABLE, gram), words - gram + 1)
+    return doc[good], good, least[good], rolled(_TABLE, words)[good], rolled(_OTHER, words)[good]
+
+
+def _counted(hashes: np.ndarray, names: tuple[str, ...], block: int) -> pa.Table:
+    """Distinct rows of ``hashes`` and how often each is there."""
+    found, n = np.unique(hashes, axis=0, return_counts=True)
+    return pa.table({"__block": np.full(len(n), block, np.int64), **{c: found[:, k].view(np.int64) for k, c in enumerate(names)}, "n": n.astype(np.int64)})
+
+
+def _pieces(table: pa.Table):
+    return chunks(table.column("__text").to_pylist(), PIECE)
+
+
+def _count_word_grams(words: int):
+    def run(table: pa.Table) -> pa.Table:
+        # Windows side by side share their least gram, so it counts once for each run of them, and again where windows of one piece are equal.
+        rows = [np.zeros(0, U64)]
+        for some in _pieces(table):
+            doc, _, least, one, _ = word_windows(some, words)
+            _, of, n = np.unique(one, return_inverse=True, return_counts=True)
+            rows.append(least[n[of] > 1])
+            rows.append(least[(np.diff(least, prepend=U64(0)) != 0) | (np.diff(doc, prepend=-1) != 0)])
+        return _counted(np.concatenate(rows)[:, None], ("gram",), table.column("__block")[0].as_py())
+
+    return run
+
+
+def _count_windows(words: int):
+    def run(table: pa.Table, twice: pa.Table) -> pa.Table:
+        known, rows = twice.column("gram").to_numpy().view(U64), [np.zeros((0, 2), U64)]
+        for some in _pieces(table) if len(known) else ():
+            _, _, least, one, two = word_windows(some, words)
+            rows.append(np.stack([one, two], 1)[np.isin(least, known)])
+        return _counted(np.concatenate(rows), ("one", "two"), table.column("__block")[0].as_py() if len(table) else 0)
+
+    return run
+
+
+def _word_places(words: int):
+    def run(table: pa.Table, again: pa.Table) -> pa.Table:
+        first = np.sort(again.column("one").to_numpy().view(U64))
+        known = set(zip(again.column("one").to_pylist(), again.column("two").to_pylist()))
+        names, places = [], []
+        for some in _pieces(table) if known else ():
+            doc, at, _, one, two = word_windows(some, words)
+            hit = np.flatnonzero(np.isin(one, first))
+            hit = hit[[x in known for x in zip(one[hit].view(np.int64).tolist(), two[hit].view(np.int64).tolist())]] if len(hit) else hit
+            if not len(hit):
+                continue
+            space = SPACE[np.frombuffer(b" ".join(some) + b" ", dtype=np.uint8)]
+            edge = np.diff(space.astype(np.int8), prepend=np.int8(1))
+            start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+            base = np.cumsum([0, *(len(t) + 1 for t in some)])
+            new = np.flatnonzero((np.diff(at[hit], prepend=-2) != 1) | (np.diff(doc[hit], prepend=-1) != 0))
+            for a, b in zip(new.tolist(), [*new[1:].tolist(), len(hit)]):
+                d, low, high = doc[hit[a]], at[hit[a]], at[hit[b - 1]] + words - 1
+                names.append(_digest(some[d]))
+                places.append((start[low] - base[d], end[high] - base[d]))
+        block = table.column("__block")[0].as_py() if len(table) else 0
+        a, b = np.array(places, np.int32).reshape(-1, 2).T
+        out = pa.table({"__block": np.full(len(a), block, np.int64), "digest": pa.array(names, pa.binary()), "a": a, "b": b})
+        return out.group_by(["__block", "digest", "a", "b"]).aggregate([])
+
+    return run
+
+
 def _cut(schema: pa.Schema, characters: bool):
     def run(table: pa.Table, found: pa.Table) -> pa.Table:
         spans: dict[bytes, list[tuple[int, int]]] = {}
@@ -255,14 +335,17 @@ def _cut(schema: pa.Schema, characters: bool):
     return run
 
 
-def drop_repeated_substrings(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id",), span: int = 400, gram: int = 51, characters: bool = False) -> DataFrame:
+def drop_repeated_substrings(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id",), span: int = 400, gram: int = 51, characters: bool = False, words: int = 0) -> DataFrame:
     """``carry`` with ``kept`` (binary, the bytes left) and ``spans`` (the bytes cut, array of start and end).
 
     Texts are UTF-8 bytes, null is empty; a text below ``span`` bytes stays as
     it is. With ``characters`` a stretch takes along the characters whose bytes it
     splits, so what is left is UTF-8. Every row counts: repeated rows are copies of each other, whatever
     their ids, and null or equal ids do no harm, as places are found by content.
-    ``carry`` columns come back unchanged; others are ignored.
+    ``carry`` columns come back unchanged; others are ignored. With ``words``,
+    runs of so many words that stand twice go too, however short in bytes; they
+    are compared lower-cased and whatever white space is between them. Of their
+    windows only those are hashed and sent whose least 8-word gram stands twice.
     """
     blocks, parts = parts_for(docs, BLOCK_BYTES), parts_for(docs, PART_BYTES)
     body = empty_binary(F.col(text))
@@ -273,6 +356,11 @@ def drop_repeated_substrings(docs: DataFrame, text: str = "text", carry: tuple[s
     twice = grams.withColumn("n", F.sum("n").over(Window.partitionBy("gram"))).filter("n >= 2").select("__block", "gram")
     runs = dealt.groupBy("__block").cogroup(twice.groupBy("__block")).applyInArrow(_make_runs(span, gram, parts), "part long, run binary")
     found = runs.groupBy("part").applyInArrow(_merge_runs(span), "__block long, digest binary, a int, b int")
+    if words:
+        common = lambda df, *by: df.withColumn("n", F.sum("n").over(Window.partitionBy(*by))).filter("n >= 2").select("__block", *by)
+        pairs = common(dealt.groupBy("__block").applyInArrow(_count_word_grams(words), "__block long, gram long, n long"), "gram")
+        again = common(dealt.groupBy("__block").cogroup(pairs.groupBy("__block")).applyInArrow(_count_windows(words), "__block long, one long, two long, n long"), "one", "two")
+        found = found.unionByName(dealt.groupBy("__block").cogroup(again.groupBy("__block")).applyInArrow(_word_places(words), "__block long, digest binary, a int, b int"))
     kinds = docs.select(*carry).schema
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds) + ", kept binary, spans array<struct<start:int,end:int>>"
     spans = pa.schema([("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])

@@ -61,3 +61,31 @@ def test_stages_against_brute_force(spark, tmp_path):
         assert tuple(r)[:5] == now[r["doc_id"]]
         taken[r["source"]] += len((r["text"] or "").split())
     assert all(abs(taken[n] - want[n]) <= 60 for n in names)
+
+
+def test_repeats_of_51_words_go(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(1, 7))) for _ in range(2000)]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    long, short, tiny = prose(51), prose(50), " ".join(rng.choice("abcdefgh") for _ in range(51))
+    assert len(long) < 400
+    texts = [f"{prose(n)} {p} {prose(70)}" for p in (long, short, tiny) for n in (60, 80)] + [prose(300), None, f"x{long} {prose(9)} {tiny.replace(' ', chr(10))}"]
+    docs = spark.createDataFrame([(k, t, "en", "s", t and len(t)) for k, t in enumerate(texts)], SCHEMA)
+    kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.cut_repeats(spark, docs, "").collect()}
+    for k, p in enumerate((long, long, short, short, tiny, tiny)):
+        before, after = texts[k].split(p)
+        assert kept[k] == (texts[k] if p == short else before + after)
+    assert kept[6] == texts[6] and kept[7] is None and kept[8] == texts[8][: -len(tiny)]
+
+
+def test_repeats_in_one_text_and_across_blocks(spark, monkeypatch):
+    from graphquarry.llm import substrings
+
+    monkeypatch.setattr(substrings, "BLOCK_BYTES", 200)
+    rng = random.Random(10)
+    prose = lambda n: " ".join(str(rng.randrange(100000)) for _ in range(n))
+    twice, shared = prose(55), prose(52)
+    texts = [f"{prose(9)} {twice} {prose(9)} {twice} {prose(9)}", *(f"{prose(30)} {shared} {prose(30)}" for _ in range(20)), "buy " * 60]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], SCHEMA)
+    kept = [r["text"] for r in corpus_pipeline.cut_repeats(spark, docs, "").collect()]
+    assert sorted(kept) == sorted([t.replace(twice, "").replace(shared, "") for t in texts[:-1]] + [" "])
