@@ -8,6 +8,10 @@ the labelled documents set says how many documents, ``k``, are good enough, and
 Gumbel top-k draws ``k`` of them without replacement, with probabilities that
 follow the (tempered) weights. The target model learns from two thirds of the
 labelled documents, the threshold from the rest.
+
+Toxic words are few in their documents, so a mean would dilute them: a second
+ratio, of documents labelled toxic to the raw text, is summed over the distinct
+words that it clearly favours, and what exceeds a second threshold is refused.
 """
 
 from __future__ import annotations
@@ -29,6 +33,8 @@ MOST_LABELLED = 20_000
 TEMPERATURE = 400.0
 #: A good document that is refused counts as much as so many bad ones that are kept.
 CARE = 20.0
+#: Toxicity: buckets of words; texts added to those that have a feature, seen and awaited, and the log ratio that it must exceed to count.
+MARKS, RARE, WEAK = 1 << 18, 5.0, 0.7
 #: Bytes of text whose features are found at once.
 PIECE = 1 << 20
 
@@ -43,35 +49,47 @@ def features(texts: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return bucket.astype(np.int64), np.concatenate([doc, doc[1:][same]])
 
 
+def marks_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of each distinct word of each text, and the number of its text."""
+    hashes, counts = word_hashes(texts)
+    once = np.unique(np.repeat(np.arange(len(texts)), counts) * MARKS + (hashes % U64(MARKS)).astype(np.int64))
+    return once % MARKS, once // MARKS
+
+
 def _count(buckets: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = np.zeros((2, buckets), dtype=np.int64)
+        sums = np.zeros((4, buckets + MARKS), dtype=np.int64)
         for frame in frames:
-            good = frame["good"].to_numpy(dtype=bool)
+            good, toxic = (frame[c].to_numpy(dtype=bool) for c in ("good", "toxic"))
             at = 0
             for some in chunks(frame["__text"], PIECE):
                 bucket, doc = features(some, buckets)
-                sums[0] += np.bincount(bucket, minlength=buckets)
-                sums[1] += np.bincount(bucket[good[at + doc]], minlength=buckets)
+                sums[0] += np.bincount(bucket, minlength=buckets + MARKS)
+                sums[1] += np.bincount(bucket[good[at + doc]], minlength=buckets + MARKS)
+                mark, doc = marks_of(some)
+                sums[3, buckets:] += np.bincount(mark, minlength=MARKS)
+                sums[2, buckets:] += np.bincount(mark[toxic[at + doc]], minlength=MARKS)
                 at += len(some)
-        used = np.flatnonzero(sums[0])
-        yield pd.DataFrame({"bucket": used, "n": sums[0][used], "good": sums[1][used]})
+        used = np.flatnonzero(sums[0] + sums[3])
+        yield pd.DataFrame({"bucket": used, "n": sums[0][used], "good": sums[1][used], "toxic": sums[2][used], "texts": sums[3][used]})
 
     return run
 
 
 def _score(sent, buckets: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ratio = sent.value
+        ratio, toxic = sent.value
         for frame in frames:
-            total, many = [], []
+            total, many, marks = [], [], []
             for some in chunks(frame.pop("__text"), PIECE):
                 bucket, doc = features(some, buckets)
                 total.append(np.bincount(doc, weights=ratio[bucket], minlength=len(some)))
                 many.append(np.bincount(doc, minlength=len(some)))
+                mark, doc = marks_of(some)
+                marks.append(np.bincount(doc, weights=toxic[mark], minlength=len(some)))
             n = np.concatenate(many) if many else np.zeros(0, np.int64)
             sums = np.concatenate(total) if total else np.zeros(0)
-            yield frame.assign(n_features=n, log_weight=sums, score=sums / np.maximum(n, 1))
+            yield frame.assign(toxicity=np.concatenate(marks) if marks else np.zeros(0), n_features=n, log_weight=sums, score=sums / np.maximum(n, 1))
 
     return run
 
@@ -124,9 +142,9 @@ def resample(
 
     ``labels`` has ``doc_id, quality, toxic``; a document labelled more than
     once has its worst label. ``accepted``: drawn by Gumbel top-k, ``k`` being
-    the number of rows whose score reaches the threshold; rows that tie at the
+    the number of rows whose score reaches the threshold and that aren't toxic; rows that tie at the
     end are all drawn. Null or empty text has score 0. Without labels of both
-    kinds every row is accepted.
+    kinds every row is accepted; without toxic ones none is refused as toxic.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -134,14 +152,17 @@ def resample(
     said = said.withColumn("__fit", F.pmod(F.xxhash64(F.lit(seed), "__id"), F.lit(3)) > 0)
     held = materialize(said.orderBy(F.xxhash64("__id"), "__id").limit(most_labelled), "labelled")
     body = empty_binary(F.col(text)).alias("__text")
-    marked = docs.select(F.col(doc_id).alias("__id"), body).join(F.broadcast(held), "__id", "left").select("__text", F.coalesce(F.col("__fit") & F.col("__quality") & ~F.coalesce("__toxic", F.lit(False)), F.lit(False)).alias("good"))
-    sums = marked.mapInPandas(_count(buckets), "bucket long, n long, good long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).collect()
-    counts = np.zeros((2, buckets))
+    marked = docs.select(F.col(doc_id).alias("__id"), body).join(F.broadcast(held), "__id", "left").select("__text", F.coalesce(F.col("__fit") & F.col("__quality") & ~F.coalesce("__toxic", F.lit(False)), F.lit(False)).alias("good"), F.coalesce(F.col("__fit") & F.col("__toxic"), F.lit(False)).alias("toxic"))
+    sums = marked.mapInPandas(_count(buckets), "bucket long, n long, good long, toxic long, texts long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("good").alias("good"), F.sum("toxic").alias("toxic"), F.sum("texts").alias("texts")).collect()
+    counts = np.zeros((4, buckets + MARKS))
     for r in sums:
-        counts[:, r["bucket"]] = r["n"], r["good"]
-    raw, good = ((c + 0.5 * counts[0] / max(1.0, counts[0].sum()) * 1000 + 1e-3) for c in counts)
+        counts[:, r["bucket"]] = r["n"], r["good"], r["toxic"], r["texts"]
+    raw, good = ((c + 0.5 * counts[0, :buckets] / max(1.0, counts[0].sum()) * 1000 + 1e-3) for c in counts[:2, :buckets])
     ratio = np.log(good / good.sum()) - np.log(raw / raw.sum()) if counts[1].sum() else np.zeros(buckets)
-    sent = spark.sparkContext.broadcast(ratio)
+    counts = counts[:, buckets:]
+    awaited = counts[3] * (counts[2].sum() / max(1.0, counts[3].sum()))
+    strong = np.maximum(np.log((counts[2] + RARE) / (awaited + RARE)) - WEAK, 0.0)
+    sent = spark.sparkContext.broadcast((ratio, strong))
 
     def scored(columns: tuple[str, ...]) -> DataFrame:
         kinds = docs.select(*columns).schema
@@ -149,12 +170,15 @@ def resample(
         noise = F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text))
         uniform = (F.shiftrightunsigned(noise, 11) + F.lit(0.5)) / F.lit(float(1 << 53))
         rows = docs.select(*columns, (-F.log(-F.log(uniform))).alias("__noise"), body)
-        out = rows.mapInPandas(_score(sent, buckets), f"{schema}, __noise double, n_features long, log_weight double, score double")
+        out = rows.mapInPandas(_score(sent, buckets), f"{schema}, __noise double, toxicity double, n_features long, log_weight double, score double")
         return out.withColumn("key", F.col("score") * F.lit(temperature) + F.col("__noise")).drop("__noise")
 
-    keys = materialize(scored((doc_id,)).select(F.col(doc_id).alias("__id"), "score", "key"), "keys")
-    known = keys.join(F.broadcast(held.filter("not __fit")), "__id").select("score", "__quality", "__toxic").limit(20 * most_labelled).toPandas()
-    threshold = choose_threshold(known["score"][known["__quality"]].to_numpy(), known["score"][~known["__quality"].astype(bool)].to_numpy())
-    k = keys.filter(F.col("score") >= threshold).count()
-    least = kth_largest(keys, "key", k)
-    return scored(carry).withColumn("accepted", F.col("key") >= F.lit(float(least)))
+    keys = materialize(scored((doc_id,)).select(F.col(doc_id).alias("__id"), "score", "key", "toxicity"), "keys")
+    known = keys.join(F.broadcast(held.filter("not __fit")), "__id").select("score", "toxicity", "__quality", "__toxic").limit(20 * most_labelled).toPandas()
+    toxic, fine = known["__toxic"].fillna(False).to_numpy(dtype=bool), known["__quality"].to_numpy(dtype=bool)
+    threshold = choose_threshold(known["score"][fine & ~toxic].to_numpy(), known["score"][~fine].to_numpy())
+    mild = choose_threshold(-known["toxicity"][~toxic].to_numpy(), -known["toxicity"][toxic].to_numpy())
+    clean = -F.col("toxicity") >= F.lit(float(mild))
+    k = keys.filter((F.col("score") >= threshold) & clean).count()
+    least = kth_largest(keys.filter(clean), "key", k)
+    return scored(carry).withColumn("accepted", (F.col("key") >= F.lit(float(least))) & clean).drop("toxicity")

@@ -54,3 +54,23 @@ def test_empty_tables(spark):
     docs, labels = "doc_id long, text string", "doc_id long, quality int, toxic int"
     assert resample(spark.createDataFrame([], docs), spark.createDataFrame([], labels)).count() == 0
     assert [r["accepted"] for r in resample(spark.createDataFrame([(1, "a b")], docs), spark.createDataFrame([], labels)).collect()] == [True]
+
+
+def test_toxic_documents_of_good_quality_are_refused(spark):
+    rng = random.Random(4)
+    good, bad, marks = [f"g{k}" for k in range(300)], [f"b{k}" for k in range(300)], [f"t{k}" for k in range(10)]
+    docs, labels, toxic = [], [], set()
+    for k in range(1200):
+        words = [rng.choice(bad if k % 6 == 0 else good) for _ in range(rng.randint(100, 300))]
+        if k % 6 and rng.random() < 0.2:
+            toxic.add(k)
+            for _ in range(4):
+                words.insert(rng.randrange(len(words)), rng.choice(marks))
+        docs.append((k, " ".join(words)))
+        if rng.random() < 0.5:
+            labels.append((k, int(k % 6 > 0), int(k in toxic)))
+    out = resample(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    kept = {r["doc_id"] for r in out if r["accepted"]}
+    assert len(toxic & kept) <= 0.05 * len(toxic)
+    fine = {k for k in range(1200) if k % 6} - toxic
+    assert len(fine & kept) >= 0.97 * len(fine)
