@@ -19,8 +19,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Elements without text of their own, of inline markup, and without an end tag.
-HIDDEN = ("script", "style", "noscript", "template", "svg", "iframe", "textarea", "select", "head", "object", "canvas", "math", "audio", "video", "title")
+#: Elements without text of their own (those of raw text run to the page's end without an end tag, others are then skipped alone), of inline markup, and without an end tag.
+RAW = ("script", "style", "iframe", "textarea", "title")
+HIDDEN = ("noscript", "template", "svg", "select", "object", "canvas", "math", "audio", "video")
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements and names (of a class, id or role) that mark boilerplate.
@@ -39,7 +40,9 @@ _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'
 _HIDES = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(" + "|".join(HIDDEN) + r")\b(?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"
+    r"|<(" + "|".join(RAW) + r")\b(?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"
+    r"|<(?:svg|math)\b(?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+(?<=/)>"
+    r"|<(" + "|".join(HIDDEN) + r")\b(?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+>.*?</\2\s*>"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>"
     r"|<[!?][^>]*>",
@@ -94,13 +97,13 @@ def blocks_of(page: str) -> list[Block]:
             if links:
                 linked += a - at
         at = b
-        tag = m[3] or m[6]
+        tag = m[4] or m[7]
         if not tag:
-            if m[1]:
+            if m[1] or m[2]:
                 pieces.append(" ")
             continue
         tag = tag.lower()
-        closing = bool(m[2] if m[3] else m[5])
+        closing = bool(m[3] if m[4] else m[6])
         if tag in INLINE:
             if tag == "a":
                 links = 0 if closing else 1
@@ -110,7 +113,7 @@ def blocks_of(page: str) -> list[Block]:
                 if stack[-1][0] == tag:
                     stack.pop()
             else:
-                attributes = m[4] if m[3] else m[7]
+                attributes = m[5] if m[4] else m[8]
                 if attributes and tag == "span" and (_HIDES.search(attributes) or names_of(attributes) & BAD_NAMES):
                     flush()
                     number += 1
@@ -135,7 +138,7 @@ def blocks_of(page: str) -> list[Block]:
                 break
             if stack[k][0] not in INLINE and not (tag == "li" and stack[k][0] not in ("ul", "ol")):
                 break
-        attributes = m[4] if m[3] else m[7]
+        attributes = m[5] if m[4] else m[8]
         _, _, bad, good = stack[-1]
         names = names_of(attributes) if attributes else ()
         if tag in GOOD_TAGS or names and not GOOD_NAMES.isdisjoint(names):

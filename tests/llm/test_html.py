@@ -42,3 +42,14 @@ def test_odd_input(spark):
     assert len(out) == 6 and [r["n_chars"] for r in out if r["page_id"] in (1, 2)] == [0, 0]
     assert [r["n_chars"] for r in out if r["page_id"] == 5] == [249999]
     assert extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_missing_end_tags_and_self_closed_elements():
+    body = "<article><p>Here stands a sentence of the main text, which is long enough.</p>{}<p>And here stands another one of the same kind and length.</p></article>"
+    want = main_text("<body>" + body.format(""))
+    assert want.count("\n\n") == 1
+    assert main_text("<html><head><title>x</title><meta charset=utf-8><body>" + body.format("")) == want
+    assert main_text("<head><title>x</title><style>p{}</style>" + body.format("")) == want
+    for extra in ("<svg viewBox='0 0 1 1'/>", "<math />", "<svg><text>no</text></svg>", "<canvas>", "<svg a='/>'>", "<svg/><svg>no</svg>"):
+        assert main_text("<body>" + body.format(extra)) == want
+    assert "Drop" not in main_text("<body>" + body.format("<script>Drop"))
