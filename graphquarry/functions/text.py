@@ -70,6 +70,25 @@ def csv_field(c: Column) -> Column:
     return F.when(text.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
 
 
-def is_code(token: Column) -> Column:
-    """Whether a word looks like an identifier: inner capitals, an underscore, a digit or a dollar sign, not all capitals."""
-    return token.rlike(r"[a-z][A-Z]|[_$0-9]") & ~token.rlike(r"^[A-Z0-9_]+$")
+#: Words of a request that name no code.
+STOP_WORDS = frozenset(
+    "the and for with that this from into when then than what which where while have has had are was were will would should could can not but all any each every some more most other such only own same "
+    "too very just also about after before over under again further once here there why how both few add adds added change changes changed make makes made use uses used using fix fixes fixed update updates "
+    "rename renames move moves remove removes delete deletes create creates new old code file files method methods function functions class classes field fields test tests call calls called return returns value values "
+    "find show explain refactor implement support need needs want like don does done way work works which decide decides decided built build full empty give gives given get gets set sets let lets keep keeps "
+    "directly method's class's code's main source tree repository instead without within based other".split()
+)
+
+
+def is_code(token: Column, called: Column | None = None) -> Column:
+    """Whether a word looks like an identifier.
+
+    It does with inner capitals, an underscore, a digit or a dollar sign; if it
+    is a capitalised word of four letters or more, but no stop word; or if it is
+    ``called``, that is, a parenthesis follows it somewhere. Single characters
+    and words in capitals don't.
+    """
+    marked = token.rlike(r"[a-z][A-Z]|[_$0-9]")
+    capital = (F.length(token) >= 4) & ~F.lower(token).isin(*sorted(STOP_WORDS))
+    rest = F.lit(False) if called is None else ~token.rlike("^[A-Z]{2,}$") & called
+    return (F.length(token) >= 2) & (marked | F.when(token.rlike("^[A-Z][a-z]+$"), capital).otherwise(rest))

@@ -7,16 +7,33 @@ seen, and each level is checkpointed, so cycles end and plans stay short.
 
 from __future__ import annotations
 
+import itertools
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .state import cut
 
+#: Edges and nodes up to which ranks are computed in one process: 16 bytes each.
+IN_MEMORY = 4_000_000
+
+
+def _levels(depth: int | None):
+    return itertools.count(1) if depth is None else range(1, depth + 1)
+
+
+def kept(edges: DataFrame, *more: str) -> DataFrame:
+    """``edges`` written once, without repeats, dealt by ``src``: searches read them in every level."""
+    return cut(edges.select("src", "dst", *more).distinct().repartition("src"))
 
-def bfs(seeds: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
-    """``(id, level)``: what ``seeds`` (``id``) reach in at most ``depth`` steps, at the first level."""
+
+def bfs(seeds: DataFrame, edges: DataFrame, depth: int | None = None) -> DataFrame:
+    """``(id, level)``: what ``seeds`` (``id``) reach in at most ``depth`` steps (none: in any number), at the first level."""
+    edges = kept(edges)
     seen = frontier = cut(seeds.select("id").distinct().withColumn("level", F.lit(0)))
-    for level in range(1, depth + 1):
+    for level in _levels(depth):
         nxt = frontier.join(edges, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("level", F.lit(level))
         frontier = cut(nxt)
         if frontier.isEmpty():
@@ -25,11 +42,13 @@ def bfs(seeds: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
-def closure(edges: DataFrame, depth: int) -> DataFrame:
-    """``(src, dst, depth)``: all pairs connected in at most ``depth`` steps, with the fewest."""
-    seen = frontier = cut(edges.filter("src <> dst").select("src", "dst").distinct().withColumn("depth", F.lit(1)))
-    step = edges.select(F.col("src").alias("dst"), F.col("dst").alias("far")).distinct()
-    for level in range(2, depth + 1):
+def closure(edges: DataFrame, depth: int | None = None) -> DataFrame:
+    """``(src, dst, depth)``: all pairs connected in at most ``depth`` steps (none: in any number), with the fewest."""
+    edges = kept(edges.filter("src <> dst"))
+    seen = frontier = edges.withColumn("depth", F.lit(1))
+    step = edges.select(F.col("src").alias("dst"), F.col("dst").alias("far"))
+    for level in _levels(None if depth is None else depth - 1):
+        level += 1
         nxt = frontier.join(step, "dst").select("src", F.col("far").alias("dst")).filter("src <> dst").distinct().join(seen, ["src", "dst"], "left_anti").withColumn("depth", F.lit(level))
         frontier = cut(nxt)
         if frontier.isEmpty():
@@ -55,19 +74,40 @@ def neighbours(ids: DataFrame, edges: DataFrame) -> DataFrame:
     return out.union(back).distinct()
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-9, every: int = 5) -> DataFrame:
+def _ranks_in_memory(ids: np.ndarray, src: np.ndarray, dst: np.ndarray, n: np.ndarray, damping: float, rounds: int, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+    ids = np.sort(ids)
+    a, b = np.minimum(np.searchsorted(ids, src), len(ids) - 1), np.minimum(np.searchsorted(ids, dst), len(ids) - 1)
+    known = (ids[a] == src) & (ids[b] == dst) & (src != dst)
+    a, b, w = a[known], b[known], np.sqrt(n[known])
+    out = np.bincount(a, weights=w, minlength=len(ids))
+    share, dangling, rank = w / out[a], out == 0, np.full(len(ids), 1.0 / len(ids))
+    for _ in range(rounds):
+        new = (1 - damping) / len(ids) + damping * rank[dangling].sum() / len(ids) + damping * np.bincount(b, weights=rank[a] * share, minlength=len(ids))
+        moved, rank = np.abs(new - rank).sum(), new
+        if moved < tolerance:
+            break
+    return ids, rank
+
+
+def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-9, every: int = 5, in_memory: int = IN_MEMORY) -> DataFrame:
     """``(id, rank)`` by weights ``sqrt(n)`` of ``edges (src, dst, n)``.
 
     Self-edges and edges with unknown ends are dropped, dangling mass is spread
-    evenly, and it ends when the ranks change by less than ``tolerance`` in all,
-    which is looked at after ``every`` rounds.
+    evenly, and it ends when the ranks change by less than ``tolerance`` in all.
+    A graph of at most ``in_memory`` edges and nodes, which is counted first, is
+    ranked in the driver's memory; a larger one by joins, where the change is
+    looked at after ``every`` rounds. Ids are numbers.
     """
-    ids = cut(nodes.select("id").distinct())
+    ids, held = cut(nodes.select(F.col("id").cast("long").alias("id")).distinct()), cut(edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), "n"))
     n = ids.count()
     if not n:
         return ids.withColumn("rank", F.lit(0.0))
-    known = edges.filter("src <> dst").join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").withColumn("w", F.sqrt("n"))
-    share = cut(known.join(known.groupBy("src").agg(F.sum("w").alias("out")), "src").select("src", "dst", (F.col("w") / F.col("out")).alias("share")))
+    if n + held.count() <= in_memory:
+        got = held.toArrow()
+        found, rank = _ranks_in_memory(ids.toArrow().column("id").to_numpy(), *(got.column(c).to_numpy() for c in ("src", "dst", "n")), damping, rounds, tolerance)
+        return cut(nodes.sparkSession.createDataFrame(pa.table({"id": found, "rank": rank})))
+    known = held.filter("src <> dst").join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").withColumn("w", F.sqrt("n"))
+    share = cut(known.join(known.groupBy("src").agg(F.sum("w").alias("out")), "src").select("src", "dst", (F.col("w") / F.col("out")).alias("share")).repartition("src"))
     sources = cut(share.select(F.col("src").alias("id")).distinct())
     ranks = ids.withColumn("rank", F.lit(1.0 / n))
     for k in range(rounds):
@@ -83,35 +123,37 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
     return ranks
 
 
-def blast_radius(targets: DataFrame, calls: DataFrame, depth: int = 3, most: int = 500, overridden: DataFrame | None = None, order: tuple[Column | str, ...] = ("id",)) -> tuple[DataFrame, bool]:
+def blast_radius(targets: DataFrame, calls: DataFrame, depth: int | None = 3, most: int | None = 500, overridden: DataFrame | None = None, order: tuple[Column | str, ...] = ("id",)) -> tuple[DataFrame, bool]:
     """Transitive callers ``(id, level)`` of ``targets`` and whether the cap cut them off.
 
     Each level is first widened by ``overridden (id, base)``: whoever calls a
     base declaration may reach the method. Callers appear once, at the first
-    level; the level that exceeds ``most`` is cut in ``order``.
+    level; the level that exceeds ``most`` (none: no cap) is cut in ``order``.
     """
+    calls = cut(calls.select("src", "dst").distinct().repartition("dst"))
+    overridden = None if overridden is None else cut(overridden.select("id", "base").distinct())
     seen = frontier = cut(targets.select("id").distinct().withColumn("level", F.lit(0)))
     found, left = None, most
-    for level in range(1, depth + 1):
+    for level in _levels(depth):
         wide = frontier.select("id")
         if overridden is not None:
             wide = wide.union(overridden.join(wide, "id").select(F.col("base").alias("id"))).distinct()
         callers = calls.join(wide.withColumnRenamed("id", "dst"), "dst", "left_semi").select(F.col("src").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("level", F.lit(level))
         callers = cut(callers)
         n = callers.count()
-        if n > left:
+        if left is not None and n > left:
             part = callers.orderBy(*order).limit(left)
             return (part if found is None else found.union(part)), True
         if not n:
             break
         found = callers if found is None else found.union(callers)
-        left -= n
+        left = None if left is None else left - n
         seen, frontier = seen.union(callers), callers
     empty = seen.filter("level > 0")
     return (empty if found is None else found), False
 
 
-def descendants(symbols: DataFrame, roots: DataFrame, depth: int = 16) -> DataFrame:
+def descendants(symbols: DataFrame, roots: DataFrame, depth: int | None = None) -> DataFrame:
     """``(id, level)``: ``roots`` and all that is declared inside them, by ``parent_id``."""
     return bfs(roots, symbols.filter("parent_id is not null").select(F.col("parent_id").alias("src"), F.col("id").alias("dst")), depth)
 

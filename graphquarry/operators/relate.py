@@ -25,12 +25,11 @@ def top_declaration(candidates: DataFrame, ancestors: DataFrame, key: str, owner
 
     ``ancestors``: pairs (``type``, ``ancestor``).
     """
-    some = candidates.select(key, owner, target).distinct()
-    other = some.select(key, F.col(owner).alias("__o"))
-    pairs = some.join(other, key)
-    known = pairs.join(ancestors, (F.col("__o") == F.col("type")) & (F.col(owner) == F.col("ancestor")), "left")
-    ok = known.groupBy(key, target).agg(F.bool_and((F.col("__o") == F.col(owner)) | F.col("ancestor").isNotNull()).alias("ok")).filter("ok")
-    return some.select(key).distinct().join(ok.groupBy(key).agg(F.min(target).alias(target)), key, "left")
+    some = candidates.groupBy(key, owner).agg(F.min(target).alias(target))
+    many = some.groupBy(key).agg(F.count("*").alias("__all"))
+    below = some.select(key, F.col(owner).alias("type")).join(ancestors.select("type", "ancestor").distinct().filter("type <> ancestor"), "type").groupBy(key, F.col("ancestor").alias(owner)).agg(F.count("*").alias("__below"))
+    top = some.join(below, [key, owner], "left").join(many, key).filter(F.coalesce("__below", F.lit(0)) == F.col("__all") - 1)
+    return many.select(key).join(top.groupBy(key).agg(F.min(target).alias(target)), key, "left")
 
 
 def merge_parts(symbols: DataFrame, key: str | list[str] = "qualified_name", id: str = "id") -> DataFrame:

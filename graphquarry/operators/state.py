@@ -7,6 +7,16 @@ import shutil
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Bytes of a table, by Catalyst's estimate, up to which it is broadcast.
+SMALL = 10 << 20
+
+
+def if_small(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """``df`` to be broadcast if it is estimated to be small; else as it is, for a shuffled join."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size <= most else df
 
 
 def cut(df: DataFrame) -> DataFrame:

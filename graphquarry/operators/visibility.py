@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .graph import bfs, closure
 
 
-def exporting_files(ids: DataFrame, reexports: DataFrame, depth: int = 32) -> DataFrame:
+def exporting_files(ids: DataFrame, reexports: DataFrame, depth: int | None = None) -> DataFrame:
     """``(id, level)``: files ``ids`` and all that re-export them, by way of others; ``reexports (file, target)``."""
     return bfs(ids, reexports.select(F.col("target").alias("src"), F.col("file").alias("dst")), depth)
 
@@ -54,7 +54,7 @@ def unlinked_calls(uses: DataFrame, names: DataFrame, seeing: DataFrame, results
     return some.groupBy("name").agg(F.count("*").alias("n"), F.min_by(F.concat_ws(":", "path", "line"), F.struct("path", "line")).alias("example"))
 
 
-def ancestors(symbols: DataFrame, depth: int = 16) -> DataFrame:
+def ancestors(symbols: DataFrame, depth: int | None = None) -> DataFrame:
     """``(id, ancestors)``: the enclosing declarations of each symbol, the nearest first."""
     up = closure(symbols.filter("parent_id is not null").select(F.col("id").alias("src"), F.col("parent_id").alias("dst")), depth)
     listed = up.groupBy(F.col("src").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("depth", "dst"))), lambda x: x["dst"]).alias("ancestors"))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.state import if_small
+
 NATION, SUPPLIER, CUSTOMER, PART = 1000, 1_000_000_000, 2_000_000_000, 3_000_000_000
 
 
@@ -22,10 +24,10 @@ def _long(x) -> "F.Column":
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     region, nation = read(spark, sf_dir, "region"), read(spark, sf_dir, "nation")
-    place = nation.join(F.broadcast(region), nation.n_regionkey == region.r_regionkey).select("n_nationkey", "n_name", "n_regionkey", F.concat("r_name", F.lit("."), "n_name").alias("place"))
+    place = nation.join(if_small(region), nation.n_regionkey == region.r_regionkey).select("n_nationkey", "n_name", "n_regionkey", F.concat("r_name", F.lit("."), "n_name").alias("place"))
     row = lambda df, id, kind, name, qualified, parent: df.select(id.alias("id"), F.lit(kind).alias("kind"), name.alias("name"), qualified.alias("qualified_name"), parent.alias("parent_id"))
-    supplier = read(spark, sf_dir, "supplier").join(F.broadcast(place), F.col("s_nationkey") == F.col("n_nationkey"))
-    customer = read(spark, sf_dir, "customer").join(F.broadcast(place), F.col("c_nationkey") == F.col("n_nationkey"))
+    supplier = read(spark, sf_dir, "supplier").join(if_small(place), F.col("s_nationkey") == F.col("n_nationkey"))
+    customer = read(spark, sf_dir, "customer").join(if_small(place), F.col("c_nationkey") == F.col("n_nationkey"))
     none = F.lit(None).cast("long")
     return (
         row(region, _long("r_regionkey"), "namespace", F.col("r_name"), F.col("r_name"), none)
@@ -56,15 +58,33 @@ uses AS (SELECT o_custkey + {CUSTOMER} AS src, l_suppkey + {SUPPLIER} AS dst, l_
 
 
 def nation_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Uses between nations, weak pairs of customer and supplier (one use) left out."""
+    """Uses between nations."""
     from ..operators.graph import weighted
 
     parent = nodes(spark, sf_dir).filter("kind in ('method', 'function')").select("id", "parent_id")
-    pairs = weighted(uses(spark, sf_dir)).filter("n >= 2")
+    pairs = weighted(uses(spark, sf_dir))
     named = pairs.join(parent.toDF("src", "a"), "src").join(parent.toDF("dst", "b"), "dst")
     return named.groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("n").alias("n"))
 
 
 NATION_USES_SQL = f"""
-pairs AS (SELECT src, dst, count(*) AS n FROM uses GROUP BY ALL HAVING count(*) >= 2),
+pairs AS (SELECT src, dst, count(*) AS n FROM uses GROUP BY ALL),
 nation_uses AS (SELECT a.parent_id AS src, b.parent_id AS dst, CAST(sum(n) AS BIGINT) AS n FROM pairs JOIN nodes a ON a.id = src JOIN nodes b ON b.id = dst GROUP BY ALL)"""
+
+
+def trade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(src, dst)``: customers with their suppliers, and suppliers with their parts."""
+    sold = read(spark, sf_dir, "lineitem").select((_long("l_suppkey") + SUPPLIER).alias("src"), (_long("l_partkey") + PART).alias("dst"))
+    return uses(spark, sf_dir).select("src", "dst").union(sold).distinct()
+
+
+TRADE_SQL = f"""
+trade AS (SELECT src, dst FROM uses UNION SELECT l_suppkey + {SUPPLIER}, l_partkey + {PART} FROM lineitem)"""
+
+#: Ranks over ``nodes`` and ``uses``. Only customers use and only suppliers are used, so each round is two numbers: the rank of what nothing uses, and the mass of what uses nothing.
+RANKS_SQL = f"""
+pairs AS (SELECT src, dst, sqrt(count(*)) AS w FROM uses GROUP BY ALL), outs AS (SELECT src, sum(w) AS o FROM pairs GROUP BY src),
+gets AS (SELECT dst, sum(w / o) AS g FROM pairs JOIN outs USING (src) GROUP BY dst), size AS (SELECT count(*) AS n, (SELECT count(*) FROM outs) AS users FROM nodes),
+rounds(k, c, d, before) AS (SELECT 0, 1.0::DOUBLE / n, (n - users)::DOUBLE / n, 0.0::DOUBLE FROM size
+  UNION ALL SELECT k + 1, 0.15 / n + 0.85 * d / n, (n - users) * (0.15 / n + 0.85 * d / n) + 0.85 * c * users, c FROM rounds, size WHERE k < 150),
+ranks AS (SELECT id, c + 0.85 * before * coalesce(g, 0) AS rank FROM nodes LEFT JOIN gets ON dst = id, rounds WHERE k = 150)"""

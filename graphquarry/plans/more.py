@@ -10,8 +10,9 @@ from ..operators import analytics, graph, pack, relate, search
 from ..sources import sinks
 from ..streaming import watch
 from . import bindings as b
-from .bindings import NATION, SUPPLIER, read
-from .registry import BASE, FULL, query
+from ..operators.state import if_small
+from .bindings import CUSTOMER, NATION, SUPPLIER, read
+from .registry import BASE, TRADE, query
 
 
 @query(f"{BASE} SELECT n.id, n.name, p.name AS parent FROM nodes n LEFT JOIN nodes p ON p.id = n.parent_id WHERE n.kind IN ('class', 'namespace')")
@@ -55,11 +56,9 @@ def q4_members_to_depth_two(spark, d):
     return first.withColumn("depth", F.lit(1)).union(second.withColumn("depth", F.lit(2)))
 
 
-@query(f"{FULL}, e AS (SELECT src, dst FROM nation_uses WHERE n >= (SELECT quantile_cont(n, 0.97) FROM nation_uses)) SELECT id, min(level) AS level FROM (SELECT dst AS id, 1 AS level FROM e WHERE src = {NATION + 9} UNION ALL SELECT y.dst, 2 FROM e x JOIN e y ON x.dst = y.src WHERE x.src = {NATION + 9}) WHERE id <> {NATION + 9} GROUP BY id")
+@query(f"{TRADE} SELECT id, min(level) AS level FROM (SELECT dst AS id, 1 AS level FROM trade WHERE src = {CUSTOMER + 9} UNION ALL SELECT y.dst, 2 FROM trade x JOIN trade y ON x.dst = y.src WHERE x.src = {CUSTOMER + 9}) GROUP BY id")
 def q7_callees_two_hops(spark, d):
-    e = b.nation_uses(spark, d)
-    cut = e.agg(F.percentile("n", F.lit(0.97))).first()[0]
-    return graph.within_hops(spark.createDataFrame([(NATION + 9,)], "id long"), e.filter(F.col("n") >= F.lit(cut)), 2)
+    return graph.within_hops(spark.createDataFrame([(CUSTOMER + 9,)], "id long"), b.trade(spark, d), 2)
 
 
 @query(f"{BASE} SELECT x.id, 1 AS level FROM nodes n JOIN nodes x ON x.id = n.parent_id WHERE n.id = {SUPPLIER + 4} UNION ALL SELECT y.id, 2 FROM nodes n JOIN nodes x ON x.id = n.parent_id JOIN nodes y ON y.id = x.parent_id WHERE n.id = {SUPPLIER + 4}")
@@ -71,7 +70,7 @@ def q8_hierarchy(spark, d):
 @query("SELECT r_name AS app, max(n) AS largest, count(*) AS repositories FROM (SELECT r_name, n_name, count(c_custkey) AS n FROM region JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL) GROUP BY 1")
 def q15_largest_repository(spark, d):
     per = read(spark, d, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("n"))
-    named = read(spark, d, "nation").join(F.broadcast(read(spark, d, "region")), F.expr("n_regionkey = r_regionkey")).join(per, "n_nationkey", "left")
+    named = read(spark, d, "nation").join(if_small(read(spark, d, "region")), F.expr("n_regionkey = r_regionkey")).join(per, "n_nationkey", "left")
     return named.groupBy(F.col("r_name").alias("app")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("largest"), F.count("*").alias("repositories"))
 
 
@@ -106,14 +105,28 @@ def a16_used_symbols(spark, d):
     return b.uses(spark, d).select(F.col("dst").alias("id")).distinct()
 
 
-@query("""WITH a AS (SELECT p_partkey, p_brand, p_type, p_size FROM part), c AS (SELECT x.p_partkey AS key, y.p_size AS owner, y.p_partkey AS id FROM a x JOIN a y USING (p_brand, p_type)),
-g AS (SELECT key, max(owner) AS top FROM c GROUP BY key) SELECT key, min(id) AS id FROM c JOIN g USING (key) WHERE owner = top GROUP BY key""")
+@query(f"""WITH c AS (SELECT p_brand AS key, p_partkey AS id, CASE p_size % 4 WHEN 0 THEN 'base' WHEN 1 THEN 'left' WHEN 2 THEN 'right' ELSE 'leaf' END AS owner FROM part),
+a AS (SELECT * FROM (VALUES ('left', 'base'), ('right', 'base'), ('leaf', 'left'), ('leaf', 'base')) t(type, ancestor)), o AS (SELECT DISTINCT key, owner FROM c),
+ok AS (SELECT x.key, x.owner FROM o x WHERE NOT EXISTS (SELECT 1 FROM o y WHERE y.key = x.key AND y.owner <> x.owner AND NOT EXISTS (SELECT 1 FROM a WHERE a.type = y.owner AND a.ancestor = x.owner)))
+SELECT k.key, m.id FROM (SELECT DISTINCT key FROM c) k LEFT JOIN (SELECT ok.key, min(id) AS id FROM ok JOIN c USING (key, owner) GROUP BY 1) m USING (key)""")
 def r10_top_declaration(spark, d):
-    a = read(spark, d, "part").select("p_partkey", "p_brand", "p_type", "p_size")
-    c = a.select(F.col("p_partkey").alias("key"), "p_brand", "p_type").join(a.select("p_brand", "p_type", F.col("p_size").alias("owner"), F.col("p_partkey").alias("id")), ["p_brand", "p_type"]).select("key", "owner", "id")
-    sizes = a.select("p_size").distinct()
-    ancestors = sizes.select(F.col("p_size").alias("type")).join(sizes.select(F.col("p_size").alias("ancestor")), F.col("ancestor") > F.col("type"))
-    return relate.top_declaration(c, ancestors, "key")
+    """Parts of a brand declare one member in a diamond of types; brands with ``left`` and ``right`` but no ``base`` have no top."""
+    size = F.col("p_size") % 4
+    owner = F.when(size == 0, "base").when(size == 1, "left").when(size == 2, "right").otherwise("leaf")
+    a = spark.createDataFrame([("left", "base"), ("right", "base"), ("leaf", "left"), ("leaf", "base")], "type string, ancestor string")
+    return relate.top_declaration(read(spark, d, "part").select(F.col("p_brand").alias("key"), owner.alias("owner"), F.col("p_partkey").alias("id")), a, "key")
+
+
+@query(f"""WITH c AS (SELECT p_name || p_type AS key, p_partkey AS id, CASE p_size % 3 WHEN 0 THEN 'left' WHEN 1 THEN 'right' ELSE 'leaf' END AS owner FROM part),
+a AS (SELECT * FROM (VALUES ('leaf', 'left'), ('leaf', 'right')) t(type, ancestor)), o AS (SELECT DISTINCT key, owner FROM c),
+ok AS (SELECT x.key, x.owner FROM o x WHERE NOT EXISTS (SELECT 1 FROM o y WHERE y.key = x.key AND y.owner <> x.owner AND NOT EXISTS (SELECT 1 FROM a WHERE a.type = y.owner AND a.ancestor = x.owner)))
+SELECT k.key, m.id FROM (SELECT DISTINCT key FROM c) k LEFT JOIN (SELECT ok.key, min(id) AS id FROM ok JOIN c USING (key, owner) GROUP BY 1) m USING (key)""")
+def r10_top_or_null(spark, d):
+    """The same over types of which two don't inherit from each other, so many have no top."""
+    size = F.col("p_size") % 3
+    owner = F.when(size == 0, "left").when(size == 1, "right").otherwise("leaf")
+    a = spark.createDataFrame([("leaf", "left"), ("leaf", "right")], "type string, ancestor string")
+    return relate.top_declaration(read(spark, d, "part").select(F.concat("p_name", "p_type").alias("key"), owner.alias("owner"), F.col("p_partkey").alias("id")), a, "key")
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_suppkey % 10 <> 0 THEN l_suppkey END AS l_suppkey FROM lineitem")
@@ -154,7 +167,7 @@ def s9_repo_map(spark, d):
 @query()
 def s7_packed_context(spark, d):
     symbols = b.nodes(spark, d).filter("kind <> 'field'").select("id", "kind", "name", "qualified_name", F.col("name").alias("signature"), F.lit(None).cast("string").alias("doc"), F.col("kind").alias("path"), F.lit(1).alias("start_line"), F.length("qualified_name").cast("long").alias("chars"), F.lit(False).alias("test"))
-    edges = graph.weighted(b.uses(spark, d)).filter("n >= 3")
+    edges = graph.weighted(b.uses(spark, d))
     ranks = edges.groupBy(F.col("dst").alias("id")).agg(F.sum("n").cast("double").alias("rank"))
     return pack.context(symbols, spark.createDataFrame([(SUPPLIER + 1,)], "id long"), edges, ranks)
 
@@ -164,9 +177,9 @@ def s13_median_mean_geometric(spark, d):
     return read(spark, d, "documents").filter("n_chars > 0").agg(F.round(F.median("n_chars"), 4).alias("med"), F.round(F.avg("n_chars"), 4).alias("mean"), F.round(F.exp(F.avg(F.log("n_chars"))), 4).alias("geo"))
 
 
-@query("SELECT doc_id, regexp_extract(text, '\"([^\"]*)\"', 1) AS literal FROM documents")
+@query("SELECT page_id, replace(q, '\"', '') AS literal FROM (SELECT page_id, regexp_extract(html, 'href=(\"[^\"]*\")', 1) AS q FROM pages)")
 def f2_string_literal(spark, d):
-    return read(spark, d, "documents").select("doc_id", F.regexp_extract("text", '"([^"]*)"', 1).alias("literal"))
+    return read(spark, d, "pages").select("page_id", text.unquote(F.regexp_extract("html", 'href=("[^"]*")', 1)).alias("literal"))
 
 
 @query("SELECT count(*) AS n FROM documents WHERE text LIKE '%\\%%' ESCAPE '\\'")
@@ -190,14 +203,14 @@ def f15_numbers(spark, d):
     return read(spark, d, "part").select("p_partkey", F.round(F.sqrt("p_size"), 6).alias("weight"), F.round(F.pow(F.lit(0.5), F.col("p_size") % 4), 6).alias("decay"), text.token_estimate(F.col("p_size")).alias("tokens"))
 
 
-@query("SELECT page_id, CASE WHEN starts_with(url, 'https://') THEN substr(url, 9) ELSE url END AS path FROM pages")
+@query("SELECT doc_id, CASE WHEN starts_with(p, 'src3/') THEN substr(p, 6) ELSE p END AS path FROM (SELECT doc_id, source || '/' || lang || '/' || doc_id AS p FROM documents)")
 def f17_relative_path(spark, d):
-    return read(spark, d, "pages").select("page_id", F.when(F.col("url").startswith("https://"), F.substr("url", F.lit(9))).otherwise(F.col("url")).alias("path"))
+    return read(spark, d, "documents").select("doc_id", text.relative_path(F.concat_ws("\\", "source", "lang", F.col("doc_id").cast("string")), "src3").alias("path"))
 
 
-@query("SELECT doc_id, CAST(sum(length(c) - 1 + 1 + (CASE WHEN ord(c) > 65535 THEN 1 ELSE 0 END)) AS BIGINT) AS units FROM (SELECT doc_id, unnest(string_split(text, '')) AS c FROM documents WHERE n_chars > 0) GROUP BY doc_id")
+@query("SELECT doc_id, CAST(length(text) + length(regexp_replace(text, '[^\\x{10000}-\\x{10FFFF}]', '', 'g')) AS BIGINT) AS units FROM documents")
 def f_utf16_length(spark, d):
-    return read(spark, d, "documents").filter("n_chars > 0").select("doc_id", text.utf16_length(F.col("text")).alias("units"))
+    return read(spark, d, "documents").select("doc_id", text.utf16_length(F.col("text")).alias("units"))
 
 
 @query("SELECT page_id, CASE regexp_extract(path, '(\\.[^./]*)$', 1) WHEN '.py' THEN 'python' WHEN '.ts' THEN 'typescript' WHEN '.java' THEN 'java' WHEN '.cs' THEN 'csharp' END AS language FROM (SELECT page_id, url || (CASE page_id % 5 WHEN 0 THEN '.py' WHEN 1 THEN '.ts' WHEN 2 THEN '.java' WHEN 3 THEN '.cs' ELSE '.md' END) AS path FROM pages)")

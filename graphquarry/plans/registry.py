@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 from ..functions import paths, text
 from ..operators import analytics, graph, relate, search
 from . import bindings as b
-from .bindings import NATION, NATION_USES_SQL, NODES_SQL, SUPPLIER, USES_SQL, read
+from ..operators.state import cut, if_small
+from .bindings import CUSTOMER, NATION, NATION_USES_SQL, NODES_SQL, PART, RANKS_SQL, SUPPLIER, TRADE_SQL, USES_SQL, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 BASE = f"WITH {NODES_SQL.strip()}, {USES_SQL.strip()}"
 FULL = f"{BASE}, {NATION_USES_SQL.strip()}"
+TRADE = f"{BASE}, {TRADE_SQL.strip()}"
+RANKED = f"WITH RECURSIVE {NODES_SQL.strip()}, {USES_SQL.strip()}, {RANKS_SQL.strip()}"
 
 
 def query(sql: str | None = None):
@@ -137,8 +140,8 @@ def j5_semi_join_json_list(spark, d):
 @query("SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE o_custkey = c.c_custkey AND s_nationkey = c.c_nationkey)")
 def j6_anti_join(spark, d):
     customer, supplier = read(spark, d, "customer"), read(spark, d, "supplier")
-    home = read(spark, d, "lineitem").select("l_orderkey", "l_suppkey").join(F.broadcast(supplier.select("s_suppkey", "s_nationkey")) if supplier.count() < 100_000 else supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-    bought = home.join(read(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "s_nationkey")
+    home = read(spark, d, "lineitem").select("l_orderkey", "l_suppkey").join(if_small(supplier.select("s_suppkey", "s_nationkey")), F.col("l_suppkey") == F.col("s_suppkey")).select("l_orderkey", "s_nationkey").distinct()
+    bought = home.join(read(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "s_nationkey").distinct()
     return customer.join(bought, (F.col("c_custkey") == F.col("o_custkey")) & (F.col("c_nationkey") == F.col("s_nationkey")), "left_anti").select("c_custkey")
 
 
@@ -194,12 +197,12 @@ def j14_innermost(spark, d):
 # -- graphs
 
 
-@query(f"{BASE}, RECURSIVE_PLACEHOLDER".replace("WITH", "WITH RECURSIVE", 1).replace("RECURSIVE_PLACEHOLDER", f"""strong AS (SELECT src, dst FROM uses GROUP BY ALL HAVING count(*) >= 3),
+@query(f"{BASE}, RECURSIVE_PLACEHOLDER".replace("WITH", "WITH RECURSIVE", 1).replace("RECURSIVE_PLACEHOLDER", f"""strong AS (SELECT DISTINCT src, dst FROM uses),
 step AS (SELECT src, dst FROM strong UNION ALL SELECT dst, src FROM strong),
 r(id, level) AS (SELECT CAST({SUPPLIER + 1} AS BIGINT), 0 UNION SELECT s.dst, level + 1 FROM r JOIN step s ON s.src = r.id WHERE level < 3)
 SELECT id, min(level) AS level FROM r GROUP BY id"""))
 def g1_closure_bfs(spark, d):
-    strong = graph.weighted(b.uses(spark, d)).filter("n >= 3")
+    strong = b.uses(spark, d)
     step = strong.select("src", "dst").union(strong.select("dst", "src"))
     return graph.bfs(spark.createDataFrame([(SUPPLIER + 1,)], "id long"), step, 3)
 
@@ -209,13 +212,9 @@ def g3_descendants(spark, d):
     return graph.descendants(b.nodes(spark, d), spark.createDataFrame([(2,)], "id long"))
 
 
-@query(f"""{FULL}, n AS (SELECT id FROM nodes WHERE kind = 'class'), e AS (SELECT src, dst, sqrt(n) AS w FROM nation_uses WHERE src <> dst),
-o AS (SELECT src, sum(w) AS out FROM e GROUP BY src), p0 AS (SELECT id, 1.0 / (SELECT count(*) FROM n) AS rank FROM n), """ + ", ".join(
-    f"""p{k} AS (SELECT n.id, 0.15 / (SELECT count(*) FROM n) + 0.85 * (SELECT coalesce(sum(rank), 0) FROM p{k - 1} WHERE id NOT IN (SELECT src FROM o)) / (SELECT count(*) FROM n) + 0.85 * coalesce(f.flow, 0) AS rank
-FROM n LEFT JOIN (SELECT e.dst, sum(p.rank * e.w / o.out) AS flow FROM e JOIN o ON o.src = e.src JOIN p{k - 1} p ON p.id = e.src GROUP BY e.dst) f ON f.dst = n.id)""" for k in range(1, 6)) + " SELECT id, round(rank, 9) AS rank FROM p5")
+@query(f"{RANKED} SELECT id, round(rank, 7) AS rank FROM ranks")
 def g5_pagerank(spark, d):
-    nations = b.nodes(spark, d).filter("kind = 'class'")
-    return graph.pagerank(nations, b.nation_uses(spark, d), rounds=5, tolerance=0).select("id", F.round("rank", 9).alias("rank"))
+    return graph.pagerank(b.nodes(spark, d), graph.weighted(b.uses(spark, d))).select("id", F.round("rank", 7).alias("rank"))
 
 
 @query(f"{BASE} SELECT src, dst, count(*) AS n FROM uses WHERE src <> dst GROUP BY ALL")
@@ -223,33 +222,25 @@ def g6_weighted_graph(spark, d):
     return graph.weighted(b.uses(spark, d))
 
 
-_BLAST = f"""WITH RECURSIVE {NODES_SQL.strip()}, {USES_SQL.strip()}, strong AS (SELECT src, dst FROM uses GROUP BY ALL HAVING count(*) >= 2),
-calls AS (SELECT src, dst FROM strong UNION SELECT s.dst, t.src FROM strong s JOIN strong t ON s.src = t.src WHERE false),
-r(id, level) AS (SELECT CAST({SUPPLIER + 2} AS BIGINT), 0 UNION SELECT c.src, level + 1 FROM r JOIN calls c ON c.dst = r.id WHERE level < 2)
+_BLAST = f"""WITH RECURSIVE {NODES_SQL.strip()}, {USES_SQL.strip()}, {TRADE_SQL.strip()},
+r(id, level) AS (SELECT CAST({PART + 2} AS BIGINT), 0 UNION SELECT c.src, level + 1 FROM r JOIN trade c ON c.dst = r.id WHERE level < 3)
 SELECT r.id, min(level) AS level, min(name) AS name FROM r JOIN nodes USING (id) WHERE level > 0 GROUP BY r.id"""
 
 
 @query(_BLAST)
 def g7_blast_radius(spark, d):
-    calls = graph.weighted(b.uses(spark, d)).filter("n >= 2")
-    found, _ = graph.blast_radius(spark.createDataFrame([(SUPPLIER + 2,)], "id long"), calls, depth=2, most=1_000_000)
+    found, _ = graph.blast_radius(spark.createDataFrame([(PART + 2,)], "id long"), b.trade(spark, d), most=None)
     return found.join(b.nodes(spark, d).select("id", "name"), "id").select("id", "level", "name")
 
 
-@query(f"""{FULL}, a AS (SELECT DISTINCT src, dst FROM nation_uses WHERE src <> dst AND n >= (SELECT quantile_cont(n, 0.95) FROM nation_uses)),
-b AS (SELECT src, dst, 1 AS depth FROM a UNION ALL SELECT x.src, y.dst, 2 FROM a x JOIN a y ON x.dst = y.src UNION ALL SELECT x.src, z.dst, 3 FROM a x JOIN a y ON x.dst = y.src JOIN a z ON y.dst = z.src)
-SELECT src, dst, min(depth) AS depth FROM b WHERE src <> dst GROUP BY ALL""")
+@query(f"{BASE} SELECT id AS src, parent_id AS dst, 1 AS depth FROM nodes WHERE parent_id IS NOT NULL UNION ALL SELECT n.id, p.parent_id, 2 FROM nodes n JOIN nodes p ON p.id = n.parent_id WHERE p.parent_id IS NOT NULL")
 def g11_ancestor_closure(spark, d):
-    e = b.nation_uses(spark, d)
-    cut = e.agg(F.percentile("n", F.lit(0.95))).first()[0]
-    return graph.closure(e.filter(F.col("n") >= F.lit(cut)), 3)
+    return graph.closure(b.nodes(spark, d).filter("parent_id is not null").select(F.col("id").alias("src"), F.col("parent_id").alias("dst")))
 
 
-@query(f"{FULL}, e AS (SELECT src, dst FROM nation_uses WHERE n >= (SELECT quantile_cont(n, 0.8) FROM nation_uses)) SELECT a.src AS a, a.dst AS b FROM e a JOIN e r ON a.src = r.dst AND a.dst = r.src WHERE a.src < a.dst")
+@query(f"{FULL} SELECT a.src AS a, a.dst AS b FROM nation_uses a JOIN nation_uses r ON a.src = r.dst AND a.dst = r.src WHERE a.src < a.dst")
 def q10_mutual(spark, d):
-    e = b.nation_uses(spark, d)
-    cut = e.agg(F.percentile("n", F.lit(0.8))).first()[0]
-    return graph.mutual(e.filter(F.col("n") >= F.lit(cut)))
+    return graph.mutual(cut(b.nation_uses(spark, d).select("src", "dst")))
 
 
 @query(f"{BASE} SELECT r.name AS app, c.name AS repository FROM nodes c JOIN nodes r ON c.parent_id = r.id WHERE c.kind = 'class'")
@@ -264,9 +255,12 @@ def q2_contents(spark, d):
     return n.alias("m").join(n.alias("p"), F.expr("m.parent_id = p.id")).groupBy(F.col("p.name").alias("repository"), F.col("m.kind").alias("kind")).agg(F.count("*").alias("n")).orderBy("repository", "kind")
 
 
-@query(f"{BASE} SELECT src, count(*) AS n FROM uses GROUP BY src ORDER BY n DESC, src LIMIT 25")
+@query(f"{RANKED} SELECT id, round(rank * n, 5) AS score FROM ranks JOIN nodes USING (id), size WHERE kind NOT IN ('property', 'field') ORDER BY round(rank * n, 5) DESC, id LIMIT 25")
 def q3_core_symbols(spark, d):
-    return b.uses(spark, d).groupBy("src").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "src").limit(25)
+    nodes = cut(b.nodes(spark, d).select("id", "kind"))
+    ranks = graph.pagerank(nodes, graph.weighted(b.uses(spark, d)))
+    scored = ranks.join(nodes.filter("kind not in ('property', 'field')").select("id"), "id", "left_semi").select("id", F.round(F.col("rank") * nodes.count(), 5).alias("score"))
+    return scored.orderBy(F.desc("score"), "id").limit(25)
 
 
 @query(f"{BASE} SELECT DISTINCT u.src, u.dst FROM uses u JOIN nodes m ON m.id = u.dst WHERE m.parent_id = {NATION + 4} ORDER BY 1, 2 LIMIT 100")
@@ -275,12 +269,10 @@ def q5_used_by(spark, d):
     return b.uses(spark, d).join(members, "dst", "left_semi").select("src", "dst").distinct().orderBy("src", "dst").limit(100)
 
 
-@query(f"{FULL}, e AS (SELECT src, dst FROM nation_uses WHERE n >= (SELECT quantile_cont(n, 0.97) FROM nation_uses)) SELECT id, min(level) AS level FROM (SELECT src AS id, 1 AS level FROM e WHERE dst = {NATION + 7} UNION ALL SELECT x.src, 2 FROM e x JOIN e y ON x.dst = y.src WHERE y.dst = {NATION + 7}) WHERE id <> {NATION + 7} GROUP BY id")
+@query(f"{TRADE} SELECT id, min(level) AS level FROM (SELECT src AS id, 1 AS level FROM trade WHERE dst = {PART + 7} UNION ALL SELECT x.src, 2 FROM trade x JOIN trade y ON x.dst = y.src WHERE y.dst = {PART + 7}) GROUP BY id")
 def q6_callers_two_hops(spark, d):
-    e = b.nation_uses(spark, d)
-    cut = e.agg(F.percentile("n", F.lit(0.97))).first()[0]
-    back = e.filter(F.col("n") >= F.lit(cut)).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return graph.within_hops(spark.createDataFrame([(NATION + 7,)], "id long"), back, 2)
+    back = b.trade(spark, d).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return graph.within_hops(spark.createDataFrame([(PART + 7,)], "id long"), back, 2)
 
 
 @query(f"{BASE} SELECT p.name AS type, count(*) AS members FROM nodes m JOIN nodes p ON m.parent_id = p.id WHERE p.kind = 'class' GROUP BY p.id, p.name ORDER BY members DESC, type LIMIT 20")
@@ -289,9 +281,10 @@ def q11_largest_types(spark, d):
     return n.alias("m").join(n.filter("kind = 'class'").alias("p"), F.expr("m.parent_id = p.id")).groupBy(F.col("p.name").alias("type")).agg(F.count("*").alias("members")).orderBy(F.desc("members"), "type").limit(20)
 
 
-@query(f"{BASE} SELECT id, name FROM nodes n WHERE kind = 'function' AND NOT EXISTS (SELECT 1 FROM uses u WHERE u.src = n.id)")
+@query(f"{BASE} SELECT id, name FROM nodes n WHERE kind IN ('function', 'method') AND NOT EXISTS (SELECT 1 FROM uses u WHERE u.dst = n.id)")
 def q12_unused(spark, d):
-    return b.nodes(spark, d).filter("kind = 'function'").join(b.uses(spark, d).select(F.col("src").alias("id")), "id", "left_anti").select("id", "name")
+    """Nothing calls a customer, so all of them are listed, and suppliers without a sale."""
+    return b.nodes(spark, d).filter("kind in ('function', 'method')").join(b.uses(spark, d).select(F.col("dst").alias("id")), "id", "left_anti").select("id", "name")
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'wid') ORDER BY p_partkey LIMIT 50")
@@ -301,7 +294,7 @@ def q13_contains_search(spark, d):
 
 @query("SELECT r_name AS app, string_agg(n_name, ',' ORDER BY n_name) AS repositories FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
 def q18_apps_and_repositories(spark, d):
-    return read(spark, d, "nation").join(F.broadcast(read(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey")).groupBy(F.col("r_name").alias("app")).agg(F.array_join(F.array_sort(F.collect_list("n_name")), ",").alias("repositories"))
+    return read(spark, d, "nation").join(if_small(read(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey")).groupBy(F.col("r_name").alias("app")).agg(F.array_join(F.array_sort(F.collect_list("n_name")), ",").alias("repositories"))
 
 
 # -- linker
@@ -310,8 +303,8 @@ def q18_apps_and_repositories(spark, d):
 @query("SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, CASE WHEN min(q.p_partkey) = max(q.p_partkey) THEN min(q.p_partkey) END AS resolved FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey JOIN part q ON (q.p_name, q.p_brand, q.p_type) = (p.p_name, p.p_brand, p.p_type) GROUP BY ALL")
 def r9_unique_or_null(spark, d):
     part = read(spark, d, "part").select("p_partkey", F.struct("p_name", "p_brand", "p_type").alias("key"))
-    candidates = part.join(part.select("key", F.col("p_partkey").alias("id")), "key").select("p_partkey", "id", F.col("id").alias("qualified_name"))
-    picked = relate.unique_or_null(candidates, "p_partkey")
+    by_key = relate.unique_or_null(part.select("key", F.col("p_partkey").alias("id"), F.col("p_partkey").alias("qualified_name")), "key")
+    picked = part.join(by_key, "key").select("p_partkey", "id")
     return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").distinct().join(picked, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", "l_partkey", F.col("id").alias("resolved"))
 
 
@@ -422,10 +415,11 @@ def s1_ranked_prefix_search(spark, d):
     return search.ranked_prefix_search(parts, "wid").select("id", "name", "qualified_name", F.round("score", 6).alias("score"))
 
 
-@query("SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[^A-Za-z0-9_$]+'), lambda x: regexp_matches(x, '[a-z][A-Z]|[_$0-9]') AND NOT regexp_matches(x, '^[A-Z0-9_]+$'))) AS code_words FROM documents")
+@query("SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[^A-Za-z0-9_$]+'), lambda x: length(x) >= 2 AND (regexp_matches(x, '[a-z][A-Z]|[_$0-9]') OR CASE WHEN regexp_matches(x, '^[A-Z][a-z]+$') THEN length(x) >= 4 AND lower(x) NOT IN (" + ", ".join(f"'{w}'" for w in sorted(text.STOP_WORDS)).replace("method's", "method''s").replace("class's", "class''s").replace("code's", "code''s") + ") ELSE NOT regexp_matches(x, '^[A-Z]{2,}$') AND contains(text, x || '(') AND regexp_matches(text, '(^|[^\\w$])' || replace(x, '$', '\\$') || '\\(') END))) AS code_words FROM documents")
 def s4_code_words(spark, d):
     words = F.split("text", "[^A-Za-z0-9_$]+")
-    return read(spark, d, "documents").select("doc_id", F.size(F.filter(words, text.is_code)).cast("long").alias("code_words"))
+    called = lambda w: F.col("text").contains(F.concat(w, F.lit("("))) & F.regexp_like("text", F.concat(F.lit(r"(^|[^\w$])"), F.replace(w, F.lit("$"), F.lit(r"\$")), F.lit(r"\(")))
+    return read(spark, d, "documents").select("doc_id", F.size(F.filter(words, lambda w: text.is_code(w, called(w)))).cast("long").alias("code_words"))
 
 
 @query(f"{BASE} SELECT id, round(power(0.5, CASE kind WHEN 'namespace' THEN 0 WHEN 'class' THEN 1 ELSE 2 END) * (0.7 + 0.3 * length(name) / 20.0), 6) AS score FROM nodes WHERE kind <> 'field'")
