@@ -2,10 +2,12 @@
 
 Rules, in order: members of the enclosing type for ``self``, ``this`` and the
 like; names that the file declares; names that it imports; members of imported
-modules; members of a type that the qualifier names; members of that name in
-files which the using file sees. In each rule a unique qualified name is a link
-and several are none: an ambiguous use stays unresolved. Inheritance is linked
-first, as member lookups follow it.
+modules; members of a type that the qualifier names; members of the declared
+type of the receiver (Java, C#), of which nothing else is tried; members of that
+name in files which the using file sees. In each rule a unique qualified name is
+a link and several are none, but for one member that a hierarchy of types
+declares: then its top is meant. An ambiguous use stays unresolved. Inheritance
+is linked first, as member lookups follow it.
 """
 
 from __future__ import annotations
@@ -14,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import closure
-from .relate import first_rule
+from .receivers import Types, receiver_types
+from .relate import first_rule, top_declaration
 from .state import cut
 
 SELF, SUPER = ("self", "cls", "this"), ("super", "super()", "base")
@@ -22,10 +25,19 @@ SELF, SUPER = ("self", "cls", "this"), ("super", "super()", "base")
 DEPTH = 6
 
 
-def resolve_imports(imports: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
+def tidy_path(path: "F.Column") -> "F.Column":
+    """A path without ``.`` and ``..`` steps; those above the root stay."""
+    steps = F.filter(F.split(path, "/"), lambda x: (x != ".") & (x != ""))
+    folded = F.aggregate(steps, F.array().cast("array<string>"), lambda r, x: F.when((x == "..") & (F.size(r) > 0) & (F.try_element_at(r, F.lit(-1)) != ".."), F.slice(r, F.lit(1), F.size(r) - 1)).otherwise(F.concat(r, F.array(x))))
+    return F.array_join(folded, "/")
+
+
+def resolve_imports(imports: DataFrame, symbols: DataFrame, files: DataFrame, layout=None) -> DataFrame:
     """``imports`` with ``target_module`` (the module, package or namespace meant) and ``local`` (the name in the file).
 
-    Relative specifiers are taken from the importing file; ``files`` has ``path`` and ``module``.
+    Relative specifiers are taken from the importing file; ``files`` has ``path``
+    and ``module``. With a ``layout`` (see ``sources.config``), other TypeScript
+    specifiers go through path aliases and packages of the tree.
     """
     level = F.length(F.regexp_extract("spec", r"^(\.*)", 1))
     parts = F.split("module", r"\.")
@@ -36,27 +48,40 @@ def resolve_imports(imports: DataFrame, symbols: DataFrame, files: DataFrame) ->
     python = F.when(level > 0, F.concat_ws(".", F.when(base != "", base), F.when(rest != "", rest))).otherwise(F.col("spec"))
     folder = F.regexp_replace("path", r"/?[^/]*$", "")
     joined = F.concat_ws("/", F.when(folder != "", folder), F.col("spec"))
-    tidy = F.regexp_replace(F.regexp_replace(joined, r"(^|/)\./", "$1"), r"\.(js|ts|tsx|jsx)$", "")
-    for _ in range(8):
-        tidy = F.regexp_replace(tidy, r"(^|/)(?!\.\./)[^/]+/\.\./", "$1")
+    tidy = F.regexp_replace(tidy_path(joined), r"\.(?:d\.)?[cm]?[jt]sx?$", "")
     script = F.when(F.col("spec").startswith("."), tidy).otherwise(F.col("spec"))
     module = F.when(F.col("language") == "python", python).when(F.col("language").isin("typescript", "tsx"), script).otherwise(F.when(F.col("kind").isin("import", "static") & (F.col("language") == "java"), F.regexp_replace("spec", r"\.[^.]+$", "")).otherwise(F.col("spec")))
     local = F.coalesce("alias", F.when(F.col("name") != "*", F.col("name")), F.when((F.col("language") == "python") & (F.col("kind") == "import"), F.col("spec")))
     out = imports.withColumn("target_module", module).withColumn("local", local)
+    if layout is not None:
+        out = _by_layout(out, files, layout)
     index = files.filter("module like '%/index'").select(F.regexp_replace("module", "/index$", "").alias("target_module"), F.col("module").alias("__index"))
     return out.join(index, "target_module", "left").withColumn("target_module", F.coalesce("__index", "target_module")).drop("__index")
 
 
+def _by_layout(imports: DataFrame, files: DataFrame, layout) -> DataFrame:
+    """``imports`` with the module that the first existing candidate of the layout names."""
+    asked = imports.filter("language in ('typescript', 'tsx') and not startswith(spec, '.')").select("path", "spec").distinct()
+
+    def run(frames):
+        for frame in frames:
+            yield frame.assign(candidates=[layout.candidates(p, s) for p, s in zip(frame["path"], frame["spec"])])
+
+    listed = asked.mapInPandas(run, "path string, spec string, candidates array<string>").select("path", "spec", F.posexplode("candidates").alias("ord", "module"))
+    best = listed.join(files.select("module").distinct(), "module", "left_semi").groupBy("path", "spec").agg(F.min_by("module", "ord").alias("__module"))
+    return imports.join(best, ["path", "spec"], "left").withColumn("target_module", F.coalesce("__module", "target_module")).drop("__module")
+
+
 def _separator() -> "F.Column":
     return F.when(F.col("language").isin("typescript", "tsx"), F.lit(":")).otherwise(F.lit("."))
 
 
-def exports(symbols: DataFrame, imports: DataFrame, depth: int = 8) -> DataFrame:
-    """``(module, exported, id, qualified_name)``: own top-level names, then those re-exported, by way of ``depth`` files at most."""
+def exports(symbols: DataFrame, imports: DataFrame) -> DataFrame:
+    """``(module, exported, id, qualified_name)``: own top-level names, then those re-exported, by way of any number of files."""
     top = symbols.filter("parent_id is null and kind <> 'namespace'").select("module", F.col("name").alias("exported"), "id", "qualified_name")
     again = imports.filter("kind in ('reexport', 'wildcard') and language in ('typescript', 'tsx')").select(F.col("module").alias("into"), F.col("target_module").alias("module"), "name", "alias")
     found = now = cut(top)
-    for _ in range(depth):
+    while True:
         step = again.join(now, "module").filter("name = '*' or name = exported").select(F.col("into").alias("module"), F.when(F.col("name") == "*", F.col("exported")).otherwise(F.coalesce("alias", "exported")).alias("exported"), "id", "qualified_name").distinct()
         now = cut(step.join(found.select("module", "exported"), ["module", "exported"], "left_anti"))
         if now.isEmpty():
@@ -65,10 +90,15 @@ def exports(symbols: DataFrame, imports: DataFrame, depth: int = 8) -> DataFrame
     return found
 
 
-def link(symbols: DataFrame, imports: DataFrame, uses: DataFrame) -> DataFrame:
-    """``uses`` with ``to_id``: the symbol that each means, null if unknown or ambiguous."""
-    files = symbols.select("path", "module").union(imports.select("path", "module")).distinct()
-    imports = cut(resolve_imports(imports, symbols, files))
+def link(symbols: DataFrame, imports: DataFrame, uses: DataFrame, layout=None, known: DataFrame | None = None, files: DataFrame | None = None) -> DataFrame:
+    """``uses`` with ``to_id``: the symbol that each means, null if unknown or ambiguous.
+
+    If ``uses`` are some only, ``known (src, dst)`` is the inheritance that
+    others' links have. ``files (path, module)``: by default those with symbols
+    or imports. Imports that have a ``target_module`` are taken as resolved.
+    """
+    files = symbols.select("path", "module").union(imports.select("path", "module")).distinct() if files is None else files
+    imports = cut(imports if "target_module" in imports.columns else resolve_imports(imports, symbols, files, layout))
     symbols, uses = cut(symbols), cut(uses)
     given = cut(exports(symbols, imports))
     target = symbols.select("id", "qualified_name", "name", "kind", "parent_id", F.col("path").alias("in_path"))
@@ -106,8 +136,18 @@ def link(symbols: DataFrame, imports: DataFrame, uses: DataFrame) -> DataFrame:
             found.append(of_type.select("use", (F.col("depth") + 50).alias("rule"), "id", "qualified_name"))
             sees = imports.select("path", "target_module").join(files.select(F.col("module").alias("target_module"), F.col("path").alias("in_path")), "target_module").select("path", "in_path").union(files.select("path", F.col("path").alias("in_path"))).distinct()
             anywhere = target.filter("parent_id is not null and kind in ('method', 'property', 'field')").select("name", "id", "qualified_name", "in_path")
-            known = held.filter(~F.col("qualifier").isin(*SELF, *SUPER) & F.col("qualifier").rlike(r"^[a-z_$][\w$.]*$"))
-            found.append(known.join(sees, "path").join(anywhere, ["name", "in_path"]).select("use", F.lit(90).alias("rule"), "id", "qualified_name"))
+            shown = first_rule(symbols.filter(types).select("path", F.col("name").alias("local"), "id", "qualified_name").withColumn("rule", F.lit(10)).union(names.withColumn("rule", F.lit(30))).union(wide.withColumn("rule", F.lit(40))).join(symbols.filter(types).select("id"), "id", "left_semi").select(F.struct("path", "local").alias("key"), "rule", "id", "qualified_name"), "key").filter("id is not null").select("key.path", "key.local", "id")
+            every = target.filter("parent_id is not null").select(F.col("parent_id").alias("holder"), "name", "kind", "id", "qualified_name")
+            lookup = Types(cut(shown), up, cut(every), symbols.filter(types).groupBy("qualified_name", "language").agg(F.min("id").alias("id")))
+            chained = some.filter("language in ('java', 'csharp') and qualifier is not null and from_id is not null").filter(~F.col("qualifier").isin(*SELF, *SUPER)).select(F.col("id").alias("use"), "path", "language", "from_id", "name", "segments", "receiver_base")
+            typed = cut(receiver_types(chained, symbols, lookup, owner))
+            of_receiver = typed.join(chained.select("use", "name"), "use").select(F.col("use").alias("key"), F.col("id").alias("owner"), "name")
+            found.append(lookup.member(of_receiver, ("method", "function", "class", "interface", "enum")).join(target.select("id", "qualified_name"), "id").select(F.col("key").alias("use"), F.lit(60).alias("rule"), "id", "qualified_name"))
+            known = held.filter(~F.col("qualifier").isin(*SELF, *SUPER) & F.col("qualifier").rlike(r"^[a-z_$][\w$.]*$")).join(typed.select("use"), "use", "left_anti")
+            seen = known.join(sees, "path").join(anywhere, ["name", "in_path"])
+            above = bases.select(F.col("src").alias("type"), F.col("dst").alias("ancestor"))
+            tops = top_declaration(seen.join(symbols.select("id", F.col("parent_id").alias("owner")), "id").select(F.col("use").alias("key"), "owner", "id"), above, "key").filter("id is not null")
+            found.append(tops.select(F.col("key").alias("use"), F.lit(90).alias("rule"), "id", F.lit("").alias("qualified_name")))
         of_module = held.join(aliases.withColumnRenamed("local", "qualifier"), ["path", "qualifier"]).join(given.select(F.col("module").alias("target_module"), F.col("exported").alias("name"), "id", "qualified_name"), ["target_module", "name"])
         found.append(of_module.select("use", F.lit(45).alias("rule"), "id", "qualified_name"))
         rows = found[0]
@@ -118,6 +158,7 @@ def link(symbols: DataFrame, imports: DataFrame, uses: DataFrame) -> DataFrame:
     heirs = uses.filter("type in ('extends', 'implements')")
     first = cut(stage(heirs, None))
     inherits = heirs.join(first.select(F.col("use").alias("id"), F.col("id").alias("dst")), "id").select(F.col("from_id").alias("src"), "dst")
+    inherits = inherits if known is None else inherits.union(known.select("src", "dst")).distinct()
     second = stage(uses.filter("type not in ('extends', 'implements')"), closure(inherits, DEPTH))
     linked = first.union(second).select(F.col("use").alias("id"), F.col("id").alias("to_id"))
     kinds = symbols.select(F.col("id").alias("to_id"), F.col("kind").alias("__to")), symbols.select(F.col("id").alias("from_id"), F.col("kind").alias("__from"))

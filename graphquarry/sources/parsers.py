@@ -2,7 +2,8 @@
 
 Python goes through the standard library's syntax tree. TypeScript, Java and C#
 go through a scanner that blanks comments and strings and matches braces; it
-finds declarations, imports, base types and calls, but knows no full grammar.
+finds declarations, imports, base types, calls and the declared types of
+parameters and locals, but knows no full grammar.
 Further languages can be registered in :data:`PARSERS`.
 """
 
@@ -32,12 +33,120 @@ class Parsed:
         self.uses: list[dict] = []
 
     def symbol(self, kind, name, qualified, parent, signature, doc, start, end, exported, value_type=None, partial=False) -> int:
-        self.symbols.append({"ordinal": len(self.symbols), "parent": parent, "kind": kind, "name": name, "qualified_name": qualified, "signature": _one_line(signature, SIGNATURE), "doc": _one_line(doc, DOC) if doc else None,
+        self.symbols.append({"value_base": base_type_name(value_type), "ordinal": len(self.symbols), "parent": parent, "kind": kind, "name": name, "qualified_name": qualified, "signature": _one_line(signature, SIGNATURE), "doc": _one_line(doc, DOC) if doc else None,
                              "start_line": start, "end_line": end, "exported": exported, "value_type": value_type, "is_partial": partial})
         return len(self.symbols) - 1
 
-    def use(self, inside, type, name, qualifier, line, new=False):
-        self.uses.append({"ordinal": len(self.uses), "inside": inside, "type": type, "name": name, "qualifier": qualifier[:QUALIFIER] if qualifier else None, "line": line, "instantiates": new})
+    def use(self, inside, type, name, qualifier, line, new=False, receiver=None):
+        self.uses.append({"ordinal": len(self.uses), "inside": inside, "type": type, "name": name, "qualifier": qualifier[:QUALIFIER] if qualifier else None, "line": line, "instantiates": new,
+                          "receiver_type": receiver, "receiver_base": base_type_name(receiver), "segments": chain_segments(qualifier) if qualifier else None})
+
+
+#: Type names that no declaration in a tree stands for.
+PRIMITIVES = frozenset("var void int long short byte char boolean float double bool string object decimal uint ulong ushort sbyte nint nuint dynamic".split())
+MODIFIERS = frozenset("public private protected internal static final abstract synchronized native transient volatile default override virtual async readonly sealed partial extern unsafe new required const event ref in params this".split())
+
+
+def base_type_name(text: str | None) -> str | None:
+    """A declared type without its arguments, annotation and question mark; None for arrays, primitives and all that is no name."""
+    if not text:
+        return None
+    name = re.sub(r"^@[\w$.]+(\([^)]*\))?", "", re.sub(r"\s+", "", text))
+    if name.endswith(("[]", "...")):
+        return None
+    while (less := re.sub(r"<[^<>]*>", "", name)) != name:
+        name = less
+    name = name.removesuffix("?")
+    return name if re.fullmatch(r"[A-Za-z_$][\w$]*(\.[A-Za-z_$][\w$]*)*", name) and name not in PRIMITIVES else None
+
+
+def _closing(text: str, at: int) -> int:
+    """After the bracket that closes the one at ``at``; -1: none does."""
+    ends = {"(": ")", "<": ">", "[": "]"}
+    first, last, depth = text[at], ends[text[at]], 0
+    for k in range(at, len(text)):
+        depth += (text[k] == first) - (text[k] == last)
+        if not depth:
+            return k + 1
+    return -1
+
+
+def chain_segments(qualifier: str) -> list[dict] | None:
+    """``a.b().c`` as names and calls, the first perhaps a new object; None for indexing, casts and other expressions."""
+    rest, out = qualifier.replace("?.", ".").replace("!", ""), []
+    new = rest.startswith("new ")
+    rest = rest[4:] if new else rest
+    while rest:
+        m = re.match(r"[\w$]+(?:\.[\w$]+)*" if new and not out else r"[\w$]+", rest)
+        if not m:
+            return None
+        at, call = m.end(), False
+        for bracket in "<(":
+            if rest[at:at + 1] == bracket:
+                at, call = _closing(rest, at), bracket == "("
+                if at < 0:
+                    return None
+        if new and not out and not call:
+            return None
+        out.append({"name": m[0], "call": call and not (new and not out), "new": new and not out})
+        if at < len(rest) and (rest[at] != "." or at + 1 == len(rest)):
+            return None
+        rest = rest[at + 1:]
+    return out or None
+
+
+def qualifier_before(text: str, at: int) -> str | None:
+    """The expression that ends in a dot before ``at``: names, calls, indexing, and ``new``; white space is dropped."""
+    end = at
+    while end and text[end - 1].isspace():
+        end -= 1
+    if not end or text[end - 1] != ".":
+        return None
+    start, opens = end - 1, {")": "(", "]": "[", ">": "<"}
+    while True:
+        k = start
+        while k and (text[k - 1].isspace() or text[k - 1] in "?!"):
+            k -= 1
+        while k and text[k - 1] in opens:
+            last, first, depth = text[k - 1], opens[text[k - 1]], 0
+            while k:
+                k -= 1
+                depth += (text[k] == last) - (text[k] == first)
+                if not depth:
+                    break
+            while k and text[k - 1].isspace():
+                k -= 1
+        while k and (text[k - 1].isalnum() or text[k - 1] in "_$"):
+            k -= 1
+        start, before = k, len(text[:k].rstrip())
+        if not before or text[before - 1] != "." or before == start and k == end - 1:
+            break
+        start = before - 1
+    found = re.sub(r"\s+", "", text[start:end - 1]).rstrip("?!")
+    return (("new " if re.search(r"\bnew\s*$", text[max(0, start - 8):start]) else "") + found)[:QUALIFIER] or None
+
+
+def declared_type(head: str) -> str | None:
+    """What is left of a declaration before its name once modifiers and type parameters are gone."""
+    words = head.strip()
+    while (m := re.match(r"([\w]+)\s+", words)) and m[1] in MODIFIERS:
+        words = words[m.end():]
+    if words.startswith("<") and (end := _closing(words, 0)) > 0:
+        words = words[end:].strip()
+    return words or None
+
+
+_LOCAL = re.compile(r"(?:^|[;{}(,]|\bout\s|\bfinal\s|\busing\s*\(|\bforeach\s*\(|\bfor\s*\()\s*(?:final\s+|out\s+|this\s+|ref\s+|in\s+|params\s+|readonly\s+)*([A-Za-z_$][\w$.]*(?:<[\w\s,.<>\[\]?]*>)?\??(?:\[\])*)\s+([A-Za-z_$][\w$]*)\s*(?=[=;:,)]|\bin\b)(?:=\s*new\s+([\w$.]+))?")
+
+
+def local_types(text: str) -> dict[str, str]:
+    """The declared types of the parameters and locals in a method's text; ``var x = new T()`` says ``T``."""
+    out: dict[str, str] = {}
+    for m in _LOCAL.finditer(text):
+        kind = m[3] if m[1] == "var" else m[1]
+        if kind and m[1] not in _WORDS and m[1] not in ("return", "else", "case", "goto", "throw"):
+            out.setdefault(m[2], kind)
+    return out
 
 
 def parse_python(path: str, source: str, module: str) -> Parsed:
@@ -97,7 +206,7 @@ def parse_python(path: str, source: str, module: str) -> Parsed:
 
 _BLANK = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`", re.S)
 _TYPE = re.compile(r"\b(class|interface|enum|record|struct|namespace|@interface)\s+([\w.]+)")
-_CALL = re.compile(r"(\bnew\s+)?((?:[\w$]+(?:\([^()]*\))?\s*[?!]?\.\s*)*)([A-Za-z_$#][\w$]*)\s*(?:<[\w\s,.<>\[\]]*>)?\s*\(")
+_CALL = re.compile(r"(?<![\w$#])([A-Za-z_$#][\w$]*)\s*(?:<[\w\s,.<>\[\]?]*>)?\s*\(")
 _METHOD = re.compile(r"(?:^|[\s>\]*?])(#?[A-Za-z_$][\w$]*)\s*(?:<[^()]*>)?\s*\(.*\)\s*[^()=]*$", re.S)
 _WORDS = frozenset("if for while switch catch return throw new function super this else do try using lock foreach sizeof typeof nameof await yield synchronized when base assert".split())
 
@@ -183,11 +292,11 @@ def parse_braces(path: str, source: str, module: str, language: str) -> Parsed:
                 me = out.symbol("function", f[1], name_for(f[1], parent), parent, re.sub(r"\s*=>\s*$", "", clean), doc_before(where), line(where), line(at), parent is None and exported(head))
                 kind = "function"
             elif depth <= 0 and kind == "type" and (f := _METHOD.search(re.sub(r"\bthrows\s+[\w.,\s]+$", "", clean))) and f[1] not in _WORDS:
-                value = clean[:f.start(1)].split()
-                me = out.symbol("method", f[1], name_for(f[1], parent), parent, clean, doc_before(where), line(where), line(at), exported(head), value[-1] if value and language != "typescript" and value[-1] != "void" else None)
+                value = None if prefix.endswith(":") else declared_type(clean[:f.start(1)])
+                me = out.symbol("method", f[1], name_for(f[1], parent), parent, clean, doc_before(where), line(where), line(at), exported(head), value if value != "void" else None)
                 kind = "function"
-            elif depth <= 0 and kind == "type" and language == "csharp" and (f := re.search(r"([\w<>\[\]?.]+)\s+(\w+)\s*$", clean)):
-                me = out.symbol("property", f[2], name_for(f[2], parent), parent, clean, doc_before(where), line(where), line(at), exported(head), f[1])
+            elif depth <= 0 and kind == "type" and language == "csharp" and (f := re.search(r"([\w<>\[\]?., ]+)\s+(\w+)\s*$", clean)):
+                me = out.symbol("property", f[2], name_for(f[2], parent), parent, clean, doc_before(where), line(where), line(at), exported(head), declared_type(f[1]))
                 kind = "function"
             else:
                 kind = kind if kind == "function" else "block" if kind != "type" or "=" in head else kind
@@ -200,27 +309,41 @@ def parse_braces(path: str, source: str, module: str, language: str) -> Parsed:
                 depth = opened.pop()
                 if me is not None:
                     out.symbols[me]["end_line"] = line(at)
-                    owner.append((line(0) if False else out.symbols[me]["start_line"], line(at), me))
+                    owner.append((out.symbols[me]["start_line"], line(at), me))
         elif stack and stack[-1][0] == "type" and inside()[1] is not None:
-            clean, parent = re.sub(r"@\w+(\([^()]*\))?", " ", head).strip(), inside()[1]
+            whole, parent = re.sub(r"@\w+(\([^()]*\))?", " ", head).strip(), inside()[1]
+            clean = re.sub(r"\s*=>.*$", "", whole, flags=re.S) if language == "csharp" else whole
             if (f := _METHOD.search(clean)) and "=" not in clean.split("(")[0] and f[1] not in _WORDS:
-                value = clean[:f.start(1)].split()
-                out.symbol("method", f[1], name_for(f[1], parent), parent, clean, doc_before(where), line(where), line(at), exported(head) or out.symbols[parent]["kind"] == "interface", value[-1] if value and value[-1] != "void" else None)
+                value = None if prefix.endswith(":") else declared_type(clean[:f.start(1)])
+                me = out.symbol("method", f[1], name_for(f[1], parent), parent, clean, doc_before(where), line(where), line(at), exported(head) or out.symbols[parent]["kind"] == "interface", value if value != "void" else None)
+                if clean != whole:
+                    owner.append((line(where), line(at), me))
             elif prefix.endswith(":") and (f := re.match(r"(?:(?:public|private|protected|readonly|static|declare)\s+)*(#?[\w$]+)\s*[?!]?\s*(?::([^=]+))?(=.*)?$", clean, re.S)):
                 out.symbol("property", f[1], name_for(f[1], parent), parent, clean, doc_before(where), line(where), line(at), False, (f[2] or "").strip() or None)
             elif not prefix.endswith(":") and (f := re.match(r"(?:[\w]+\s+)*?([\w.<>\[\],? ]+?)\s+(\w+)\s*(=.*)?$", clean, re.S)):
-                out.symbol("field", f[2], name_for(f[2], parent), parent, clean, doc_before(where), line(where), line(at), exported(head), f[1].split()[-1])
+                out.symbol("field", f[2], name_for(f[2], parent), parent, clean, doc_before(where), line(where), line(at), exported(head), declared_type(clean[:f.start(2)]))
         start = m.end()
     spans = sorted(owner, key=lambda o: (o[1] - o[0]))
     declared = {(s["name"], s["start_line"]) for s in out.symbols} | {(s["name"], s["end_line"]) for s in out.symbols}
+    typed: dict[int, dict[str, str]] = {}
     for m in _CALL.finditer(plain):
-        name, at = m[3], line(m.start(3))
-        if name in _WORDS or not m[1] and not m[2] and (name, at) in declared:
+        name, at = m[1], line(m.start(1))
+        held = qualifier_before(plain, m.start(1))
+        new = re.search(r"\bnew\s+(?:[\w$]+\s*\.\s*)*$", plain[max(0, m.start(1) - 200):m.start(1)]) is not None
+        if name in _WORDS or not new and not held and (name, at) in declared:
             continue
         me = next((o[2] for o in spans if o[0] <= at <= o[1]), None)
         if me is not None and out.symbols[me]["kind"] == "namespace":
             me = None
-        out.use(me, "calls", name, re.sub(r"\s+", "", m[2]).rstrip(".?!") or None, at, bool(m[1]))
+        held = held.removeprefix("new ") if new and held else held
+        receiver = None
+        if held and me is not None and not prefix.endswith(":"):
+            root = re.match(r"[\w$]+", held)
+            if me not in typed:
+                a, b = out.symbols[me]["start_line"], out.symbols[me]["end_line"]
+                typed[me] = local_types(plain[line_at[a - 1]:line_at[b] if b < len(line_at) else len(plain)])
+            receiver = typed[me].get(root[0]) if root else None
+        out.use(me, "calls", name, held, at, new, receiver)
     return out
 
 
@@ -249,9 +372,9 @@ def python_roots(paths: list[str], projects: list[str] = ()) -> list[str]:
 
 
 _SCHEMA = "path string, language string, module string, record string, body string"
-SYMBOL = "ordinal int, parent int, kind string, name string, qualified_name string, signature string, doc string, start_line int, end_line int, exported boolean, value_type string, is_partial boolean"
+SYMBOL = "ordinal int, parent int, kind string, name string, qualified_name string, signature string, doc string, start_line int, end_line int, exported boolean, value_type string, value_base string, is_partial boolean"
 IMPORT = "kind string, spec string, name string, alias string, line int, is_global boolean"
-USE = "ordinal int, inside int, type string, name string, qualifier string, line int, instantiates boolean"
+USE = "ordinal int, inside int, type string, name string, qualifier string, line int, instantiates boolean, receiver_type string, receiver_base string, segments array<struct<name: string, call: boolean, new: boolean>>"
 
 
 def parse_files(files: DataFrame, roots: list[str] = ("",)) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
