@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -38,7 +39,23 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what :func:`materialize` wrote; nothing may read it afterwards."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished rounds: it does so when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 #: Rows of an Arrow batch at most: with long texts, a worker's memory follows the batch.
@@ -54,9 +71,9 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the input's bytes: a partition count without a job."""
+    """Catalyst's estimate of the input's bytes: a partition count without a job. 0 where it has none."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(size, 1 << 50)
+    return size if size < 1 << 60 else 0
 
 
 def parts_for(df: DataFrame, bytes_each: int) -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -27,4 +27,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = large.union(both.filter("w < u").join(least, "u").select("u", F.col("m").alias("w"))).distinct()
         low = large.groupBy("u").agg(F.min("w").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("v"), F.col("m").alias("root")), F.struct(F.col("w").alias("v"), F.col("m").alias("root")))).alias("e")).select("e.v", "e.root")
-        now = materialize(small.filter("v <> root").distinct(), "edges")
+        done, now = now, materialize(small.filter("v <> root").distinct(), "edges")
+        discard(done)

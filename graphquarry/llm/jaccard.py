@@ -18,10 +18,12 @@ with another seed, where it meets all sets in the same case. Contents that more
 than ``CROWD`` sets share are not paired off, and need not be, but for sets in
 which they weigh more than ``spare`` together with the empty ones.
 
-Candidates are verified on the texts. Links are found in three rounds: each set
-with its most frequent companion; then, of candidates that are not yet in one
-component and whose sketches (which bound the difference from below) allow a
-link, as many as would join the components; then all that are still apart.
+Candidates are compared by sketches, which bound the difference from below, and
+those that may be linked are verified on the texts. Links are found in three
+rounds: each set with its most frequent companion; then, of candidates that are
+not yet in one component, as many as would join the components; then all that
+are still apart. Texts move only for sets in such pairs: a bitmap of fixed size
+keeps most others back where they are read.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, chunks, empty_binary, materialize, mix64, parts_for, small_batches, word_hashes
+from .common import U64, chunks, discard, empty_binary, materialize, mix64, parts_for, small_batches, word_hashes
 from .components import connected_components
 from .suffixes import pack, unpack
 
@@ -43,8 +45,8 @@ from .suffixes import pack, unpack
 WORDS, PERCENT = 5, 80
 #: Levels of hashing; members of a content that are paired off at most.
 LEVELS, CROWD = 6, 32
-#: Bits of the least sketch.
-SKETCH = 512
+#: Bits of the least sketch, and of the bitmap of sets whose texts are asked for; members of a crowd in a row.
+SKETCH, SIEVE, ROW = 512, 1 << 26, 32
 #: Bytes of text that are shingled at once, signatures that a task holds, and bytes of input for each partition of signatures.
 PIECE, HELD, PART_BYTES = 1 << 19, 1 << 20, 8 << 20
 
@@ -206,37 +208,59 @@ def signatures(shingles: np.ndarray, sizes: np.ndarray, plan: np.ndarray, lower:
         who = who[stuck]
 
 
-def _describe(carry: list[str], schema: pa.Schema):
-    """Rows of ``carry`` with the size and the name of each text's set."""
+def _describe(carry: list[str], schema: pa.Schema, sketched: bool = False):
+    """Rows of ``carry`` with the size and the name of each text's set; with ``sketched`` also the name's first half and the sketch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, name = [], []
+            size, name, key, bits = [], [], [], []
             for some in chunks(batch.column("__text").to_pylist(), PIECE):
                 shingles, sizes = shingle_sets(some)
+                one, two = set_keys(shingles, sizes)
                 size.append(sizes)
-                name += _names(*set_keys(shingles, sizes))
+                name += _names(one, two)
+                key.append(one.view(np.int64))
+                bits += sketches(shingles, sizes) if sketched else ()
             size = np.concatenate(size) if size else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), pa.array(size.astype(np.int64)), pa.array([x if s else None for x, s in zip(name, size)], pa.binary())], schema=schema)
+            more = [pa.array(np.concatenate(key) if key else size, pa.int64()), pa.array([x if s else None for x, s in zip(bits, size)], pa.binary())] if sketched else []
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), pa.array(size.astype(np.int64)), pa.array([x if s else None for x, s in zip(name, size)], pa.binary()), *more], schema=schema)
 
     return run
 
 
-def _sign(plan: np.ndarray, parts: int):
+def _planes(values: np.ndarray, kind: str) -> bytes:
+    """Numbers, the bytes of one weight together: those that are all zero cost next to nothing."""
+    return np.ascontiguousarray(values.astype(kind).view(np.uint8).reshape(len(values), -1).T).tobytes()
+
+
+def _unplanes(planes: bytes, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
+def signature_bits(plan: np.ndarray, by_band: np.ndarray, parts: int) -> int:
+    """Bits of a signature beside its partition, such that unequal ones seldom meet, however many there are."""
+    sent = 1.0
+    for k, (f, g, _) in enumerate(plan.tolist()):
+        sent += int(by_band[k]) * (f + g * (1 + BANDS[k][0] / max(1, f + g)))
+    return min(48, max(24, math.ceil(math.log2(sent) + 10 - math.log2(parts))))
+
+
+def _sign(plan: np.ndarray, parts: int, width: int):
     """One run of signatures for each partition and stretch of documents."""
     schema = pa.schema([("part", pa.int64()), ("run", pa.binary())])
 
     def flush(held: list, entries: list) -> pa.RecordBatch:
         sig, owner, flag = (np.concatenate([h[k] for h in held]) for k in range(3))
         keys, slack, code = (np.concatenate([e[k] for e in entries]) for k in range(3))
-        part = (sig % U64(parts)).astype(np.int64)
+        part, sig = (sig % U64(parts)).astype(np.int64), sig >> U64(64 - width)
         order = np.lexsort((sig, part))
         borders = np.flatnonzero(np.diff(part[order], prepend=-1, append=-1))
         rows = []
         for a, b in zip(borders[:-1], borders[1:]):
             here = order[a:b]
             used, local = np.unique(owner[here], return_inverse=True)
-            six = (sig[here] >> U64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-            rows.append((int(part[here[0]]), pack((np.ascontiguousarray(six.T).tobytes(), local.astype("<u4").tobytes(), flag[here].astype(np.uint8).tobytes(), keys[used].tobytes(), slack[used].astype("<i4").tobytes(), code[used].astype(np.uint8).tobytes()))))
+            steps = np.diff(sig[here], prepend=U64(0))
+            rows.append((int(part[here[0]]), pack((_planes(steps, "<u8"), _planes(local, "<u4"), flag[here].astype(np.uint8).tobytes(), keys[used].tobytes(), slack[used].astype("<i4").tobytes(), code[used].astype(np.uint8).tobytes()))))
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,14 +300,12 @@ _FOUND = "kind int, gid long, members array<long>, slack array<int>, weight int,
 def _meet(crowd: int):
     """Signatures that two or more sets share: whole small groups once, memberships of crowded ones."""
     def run(table: pa.Table) -> pa.Table:
-        sig, owner, flag, keys, slack, code, base = [], [], [], [], [], [], 0
+        part, base = table.column("part")[0].as_py(), 0
+        sig, owner, flag, keys, slack, code = [], [], [], [], [], []
         for blob in table.column("run").to_pylist():
             a, b, c, d, e, f = unpack(blob)
-            six = np.frombuffer(a, np.uint8).reshape(6, -1)
-            wide = np.zeros((six.shape[1], 8), np.uint8)
-            wide[:, :6] = six.T
-            sig.append(wide.view("<u8").ravel())
-            owner.append(np.frombuffer(b, "<u4").astype(np.int64) + base)
+            sig.append(np.cumsum(_unplanes(a, "<u8"), dtype=U64))
+            owner.append(_unplanes(b, "<u4").astype(np.int64) + base)
             flag.append(np.frombuffer(c, np.uint8))
             keys.append(np.frombuffer(d, U64))
             slack.append(np.frombuffer(e, "<i4"))
@@ -311,9 +333,9 @@ def _meet(crowd: int):
         for k in np.flatnonzero(good & (many > crowd)):
             here = np.arange(start[k], end[k])
             here = here[fresh[here] == 1]
-            g = int(mix64(sig[start[k]:start[k] + 1] + U64(1)).view(np.int64)[0])
-            for at in range(0, len(here), 512):
-                some = here[at:at + 512]
+            g = int(mix64(sig[start[k]:start[k] + 1] + (U64(part + 1) << U64(48))).view(np.int64)[0])
+            for at in range(0, len(here), ROW):
+                some = here[at:at + ROW]
                 if at:
                     some = np.concatenate([here[:1], some])
                 out.append((1, g, key[some].view(np.int64).tolist(), slack[owner[some]].tolist(), int(flag[some[0]] & 3), code[owner[some]].tolist()))
@@ -324,22 +346,49 @@ def _meet(crowd: int):
     return run
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each set once for each task, with a text that has it."""
-    seen: set[bytes] = set()
+def _texts(sent):
+    """Sets that the bitmap lets through, once for each task, with a text that has them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for batch in batches:
+            rows = []
+            for some in chunks(batch.column("__text").to_pylist(), PIECE):
+                shingles, sizes = shingle_sets(some)
+                one, two = set_keys(shingles, sizes)
+                place = one & U64(SIEVE - 1)
+                asked = (sizes > 0) & ((sent.value[(place >> U64(6)).astype(np.int64)] >> (place & U64(63))) & U64(1) != 0)
+                names = _names(one, two)
+                for k in np.flatnonzero(asked).tolist():
+                    if names[k] not in seen:
+                        seen.add(names[k])
+                        rows.append((names[k], some[k]))
+            if len(seen) > 500_000:
+                seen.clear()
+            columns = list(zip(*rows)) if rows else [[]] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()) for c in columns], names=["c", "text"])
+
+    return run
+
+
+def _fetch(body: DataFrame, asked: DataFrame) -> DataFrame:
+    """``c, text`` of the sets named in ``asked`` (``c``, and ``k``, its first half as a number)."""
+    place = F.col("k").bitwiseAND(F.lit(SIEVE - 1))
+    words = asked.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(k & 63L as int))")).alias("bits")).toArrow()
+    sieve = np.zeros(SIEVE // 64, U64)
+    sieve[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(U64)
+    sent = body.sparkSession.sparkContext.broadcast(sieve)
+    return materialize(body.mapInArrow(_texts(sent), "c binary, text binary").join(asked.select("c").distinct(), "c", "left_semi").dropDuplicates(["c"]), "texts")
+
+
+def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pairs with sizes and sketches those that may be linked."""
     for batch in batches:
-        rows = []
-        for some in chunks(batch.column("__text").to_pylist(), PIECE):
-            shingles, sizes = shingle_sets(some)
-            one, two = set_keys(shingles, sizes)
-            for text, name, key, n, bits in zip(some, _names(one, two), one.view(np.int64).tolist(), sizes.tolist(), sketches(shingles, sizes)):
-                if n and name not in seen:
-                    seen.add(name)
-                    rows.append((key, name, n, text, bits))
-        if len(seen) > 500_000:
-            seen.clear()
-        columns = list(zip(*rows)) if rows else [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary()))], names=["k", "c", "n", "text", "bits"])
+        keep = []
+        for m, n, x, y in zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "xa", "xb"))):
+            least = min(len(x), len(y))
+            apart = int(np.bitwise_count(fold(x, least) ^ fold(y, least)).sum(dtype=np.int64))
+            keep.append(100 * min(m, n) >= PERCENT * max(m, n) and apart <= (m + n) * (100 - PERCENT) // (100 + PERCENT))
+        yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
 
 def _plausible(forest: bool):
@@ -419,18 +468,17 @@ def similar_documents(docs: DataFrame, text: str = "text", carry: tuple[str, ...
     ``set_name`` names the shingle set (null: empty); rows of one name are
     copies. ``component_id`` is the least ``doc_id`` that links reach. A text
     without words (null, empty) is linked with nothing. Null ids count as
-    absent from the minimum. Repeated rows stay.
+    absent from the minimum. Repeated rows stay. A carried column named like
+    one of the three results gives way to it. A very long text is one set and
+    is read whole; an empty table has no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
     body = docs.select(empty_binary(F.col(text)).alias("__text"))
-    kept = [*dict.fromkeys((*carry, doc_id))]
-    described = docs.select(*(F.col(c).alias(f"c{k}") for k, c in enumerate(kept)), empty_binary(F.col(text)).alias("__text"))
-    kinds = docs.select(*kept).schema
-    schema = ", ".join(f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(kinds)) + ", n_shingles long, set_name binary"
-    empty = spark.createDataFrame([], schema)
-    listed = described.mapInArrow(_describe([f"c{k}" for k in range(len(kept))], _arrow(empty)), schema)
-    narrow = materialize(listed.select(F.col(f"c{kept.index(doc_id)}").alias("id"), "n_shingles", "set_name"), "sets")
+    kind = docs.select(doc_id).schema[0].dataType.simpleString()
+    shape = f"id {kind}, n_shingles long, set_name binary, k long, bits binary"
+    listed = docs.select(F.col(doc_id).alias("id"), empty_binary(F.col(text)).alias("__text")).mapInArrow(_describe(["id"], _arrow(spark.createDataFrame([], shape)), True), shape)
+    narrow = materialize(listed, "sets")
 
     held = narrow.filter("n_shingles > 0").groupBy(F.col("n_shingles")).count()
     plan = np.zeros((len(BANDS), 3), dtype=np.int64)
@@ -446,37 +494,57 @@ def similar_documents(docs: DataFrame, text: str = "text", carry: tuple[str, ...
         plan[k] = allocate(k, int(by_band[k])) if by_band[k] else (1, 0, 0)
 
     parts = parts_for(docs, PART_BYTES)
-    found = materialize(body.mapInArrow(_sign(plan, parts), "part long, run binary").groupBy("part").applyInArrow(_meet(crowd), _FOUND), "met")
-    wanted = found.select(F.explode("members").alias("k")).distinct()
-    texts = materialize(body.mapInArrow(_texts, "k long, c binary, n long, text binary, bits binary").join(wanted, "k", "left_semi").dropDuplicates(["k", "c"]), "texts")
-    names = texts.select("k", "c", "n")
-
-    companions = found.select(F.element_at("members", 1).alias("p"), F.explode(F.slice("members", 2, 1 << 30)).alias("k")).groupBy("k", "p").count()
-    best = companions.groupBy("k").agg(F.max_by("p", F.struct("count", "p")).alias("p"))
-    pairs = best.join(names.select("k", F.col("c").alias("b")), "k").join(names.select(F.col("k").alias("p"), F.col("c").alias("a")), "p").filter("a <> b").select("a", "b")
+    found = body.mapInArrow(_sign(plan, parts, signature_bits(plan, by_band, parts)), "part long, run binary").groupBy("part").applyInArrow(_meet(crowd), _FOUND)
+    zipped = F.explode(F.arrays_zip("members", "slack", "code")).alias("x")
+    #: Rows of at most ``ROW`` members are dealt out before they are taken apart, so no task has a crowd's members alone.
+    dealt = found.repartition(F.xxhash64("gid", "members")).select("kind", "gid", "weight", F.element_at("members", 1).alias("p"), zipped)
+    members = materialize(dealt.select("kind", "gid", "weight", "p", F.col("x.members").alias("k"), F.col("x.slack").alias("slack"), F.col("x.code").alias("code")), "met")
+    wanted = members.select("k").distinct()
+    names = materialize(narrow.filter("n_shingles > 0").select("k", F.col("set_name").alias("c"), F.col("n_shingles").alias("n"), "bits").join(wanted, "k", "left_semi").dropDuplicates(["c"]), "names")
+
+    best = members.filter("k <> p").groupBy("k", "p").count().groupBy("k").agg(F.max_by("p", F.struct("count", "p")).alias("p"))
+    side = lambda key, c, n, x: names.select(F.col("k").alias(key), F.col("c").alias(c), F.col("n").alias(n), F.col("bits").alias(x))
+    pairs = best.join(side("k", "b", "nb", "xb"), "k").join(side("p", "a", "na", "xa"), "p").filter("a <> b").select("a", "b", "na", "nb", "xa", "xb")
+    pairs = materialize(pairs.mapInArrow(_close, "a binary, b binary"), "pairs")
+    of = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+    texts = _fetch(body, of(pairs).join(names.select("c", "k"), "c"))
     first = materialize(_links(pairs, texts), "links")
     labels = connected_components(first)
+    discard(pairs, first)
 
-    small = found.filter("kind = 0").dropDuplicates(["gid"]).select("gid", F.explode("members").alias("k"))
-    crowds = found.filter("kind = 1").select("gid", "weight", F.explode(F.arrays_zip("members", "slack", "code")).alias("x")).select("gid", "weight", F.col("x.members").alias("k"), F.col("x.slack").alias("slack"), F.col("x.code").alias("code")).distinct()
+    small = members.filter("kind = 0").select("gid", "k").distinct()
+    crowds = members.filter("kind = 1").select("gid", "weight", "k", "slack", "code").distinct()
     dense = crowds.groupBy("k", "code", "slack").agg(F.sum("weight").alias("w")).filter("w >= slack").select("k", "code").distinct()
-    named = small.union(crowds.join(dense, ["k", "code"], "left_semi").select("gid", "k").distinct()).join(names, "k").select("gid", "c", "n")
+    named = small.union(crowds.join(dense, ["k", "code"], "left_semi").select("gid", "k").distinct()).join(names.select("k", "c", "n"), "k").select("gid", "c", "n")
+    known, done = [texts], None
     for forest in (True, False):
         placed = materialize(named.join(labels.withColumnRenamed("v", "c"), "c", "left").select("gid", "c", "n", F.coalesce("root", "c").alias("root")), "members")
         split = placed.groupBy("gid").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("gid")
         open_groups = materialize(placed.join(split, "gid", "left_semi"), "open")
-        dealt = open_groups.join(texts.select("c", "bits"), "c").withColumn("part", F.pmod("gid", F.lit(parts * 4)))
-        pairs = materialize(dealt.groupBy("part").applyInArrow(_plausible(forest), "a binary, b binary").distinct(), "pairs")
-        labels = connected_components(labels.toDF("a", "b").union(_links(pairs, texts)))
-        named = open_groups.select("gid", "c", "n")
-    roots = labels
-
-    ids = narrow.filter("n_shingles > 0").groupBy("set_name").agg(F.min("id").alias("least")).join(roots.withColumnRenamed("v", "set_name"), "set_name", "left").withColumn("root", F.coalesce("root", "set_name"))
+        discard(placed, *([done] if done is not None else []))
+        sketched = open_groups.join(names.select("c", "bits"), "c").withColumn("part", F.pmod("gid", F.lit(parts * 4)))
+        pairs = materialize(sketched.groupBy("part").applyInArrow(_plausible(forest), "a binary, b binary").distinct(), "pairs")
+        missing = materialize(of(pairs).join(texts.select("c"), "c", "left_anti").join(names.select("c", "k"), "c"), "missing")
+        if not missing.isEmpty():
+            known.append(_fetch(body, missing))
+            texts = texts.union(known[-1])
+        before, labels = labels, connected_components(labels.toDF("a", "b").union(_links(pairs, texts)))
+        discard(before, pairs, missing)
+        named, done = open_groups.select("gid", "c", "n"), open_groups
+    discard(members, names, done, *known)
+
+    ids = narrow.filter("n_shingles > 0").groupBy("set_name").agg(F.min("id").alias("least")).join(labels.withColumnRenamed("v", "set_name"), "set_name", "left").withColumn("root", F.coalesce("root", "set_name"))
     least = ids.groupBy("root").agg(F.min("least").alias("component_id"))
     by_set = ids.join(least, "root").select("set_name", "component_id")
-    out = listed.join(by_set, "set_name", "left")
-    own = F.col(f"c{kept.index(doc_id)}")
-    return out.select(*(F.col(f"c{kept.index(c)}").alias(c) for c in carry), "n_shingles", "set_name", F.when(F.col("n_shingles") == 0, own).otherwise(F.col("component_id")).alias("component_id"))
+    kept = [c for c in carry if c not in ("n_shingles", "set_name", "component_id")]
+    if set(kept) <= {doc_id}:
+        out, own = narrow.select("id", "n_shingles", "set_name"), {doc_id: "id"}
+    else:
+        own = {c: f"c{k}" for k, c in enumerate(dict.fromkeys((*kept, doc_id)))}
+        shape = "".join(f"{own[f.name]} {f.dataType.simpleString()}, " for f in docs.select(*own).schema) + "n_shingles long, set_name binary"
+        out = docs.select(*(F.col(c).alias(h) for c, h in own.items()), empty_binary(F.col(text)).alias("__text")).mapInArrow(_describe([*own.values()], _arrow(spark.createDataFrame([], shape))), shape)
+    out = out.join(by_set, "set_name", "left")
+    return out.select(*(F.col(own[c]).alias(c) for c in kept), "n_shingles", "set_name", F.when(F.col("n_shingles") == 0, F.col(own[doc_id])).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
