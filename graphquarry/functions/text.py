@@ -92,3 +92,44 @@ def is_code(token: Column, called: Column | None = None) -> Column:
     capital = (F.length(token) >= 4) & ~F.lower(token).isin(*sorted(STOP_WORDS))
     rest = F.lit(False) if called is None else ~token.rlike("^[A-Z]{2,}$") & called
     return (F.length(token) >= 2) & (marked | F.when(token.rlike("^[A-Z][a-z]+$"), capital).otherwise(rest))
+
+
+#: What a signature of each kind says about its kind, and names of clients.
+KIND_SAID = {"class": r"\b(class|record|struct)\b", "interface": r"\binterface\b", "enum": r"\benum\b", "type_alias": r"\b(type|delegate)\b", "type": r"\b(type|delegate)\b", "namespace": r"\b(namespace|package)\b", "function": r"\b(function|def)\b", "method": r"\bdef\b"}
+CLIENTS = {"claude-code": "Claude Code", "Visual Studio Code": "Copilot", "Visual Studio Code - Insiders": "Copilot"}
+
+
+def with_kind(kind: Column, signature: Column) -> Column:
+    """The signature, after its kind unless it says that itself."""
+    said = F.lit(False)
+    for name, pattern in KIND_SAID.items():
+        said = said | ((kind == name) & signature.rlike(pattern))
+    return F.when(said, signature).otherwise(F.concat_ws(" ", kind, signature))
+
+
+def line_range(start: Column, end: Column) -> Column:
+    return F.when(start == end, start.cast("string")).otherwise(F.concat_ws("-", start.cast("string"), end.cast("string")))
+
+
+def entry_header(kind: Column, name: Column, signature: Column, start: Column, end: Column, level: Column) -> Column:
+    """The line of a packed entry: its lines, then the signature at levels 2 and 3, else kind and name."""
+    return F.concat_ws(" ", line_range(start, end), F.when(level.isin(2, 3), with_kind(kind, signature)).otherwise(F.concat_ws(" ", kind, name)))
+
+
+def entry_doc(doc: Column, most: int = 400) -> Column:
+    return F.concat(F.lit("// "), truncate(collapse(F.coalesce(doc, F.lit(""))), most))
+
+
+def qualified_prefix(qualified: Column, name: Column) -> Column:
+    """What stands before the name in a qualified name; empty if nothing does."""
+    return F.when(qualified.endswith(name), F.substr(qualified, F.lit(1), F.length(qualified) - F.length(name))).otherwise(F.lit(""))
+
+
+def client_name(client: Column) -> Column:
+    known = F.create_map(*(F.lit(x) for pair in CLIENTS.items() for x in pair))
+    return F.coalesce(F.try_element_at(known, client), client)
+
+
+def grouped(number: Column) -> Column:
+    """A whole number with commas between its thousands."""
+    return F.format_number(number, 0)

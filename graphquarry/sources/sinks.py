@@ -109,3 +109,53 @@ def read_usage(spark, path: str) -> DataFrame:
     if not found:
         return spark.createDataFrame([], USAGE)
     return spark.read.schema(USAGE).option("mode", "DROPMALFORMED").json(found)
+
+
+class UsageTail:
+    """Follows a usage log: each ``read`` gives the records added since the last one.
+
+    It begins at the end, unless ``history`` is set; a half-written line waits
+    for its rest. When the log was put aside, what it still held is read from
+    there first. Lines that aren't JSON objects are skipped.
+    """
+
+    def __init__(self, path: str, history: bool = False):
+        self.path, self.partial = path, b""
+        self.offset = 0 if history else self._size(path)
+        self.node = self._node(path)
+
+    @staticmethod
+    def _size(path: str) -> int:
+        return os.path.getsize(path) if os.path.exists(path) else 0
+
+    @staticmethod
+    def _node(path: str) -> int | None:
+        return os.stat(path).st_ino if os.path.exists(path) else None
+
+    def _more(self, path: str, start: int) -> bytes:
+        with open(path, "rb") as f:
+            f.seek(start)
+            return f.read()
+
+    def read(self) -> list[dict]:
+        body, node = self.partial, self._node(self.path)
+        if node is None:
+            return []
+        if node != self.node or self._size(self.path) < self.offset:
+            aside = self.path + ".1"
+            if self.node is not None and self._node(aside) == self.node:
+                body += self._more(aside, self.offset)
+            body = body + b"\n" if body else body
+            self.offset, self.node = 0, node
+        new = self._more(self.path, self.offset)
+        self.offset += len(new)
+        *lines, self.partial = (body + new).split(b"\n")
+        out = []
+        for line in lines:
+            try:
+                record = json.loads(line)
+            except ValueError:
+                continue
+            if isinstance(record, dict):
+                out.append(record)
+        return out
