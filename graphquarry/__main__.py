@@ -29,9 +29,9 @@ def main(argv: list[str] | None = None) -> int:
         for row in index.symbol_source(args.argument).toLocalIterator():
             print(f"{row['path']}:{row['start_line']}\n{row['source']}\n")
     elif args.command == "references":
-        uses, _, callers = index.find_references(args.argument)
-        uses.show(80, False)
-        callers.join(index.symbols.select("id", "qualified_name"), "id").show(100, False)
+        found = index.find_references(args.argument)
+        for table in (found.uses, found.other, found.callers.select("level", "qualified_name", "path", "start_line"), found.unlinked):
+            table.show(100, False)
     elif args.command == "map":
         index.repo_map().select("path", "signature").show(200, False)
     else:

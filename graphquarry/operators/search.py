@@ -1,4 +1,4 @@
-"""Search: postings, BM25, ranked prefix search, filters for browsing, paging."""
+"""Search: BM25, ranked prefix search, filters for browsing, paging."""
 
 from __future__ import annotations
 
@@ -15,23 +15,33 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
-def postings(df: DataFrame, id: str, columns: dict[str, float]) -> DataFrame:
-    """``(id, term, tf, len)``: weighted term frequency over the columns, and the document's length."""
-    parts = [df.select(id, F.lit(float(w)).alias("w"), F.explode(tokens(F.col(c))).alias("term")) for c, w in columns.items()]
-    all_ = reduce(DataFrame.union, parts).groupBy(id, "term").agg(F.sum("w").alias("tf"), F.count("*").alias("n"))
-    return all_.withColumn("len", F.sum("n").over(Window.partitionBy(id))).drop("n")
+def prefix_scores(df: DataFrame, id: str, columns: dict[str, float], terms: list[str]) -> DataFrame:
+    """``df`` with ``hits``: for each term that a word of the row begins with ``(q, score)``, by BM25 with the columns' weights.
+
+    A term is counted in the row's own words, so nothing is shuffled but the
+    sums over all rows (their number, mean length, and rows with each term).
+    """
+    asked = list(dict.fromkeys(t.lower() for t in terms))
+    words = {c: tokens(F.col(c)) for c in columns}
+    size = reduce(lambda x, y: x + y, (F.size(w) for w in words.values()))
+    tf = lambda t: reduce(lambda x, y: x + y, (F.size(F.filter(words[c], lambda x: x.startswith(t))) * F.lit(float(n)) for c, n in columns.items()))
+    rows = df.withColumn("__len", size).withColumn("__tf", F.array(*map(tf, asked)))
+    total = rows.agg(F.count_if(F.col("__len") > 0).alias("__n"), F.avg(F.when(F.col("__len") > 0, F.col("__len"))).alias("__mean"), F.array(*(F.count_if(F.col("__tf")[k] > 0) for k in range(len(asked)))).alias("__df"))
+
+    def score(k: int):
+        n, tf, df = F.col("__n"), F.col("__tf")[k], F.col("__df")[k]
+        idf = F.greatest(F.log((n - df + 0.5) / (df + 0.5)), F.lit(1e-6))
+        return F.when(tf > 0, F.struct(F.lit(asked[k]).alias("q"), (idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("__len") / F.col("__mean")))).alias("score")))
+
+    scored = rows.crossJoin(F.broadcast(total)).withColumn("hits", F.array_compact(F.array(*map(score, range(len(asked))))))  # one row
+    return scored.drop("__len", "__tf", "__n", "__mean", "__df")
+
+
+_WEIGHTS = {"name": 10.0, "qualified_name": 2.0}
 
 
-def bm25(posts: DataFrame, id: str, terms: list[str], prefix: bool = False) -> DataFrame:
-    """``(id, score)`` of the documents that have every term (or a word that begins with it)."""
-    total = posts.select(id, "len").distinct().agg(F.count("*").alias("n_docs"), F.avg("len").alias("mean"))
-    asked = [t.lower() for t in terms]
-    match = F.array(*(F.when(F.col("term").startswith(t) if prefix else F.col("term") == t, F.lit(t)) for t in asked))
-    hits = posts.withColumn("q", F.explode(F.array_compact(match))).groupBy(id, "q", "len").agg(F.sum("tf").alias("tf"))
-    hits = hits.withColumn("df", F.count("*").over(Window.partitionBy("q"))).crossJoin(F.broadcast(total))
-    idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    return hits.groupBy(id).agg(F.sum(part).alias("score"), F.count("*").alias("__n")).filter(F.col("__n") == len(set(asked))).drop("__n")
+def _order(query: Column) -> list[Column]:
+    return [(F.lower("name") == query).desc(), F.lower("name").startswith(query).desc(), F.round("score", 6).desc(), F.length("qualified_name"), F.col("id")]
 
 
 def ranked_prefix_search(symbols: DataFrame, query: str, limit: int = 20, kind: str | None = None, language: str | None = None) -> DataFrame:
@@ -40,15 +50,20 @@ def ranked_prefix_search(symbols: DataFrame, query: str, limit: int = 20, kind:
     Order: exact name, then name prefix (both without case), BM25 (name 10,
     qualified name 2), shorter qualified name, id.
     """
-    some = symbols
-    if kind:
-        some = some.filter(F.col("kind") == kind)
-    if language:
-        some = some.filter(F.col("language") == language)
     asked = query.lower()
-    scored = bm25(postings(symbols, "id", {"name": 10.0, "qualified_name": 2.0}), "id", asked.split(), prefix=True)
-    found = some.join(scored, "id")
-    return found.orderBy((F.lower("name") == asked).desc(), F.lower("name").startswith(asked).desc(), F.round("score", 6).desc(), F.length("qualified_name"), "id").limit(limit)
+    terms = set(asked.split())
+    found = prefix_scores(symbols, "id", _WEIGHTS, sorted(terms) or [""]).filter(F.size("hits") == max(1, len(terms)))
+    for column, value in (("kind", kind), ("language", language)):
+        found = found.filter(F.col(column) == value) if value else found
+    return found.withColumn("score", F.aggregate("hits", F.lit(0.0), lambda s, h: s + h["score"])).drop("hits").orderBy(*_order(F.lit(asked))).limit(limit)
+
+
+def best_by_prefix(symbols: DataFrame, some: DataFrame, words: list[str], most: int) -> DataFrame:
+    """For each word the ``most`` best of ``some`` by :func:`ranked_prefix_search`: ``q, place, id, name, qualified_name, kind``; scores are over all ``symbols``."""
+    hits = prefix_scores(symbols.select("id", "name", "qualified_name", "kind"), "id", _WEIGHTS, words).filter(F.size("hits") > 0).join(some.select("id"), "id", "left_semi").select("id", "name", "qualified_name", "kind", F.explode("hits").alias("h"))
+    flat = hits.select("id", "name", "qualified_name", "kind", "h.q", "h.score").withColumn("salt", F.pmod(F.hash("id"), F.lit(64)))
+    top = lambda df, *by: df.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*_order(F.col("q"))))).filter(F.col("place") <= most)
+    return top(top(flat, "q", "salt").drop("place"), "q").select("q", "place", "id", "name", "qualified_name", "kind")
 
 
 def escape_like(text: str) -> str:

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.relate import changes, replace_rows
+from ..operators.state import cut
+from ..sources import store
 
 LANDING = "path string, content string, deleted boolean"
+FILES = "path string, content string, hash string"
 
 
 def read_landing(spark: SparkSession, folder: str) -> DataFrame:
@@ -24,30 +28,49 @@ def latest(batch: DataFrame) -> DataFrame:
 
 
 class IncrementalIndex:
-    """A table of files in versions; each batch rewrites it with what really changed.
+    """A table of files in buckets of paths; each batch rewrites those that it touches.
 
-    A version is written whole before it is named current, so readers always
-    see one batch's state, and a batch that runs again gives the same version.
+    A note beside the data says which version of each bucket is current and
+    which batch made it. It is replaced once a batch's buckets are written
+    whole, so readers see one batch's state, an index opened anew on the folder
+    goes on where the last one ended, and a batch that runs again after it was
+    applied does nothing.
     """
 
-    def __init__(self, spark: SparkSession, root: str, on_change: Callable[[DataFrame], None] | None = None):
+    def __init__(self, spark: SparkSession, root: str, on_change: Callable[[DataFrame], None] | None = None, buckets: int = 64):
         self.spark, self.root, self.on_change = spark, root.rstrip("/"), on_change
-        self.version = -1
+        note = self._note()
+        self.buckets = note["buckets"] if note else buckets
+
+    def _note(self) -> dict | None:
+        return store.read_note(self.spark, f"{self.root}/current.json")
+
+    def _read(self, folders: list[str]) -> DataFrame:
+        return self.spark.read.schema(FILES).parquet(*folders) if folders else self.spark.createDataFrame([], FILES)
 
     def files(self) -> DataFrame:
-        if self.version < 0:
-            return self.spark.createDataFrame([], "path string, content string, hash string")
-        return self.spark.read.parquet(f"{self.root}/v{self.version}")
+        note = self._note()
+        return self._read(sorted(set(note["current"].values())) if note else [])
+
+    def _bucket(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("bucket", F.pmod(F.xxhash64("path"), F.lit(self.buckets)).cast("int"))
 
     def apply(self, batch: DataFrame, number: int) -> None:
-        now = latest(batch).withColumn("hash", F.sha1("content"))
-        gone = now.filter("deleted").select("path")
-        new = now.filter("not coalesce(deleted, false)").select("path", "content", "hash")
-        old = self.files()
-        state = changes(old.join(now.select("path"), "path", "left_semi"), new, "path", "hash")
+        note = self._note() or {"batch": -1, "buckets": self.buckets, "current": {}}
+        if number <= note["batch"]:
+            return
+        now = cut(self._bucket(latest(batch).withColumn("hash", F.sha1("content"))))
+        touched = sorted(r["bucket"] for r in now.select("bucket").distinct().collect())  # at most ``buckets``
+        old = self._read([note["current"][str(k)] for k in touched if str(k) in note["current"]])
+        gone, new = now.filter("deleted").select("path"), now.filter("not coalesce(deleted, false)").select("path", "content", "hash")
+        state = cut(changes(old.join(now.select("path"), "path", "left_semi"), new, "path", "hash"))
         moved = new.join(state.filter("state in ('added', 'changed')"), "path", "left_semi")
-        replace_rows(old, moved, gone, "path").write.mode("overwrite").parquet(f"{self.root}/v{number}")
-        self.version = number
+        where = f"{self.root}/b{number}-{uuid.uuid4().hex}"
+        rows = self._bucket(replace_rows(old, moved, gone, "path")).repartition("bucket")
+        rows.write.partitionBy("bucket").parquet(where)
+        kept = {r["bucket"] for r in rows.select("bucket").distinct().collect()}
+        current = {k: v for k, v in note["current"].items() if int(k) not in touched} | {str(k): f"{where}/bucket={k}" for k in touched if k in kept}
+        store.write_note(self.spark, f"{self.root}/current.json", note | {"batch": number, "current": current})
         if self.on_change:
             self.on_change(state.filter("state <> 'unchanged'"))
 

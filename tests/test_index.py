@@ -1,7 +1,10 @@
+import math
+import random
+
 import duckdb
 
 from graphquarry.api import Index
-from graphquarry.operators import pack
+from graphquarry.operators import answers, pack
 from graphquarry.sources import sinks
 from graphquarry.streaming import watch
 
@@ -21,23 +24,87 @@ def test_requests(spark, tmp_path):
     assert [r["qualified_name"] for r in index.search_symbols("pri").collect()] == ["shop.pricing.price", "shop.pricing.tax"]  # the module's name counts, too
     assert [r["line"] for r in index.file_outline("shop/cart.py").collect()] == ["class Cart", "def total(self)", "def pay(self)"]
     assert index.symbol_source("shop.cart.Cart.pay").collect()[0]["source"] == "def pay(self):\n    return self.total()"
-    uses, other, callers = index.find_references("shop.pricing.price")
+    found = index.find_references("shop.pricing.price")
+    uses, other, callers = found.uses, found.other, found.callers
     names = {r["id"]: r["qualified_name"] for r in index.symbols.collect()}
     assert {(names[r["id"]], r["level"]) for r in callers.collect()} == {("shop.cart.Cart.total", 1), ("shop.cart.Cart.pay", 2)}
     assert [(r["path"], r["line"]) for r in uses.collect()] == [("shop/cart.py", 6)] and ("shop/cart.py", 1) in {(r["path"], r["line"]) for r in other.collect()}
-    assert {r["qualified_name"] for r in index.callees("shop.cart.Cart").collect()} == {"shop.pricing.price"}
+    assert not found.truncated and [r["source"] for r in found.code.collect()] == ["    def total(self):\n        return price(3)"]
+    assert {r["qualified_name"] for r in index.callees("shop.cart.Cart")[0].collect()} == {"shop.pricing.price"}
+    assert [r["source"] for r in index.exact_match("pay").collect()] == ["    def pay(self):\n        return self.total()"] and index.exact_match("Cart").count() == 0
+    assert [(r["shown"], r["path"]) for r in index.symbol_source(["shop.pricing.tax", "Cart"]).orderBy("path").collect()] == [("whole", "shop/cart.py"), ("whole", "shop/pricing.py")]
+    levels, tests = answers.blast_groups(index.find_references("shop.pricing.price", 5).callers)
+    assert [(r["level"], r["names"]) for r in levels.collect()] == [(1, "shop.cart.Cart.total"), (2, "shop.cart.Cart.pay")]
     assert index.repo_map().count() == 6 and index.repo_map(100, "shop").count() >= 1
-    got = index.get_context(["shop.pricing.price"]).collect()
+    by_name = {v: k for k, v in names.items()}
+    seeds = lambda task: answers.seeds_from_task(index.symbols, index.ranks(), task)
+    assert seeds("Cart.pay is slow") == ([by_name["shop.cart.Cart.pay"]], []) and seeds("why does tax() run") == ([by_name["shop.pricing.tax"]], [])
+    assert seeds("look into pricing totals and missing_name") == ([], []) and seeds("what is the tota of carts, pays") == ([], [by_name["shop.cart.Cart.total"]])
+    assert [names[r["id"]] for r in index.get_context("the tota is wrong").filter("seed").collect()] == ["shop.cart.Cart.total"]
+    saved = str(tmp_path / "kept")
+    index.save(saved)
+    assert Index.open(spark, saved).uses.count() == index.uses.count()
+    got = index.get_context(seeds=["shop.pricing.price"]).collect()
     assert [(names[r["id"]], r["level"]) for r in got if r["seed"]] == [("shop.pricing.price", 4)] and len(got) > 2
 
 
-def test_pack_keeps_budget():
-    rows = [{"id": k, "path": f"p{k % 3}", "start_line": k, "name": f"n{k}", "signature": f"def n{k}(a, b)", "doc": "d" * 50 if k % 2 else None, "chars": 400, "hops": k % 3, "score": 1 / (k + 1)} for k in range(60)]
-    for budget in (500, 1500, 3000):
-        out = pack.pack(rows, {0, 1}, budget)
-        spent = sum(pack.cost(r, r["level"]) for r in out)
-        assert 0 < spent <= 0.9 * budget and out == pack.pack(rows, {0, 1}, budget)
-        assert not any(r["level"] == 4 and r["hops"] >= 2 or r["level"] == 3 and not r["doc"] for r in out)
+def plain_pack(rows, seeds, budget, above):
+    """The packing rule without any shortcut: all is recomputed from the shown levels."""
+    limit, by_id = math.floor(0.9 * budget), {r["id"]: r for r in rows}
+    everyone = by_id | {x["id"]: by_id.get(x["id"], x) for some in above.values() for x in some}
+
+    def total(levels):
+        seen = {by_id[k]["path"] for k in levels if k in by_id and k in shown}
+        return sum(pack.cost(everyone[k], v) for k, v in levels.items()) + sum(math.ceil((len(p) + 1) / 4) for p in seen)
+
+    def value(levels):
+        return sum(by_id[k]["score"] * pack.LEVEL_VALUE[v] for k, v in levels.items() if k in by_id)
+
+    def with_(levels, r, level):
+        out = dict(levels)
+        if r["id"] not in out:
+            for x in above.get(r["id"], ()):
+                if x["id"] in out:
+                    break
+                out[x["id"]] = 1
+        return out | {r["id"]: level}
+
+    levels, shown, used = {}, set(), 0
+    choices = lambda r: [k for k in range(levels.get(r["id"], 0) + 1, (3 if r["members"] or r["hops"] >= 2 else 4) + 1) if k != 3 or r["d"]]
+
+    def step(r, level):
+        nonlocal shown
+        before, held = total(levels), shown
+        shown = shown | {r["id"]}
+        after = total(with_(levels, r, level))
+        gain = value(with_(levels, r, level)) - value(levels)
+        shown = held
+        return after - before, gain
+
+    spent = 0
+    for r in rows:
+        for level in reversed(choices(r)) if r["id"] in seeds else ():
+            more, _ = step(r, level)
+            if spent + more <= limit and used + more <= 0.6 * budget:
+                levels, shown, spent, used = with_(levels, r, level), shown | {r["id"]}, spent + more, used + more
+                break
+    while True:
+        options = [(gain / max(more, 1), -k, -level, r, more) for k, r in enumerate(rows) for level in choices(r) for more, gain in [step(r, level)] if gain > 0 and spent + more <= limit]
+        if not options:
+            return levels
+        _, _, level, r, more = max(options, key=lambda o: o[:3])
+        levels, shown, spent = with_(levels, r, -level), shown | {r["id"]}, spent + more
+
+
+def test_pack_against_the_plain_rule():
+    rng = random.Random(3)
+    for _ in range(25):
+        rows = [{"id": k, "path": f"p{k % 4}", "start_line": k, "h1": rng.randint(8, 30), "h2": rng.randint(20, 120), "d": rng.choice([None, 50, 200]), "chars": rng.randint(40, 900), "members": k % 7 == 0, "hops": k % 3, "score": rng.uniform(0.01, 3)} for k in range(30)]
+        above = {k: [{"id": 100 + k % 4, "path": f"p{k % 4}", "start_line": 0, "h1": 12}] for k in range(30) if k % 2} | {k: [{"id": k - 8, "path": f"p{k % 4}", "start_line": k - 8, "h1": rows[k - 8]["h1"]}] for k in (8, 18, 28)}
+        for budget in (500, 1500):
+            out = pack.pack(rows, {0, 1, 3}, budget, above)
+            assert {r["id"]: r["level"] for r in out} == plain_pack(rows, {0, 1, 3}, budget, above)
+            assert out == sorted(out, key=lambda r: (r["path"], r["start_line"], r["id"]))
 
 
 def test_csv_and_script(spark, tmp_path):
@@ -71,6 +138,13 @@ def test_stream_equals_batch(spark, tmp_path):
     run()
     assert {r["path"]: r["content"] for r in index.files().collect()} == {"a": "2", "c": "3"}
     assert seen == [{"a": "added", "b": "added"}, {"a": "changed", "b": "gone", "c": "added"}]
+    (landing / "3.json").write_text('{"path": "d", "content": "4"}\n')
+    index = watch.IncrementalIndex(spark, str(tmp_path / "out"))
+    run()
+    assert {r["path"]: r["content"] for r in index.files().collect()} == {"a": "2", "c": "3", "d": "4"}
+    untouched = {k: v for k, v in index._note()["current"].items() if "/b2-" not in v}
+    index.apply(spark.createDataFrame([("z", "9", False)], watch.LANDING), 2)  # a batch that was applied
+    assert index.files().count() == 3 and len(untouched) >= 1
 
 
 def test_event_windows(spark):
