@@ -10,6 +10,7 @@ and no piece is ever built.
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections import deque
 from collections.abc import Iterable, Iterator
 
@@ -89,12 +90,12 @@ def count_tokens(docs: DataFrame, pieces: list[bytes], text: str = "text", keys:
     that of the vocabulary file. Other columns are ignored, repeated rows stay.
     """
     spark: SparkSession = docs.sparkSession
-    sent = spark.sparkContext.broadcast(pieces)
+    sent, name = spark.sparkContext.broadcast(pieces), digest_of(pieces)
     kinds = dict(docs.dtypes)
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", n_bytes bigint, n_words bigint, n_tokens bigint"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        machine = _machine(sent)
+        machine = _machine(sent, name)
         known: dict[bytes, int] = {}
         for frame in frames:
             rows = []
@@ -114,13 +115,20 @@ def count_tokens(docs: DataFrame, pieces: list[bytes], text: str = "text", keys:
     return docs.select(*keys, empty_binary(F.col(text)).alias("__text")).mapInPandas(run, schema)
 
 
-_built: dict[int, LongestMatch] = {}
+def digest_of(pieces: Iterable[bytes]) -> bytes:
+    """A name for a vocabulary, from all its pieces."""
+    out = hashlib.sha256()
+    for piece in pieces:
+        out.update(len(piece).to_bytes(4, "little") + piece)
+    return out.digest()
 
 
-def _machine(sent) -> LongestMatch:
-    """One automaton for each Python worker and vocabulary."""
-    key = hash(tuple(sent.value[:64])) ^ len(sent.value)
-    if key not in _built:
+_built: dict[bytes, LongestMatch] = {}
+
+
+def _machine(sent, name: bytes) -> LongestMatch:
+    """The automaton of a vocabulary; a Python worker keeps the last one."""
+    if name not in _built:
         _built.clear()
-        _built[key] = LongestMatch(sent.value)
-    return _built[key]
+        _built[name] = LongestMatch(sent.value)
+    return _built[name]

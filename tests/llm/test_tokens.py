@@ -26,3 +26,11 @@ def test_odd_input(spark):
     out = count_tokens(spark.createDataFrame(rows, "doc_id long, text string, n_tokens long"), [b" ab", b"xx"]).collect()
     assert sorted((r["n_words"], r["n_tokens"]) for r in out) == [(0, 0), (0, 0), (1, 50001), (1, 50001), (3, 4)]
     assert count_tokens(spark.createDataFrame([], "doc_id long, text string"), [b"a"]).count() == 0
+
+
+def test_vocabularies_that_begin_alike_in_one_worker(spark):
+    shared = [bytes([97 + k % 26, 97 + k // 26]) for k in range(70)]
+    docs = spark.createDataFrame([(1, "zzzz zzzz")], "doc_id long, text string").coalesce(1)
+    one, two = shared + [b" zzzz"], shared + [b" zz  "]
+    assert len(one) == len(two) and one[:64] == two[:64]
+    assert [count_tokens(docs, v).first()["n_tokens"] for v in (one, two, one)] == [2, 10, 2]
