@@ -114,13 +114,13 @@ def source_blocks(found: DataFrame, files: DataFrame, symbols: DataFrame, max_li
     return joined.select("id", "qualified_name", "path", "start_line", "end_line", source.alias("source"), shown.alias("shown"))
 
 
-def callees(symbols: DataFrame, uses: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What the symbols and all inside them call outside themselves (the first ``CALLEES``), and the names of calls that aren't linked (``EXTERNAL``)."""
+def callees(symbols: DataFrame, uses: DataFrame, ids: DataFrame, most: int = CALLEES) -> tuple[DataFrame, DataFrame]:
+    """What the symbols and all inside them call outside themselves (the first ``most``), and the names of calls that aren't linked (``EXTERNAL``)."""
     scope = cut(graph.descendants(symbols, ids).select("id"))
     calls = uses.filter("type = 'calls'").join(scope.select(F.col("id").alias("from_id")), "from_id", "left_semi")
     inside = calls.filter("to_id is not null").select(F.col("to_id").alias("id")).distinct().join(scope, "id", "left_anti").join(symbols, "id")
     names = calls.filter("to_id is null").select("name").distinct().orderBy("name").limit(EXTERNAL)
-    return inside.orderBy("path", "start_line", "id").limit(CALLEES), names
+    return inside.orderBy("path", "start_line", "id").limit(most), names
 
 
 @dataclass

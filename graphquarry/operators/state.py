@@ -26,6 +26,8 @@ def cut(df: DataFrame) -> DataFrame:
     """
     sc = df.sparkSession.sparkContext
     if not sc.getConf().get("spark.checkpoint.dir", None) and not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="graphquarry-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         sc.setCheckpointDir(folder)
