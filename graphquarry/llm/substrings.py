@@ -16,9 +16,14 @@ windows have equal anchors at the same offset. Per anchor the text to its right
    their anchors are equal just if nothing below ``d`` stands between them in
    the left order and nothing below ``span - d`` in the right order. That needs
    the merged lengths only; a group of any size costs a sort, never its pairs.
-4. The repeated stretches go back to the blocks, where they are united and cut.
-
-Equal contexts in a block are sent once, with the places where they stand.
+4. The repeated stretches go back to the blocks, one packed row for each block
+   and partition, and are cut.
+
+Equal contexts in a block are sent once, with the places where they stand. A
+gram that stands ``hot`` times or more doesn't go to one partition: its offsets
+are split into ``RANGES`` ranges, and in each range an anchor goes where the
+bytes send it that all windows of the range share. Equal windows share them, so
+they still meet.
 """
 
 from __future__ import annotations
@@ -39,6 +44,8 @@ BLOCK_BYTES, PART_BYTES = 4 << 20, 8 << 20
 PIECE = 1 << 18
 _TABLE, _OTHER = PowerTable(0xD6E8FEB86659FD93), PowerTable(0xA3B195354A39B70D)
 _LOW = 20
+#: Occurrences from which a gram is split, and into how many ranges of offsets.
+HOT, RANGES = 1 << 14, 8
 
 
 def _least(keys: np.ndarray, width: int) -> np.ndarray:
@@ -106,32 +113,48 @@ def _count_grams(span: int, gram: int):
         found, of = np.unique(hashes, return_inverse=True)
         times = np.bincount(of, weights=copies[doc], minlength=len(found)) if len(found) else np.zeros(0)
         block = table.column("__block")[0].as_py()
-        return pa.table({"__block": pa.array(np.full(len(found), block, np.int64)), "gram": pa.array(found.view(np.int64)), "n": pa.array(np.minimum(times, 2).astype(np.int32))})
+        return pa.table({"__block": pa.array(np.full(len(found), block, np.int64)), "gram": pa.array(found.view(np.int64)), "n": pa.array(times.astype(np.int64))})
 
     return run
 
 
-def _make_runs(span: int, gram: int, parts: int):
+def _shares(texts: list[bytes], doc: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray, chosen: np.ndarray, span: int, gram: int, parts: int):
+    """For each of the ``chosen`` anchors and range of offsets that it has windows in: anchor, partition, least and greatest offset."""
+    wide = -(-(span - gram + 1) // RANGES)
+    out = []
+    for k in chosen.tolist():
+        text, p = texts[doc[k]], int(at[k])
+        for first in range(int(low[k]) // wide * wide, int(high[k]) + 1, wide):
+            name = hashlib.blake2b(text[p - first:p - first - wide + 1 + span], digest_size=8, salt=first.to_bytes(4, "little")).digest()
+            out.append((k, int.from_bytes(name, "little") % parts, max(first, int(low[k])), min(first + wide - 1, int(high[k]))))
+    return np.array(out, dtype=np.int64).reshape(-1, 4).T
+
+
+def _make_runs(span: int, gram: int, parts: int, hot: int):
     def run(table: pa.Table, wanted: pa.Table) -> pa.Table:
         out_part, out_run = [], []
         if len(table) and len(wanted):
             texts, copies = _distinct(table)
             block = table.column("__block")[0].as_py()
-            keep = np.sort(wanted.column("gram").to_numpy()).view(np.int64)
+            order = np.argsort(wanted.column("gram").to_numpy())
+            keep, many = wanted.column("gram").to_numpy()[order], wanted.column("n").to_numpy()[order]
             doc, at, low, high, hashes = find_anchors(texts, span, gram)
             signed = hashes.view(np.int64)
             place = np.minimum(np.searchsorted(keep, signed), len(keep) - 1)
-            chosen = np.flatnonzero(keep[place] == signed)
-            part = (hashes[chosen] % U64(parts)).astype(np.int64)
-            chosen, part = (x[np.argsort(part, kind="stable")] for x in (chosen, part))
+            known = keep[place] == signed
+            whole = np.flatnonzero(known & (many[place] < hot))
+            split = _shares(texts, doc, at, low, high, np.flatnonzero(known & (many[place] >= hot)), span, gram, parts)
+            chosen, part, low, high = (np.concatenate(x) for x in zip((whole, (hashes[whole] % U64(parts)).astype(np.int64), low[whole], high[whole]), split))
+            order = np.argsort(part, kind="stable")
+            chosen, part, low, high = chosen[order], part[order], low[order], high[order]
             borders = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
             digests: dict[int, bytes] = {}
             for a, b in zip(borders[:-1], borders[1:]):
                 found: dict[tuple[bytes, bytes], list[tuple[int, int]]] = {}
-                for k in chosen[a:b]:
+                for k, x, y in zip(chosen[a:b], low[a:b].tolist(), high[a:b].tolist()):
                     d, p = int(doc[k]), int(at[k])
                     text = texts[d]
-                    found.setdefault((text[p:p - int(low[k]) + span], text[p - int(high[k]):p][::-1]), []).append((d, p))
+                    found.setdefault((text[p:p - x + span], text[p - y:p][::-1]), []).append((d, p))
                 entries = sorted(found)
                 left = sorted(range(len(entries)), key=lambda e: entries[e][1])
                 docs = sorted({d for e in entries for d, _ in found[e]})
@@ -204,12 +227,35 @@ def _merge_runs(span: int):
         rows = size[of]
         which = np.repeat(begins[of] - np.cumsum(rows) + rows, rows) + np.arange(rows.sum())
         a, b = at[which] - np.repeat(after - 1, rows), at[which] - np.repeat(first, rows) + span
-        doc = place[which]
-        return pa.table({"__block": pa.array(blocks[doc]), "digest": pa.array([digests[d] for d in doc], pa.binary()), "a": pa.array(a.astype(np.int32)), "b": pa.array(b.astype(np.int32))})
+        return _replies(blocks, digests, place[which], a, b)
 
     return run
 
 
+def _replies(blocks: np.ndarray, digests: list[bytes], doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.Table:
+    """A row for each block: digests of its texts, how many stretches each has, and the stretches, united."""
+    if not len(doc):
+        return pa.table({"__block": pa.array([], pa.int64()), "found": pa.array([], pa.binary())})
+    far = np.int64(1 << 33)
+    order = np.lexsort((a, doc))
+    doc, a, b = doc[order], a[order] + doc[order] * far, b[order] + doc[order] * far
+    reach = np.maximum.accumulate(b)
+    first = np.flatnonzero(np.append(True, a[1:] > reach[:-1]))
+    last = np.append(first[1:], len(a)) - 1
+    doc = doc[first]
+    a, b = a[first] - doc * far, reach[last] - doc * far
+    used, start, many = np.unique(doc, return_index=True, return_counts=True)
+    out: dict[int, list] = {}
+    for d, x, n in zip(used.tolist(), start.tolist(), many.tolist()):
+        names, counts, lows, highs = out.setdefault(int(blocks[d]), ([], [], [], []))
+        names.append(digests[d])
+        counts.append(n)
+        lows.append(a[x:x + n])
+        highs.append(b[x:x + n])
+    packed = [pack((names, counts, np.concatenate(x).astype("<i4"), np.concatenate(y).astype("<i4"))) for names, counts, x, y in out.values()]
+    return pa.table({"__block": pa.array(list(out), pa.int64()), "found": pa.array(packed, pa.binary())})
+
+
 def _unite(spans: np.ndarray) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for a, b in spans[np.argsort(spans[:, 0], kind="stable")].tolist():
@@ -285,7 +331,7 @@ def _word_places(words: int):
     def run(table: pa.Table, again: pa.Table) -> pa.Table:
         first = np.sort(again.column("one").to_numpy().view(U64))
         known = set(zip(again.column("one").to_pylist(), again.column("two").to_pylist()))
-        names, places = [], []
+        names, places = {}, []
         for some in _pieces(table) if known else ():
             doc, at, _, one, two = word_windows(some, words)
             hit = np.flatnonzero(np.isin(one, first))
@@ -299,24 +345,22 @@ def _word_places(words: int):
             new = np.flatnonzero((np.diff(at[hit], prepend=-2) != 1) | (np.diff(doc[hit], prepend=-1) != 0))
             for a, b in zip(new.tolist(), [*new[1:].tolist(), len(hit)]):
                 d, low, high = doc[hit[a]], at[hit[a]], at[hit[b - 1]] + words - 1
-                names.append(_digest(some[d]))
-                places.append((start[low] - base[d], end[high] - base[d]))
+                places.append((names.setdefault(_digest(some[d]), len(names)), start[low] - base[d], end[high] - base[d]))
         block = table.column("__block")[0].as_py() if len(table) else 0
-        a, b = np.array(places, np.int32).reshape(-1, 2).T
-        out = pa.table({"__block": np.full(len(a), block, np.int64), "digest": pa.array(names, pa.binary()), "a": a, "b": b})
-        return out.group_by(["__block", "digest", "a", "b"]).aggregate([])
+        return _replies(np.full(len(names), block), list(names), *np.array(places, np.int64).reshape(-1, 3).T)
 
     return run
 
 
 def _cut(schema: pa.Schema, characters: bool):
     def run(table: pa.Table, found: pa.Table) -> pa.Table:
-        spans: dict[bytes, list[tuple[int, int]]] = {}
-        if len(found):
-            order = found.sort_by("digest")
-            names, pairs = order.column("digest").to_pylist(), np.stack([order.column(c).to_numpy() for c in "ab"], axis=1)
-            borders = [0, *(k for k in range(1, len(names)) if names[k] != names[k - 1]), len(names)]
-            spans = {names[a]: _unite(pairs[a:b]) for a, b in zip(borders[:-1], borders[1:])}
+        parts: dict[bytes, list[np.ndarray]] = {}
+        for names, counts, low, high in map(unpack, found.column("found").to_pylist()):
+            at = 0
+            for name, n in zip(names, counts):
+                parts.setdefault(name, []).append(np.stack([low[at:at + n], high[at:at + n]], axis=1))
+                at += n
+        spans = {name: _unite(np.concatenate(x)) for name, x in parts.items()}
         kept, cuts = [], []
         for text in table.column("__text").to_pylist():
             cut = spans.get(_digest(text), []) if spans else []
@@ -335,33 +379,37 @@ def _cut(schema: pa.Schema, characters: bool):
     return run
 
 
-def drop_repeated_substrings(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id",), span: int = 400, gram: int = 51, characters: bool = False, words: int = 0) -> DataFrame:
+def drop_repeated_substrings(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id",), span: int = 400, gram: int = 51, characters: bool = False, words: int = 0, hot: int = HOT) -> DataFrame:
     """``carry`` with ``kept`` (binary, the bytes left) and ``spans`` (the bytes cut, array of start and end).
 
     Texts are UTF-8 bytes, null is empty; a text below ``span`` bytes stays as
     it is. With ``characters`` a stretch takes along the characters whose bytes it
     splits, so what is left is UTF-8. Every row counts: repeated rows are copies of each other, whatever
     their ids, and null or equal ids do no harm, as places are found by content.
-    ``carry`` columns come back unchanged; others are ignored. With ``words``,
+    ``carry`` columns come back unchanged, but one named ``kept`` or ``spans``
+    gives way to the result; others are ignored. With ``words``,
     runs of so many words that stand twice go too, however short in bytes; they
     are compared lower-cased and whatever white space is between them. Of their
     windows only those are hashed and sent whose least 8-word gram stands twice.
+    A text is read whole in one task, as is a block of ``BLOCK_BYTES``.
     """
+    carry = tuple(c for c in carry if c not in ("kept", "spans"))
+    held = [f"c{k}" for k in range(len(carry))]
     blocks, parts = parts_for(docs, BLOCK_BYTES), parts_for(docs, PART_BYTES)
     body = empty_binary(F.col(text))
     dealt = docs.select(
-        F.pmod(F.xxhash64(body, *(F.col(c) for c in carry if c != text)) + F.spark_partition_id() * F.lit(7919), F.lit(blocks)).alias("__block"), body.alias("__text"), *carry
+        F.pmod(F.xxhash64(body, *(F.col(c) for c in carry if c != text)) + F.spark_partition_id() * F.lit(7919), F.lit(blocks)).alias("__block"), body.alias("__text"), *(F.col(c).alias(h) for c, h in zip(carry, held))
     ).repartition("__block")
-    grams = dealt.groupBy("__block").applyInArrow(_count_grams(span, gram), "__block long, gram long, n int")
-    twice = grams.withColumn("n", F.sum("n").over(Window.partitionBy("gram"))).filter("n >= 2").select("__block", "gram")
-    runs = dealt.groupBy("__block").cogroup(twice.groupBy("__block")).applyInArrow(_make_runs(span, gram, parts), "part long, run binary")
-    found = runs.groupBy("part").applyInArrow(_merge_runs(span), "__block long, digest binary, a int, b int")
+    grams = dealt.groupBy("__block").applyInArrow(_count_grams(span, gram), "__block long, gram long, n long")
+    twice = grams.withColumn("n", F.sum("n").over(Window.partitionBy("gram"))).filter("n >= 2")
+    runs = dealt.groupBy("__block").cogroup(twice.groupBy("__block")).applyInArrow(_make_runs(span, gram, parts, hot), "part long, run binary")
+    found = runs.groupBy("part").applyInArrow(_merge_runs(span), "__block long, found binary")
     if words:
         common = lambda df, *by: df.withColumn("n", F.sum("n").over(Window.partitionBy(*by))).filter("n >= 2").select("__block", *by)
         pairs = common(dealt.groupBy("__block").applyInArrow(_count_word_grams(words), "__block long, gram long, n long"), "gram")
         again = common(dealt.groupBy("__block").cogroup(pairs.groupBy("__block")).applyInArrow(_count_windows(words), "__block long, one long, two long, n long"), "one", "two")
-        found = found.unionByName(dealt.groupBy("__block").cogroup(again.groupBy("__block")).applyInArrow(_word_places(words), "__block long, digest binary, a int, b int"))
-    kinds = docs.select(*carry).schema
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds) + ", kept binary, spans array<struct<start:int,end:int>>"
+        found = found.unionByName(dealt.groupBy("__block").cogroup(again.groupBy("__block")).applyInArrow(_word_places(words), "__block long, found binary"))
+    schema = "".join(f"{h} {f.dataType.simpleString()}, " for h, f in zip(held, docs.select(*carry).schema)) + "kept binary, spans array<struct<start:int,end:int>>"
     spans = pa.schema([("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
-    return dealt.groupBy("__block").cogroup(found.groupBy("__block")).applyInArrow(_cut(spans, characters), schema)
+    cut = dealt.groupBy("__block").cogroup(found.groupBy("__block")).applyInArrow(_cut(spans, characters), schema)
+    return cut.select(*(F.col(h).alias(c) for c, h in zip(carry, held)), "kept", "spans")

@@ -36,10 +36,10 @@ def test_merge(runs):
     assert shared == [lcp(a, b) for a, b in zip([b"", *merged], merged)]
 
 
-def check(spark, texts, span, gram):
+def check(spark, texts, span, gram, **more):
     rows = [(k % 3 if k % 5 else None, t, "x") for k, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, kept string")
-    out = drop_repeated_substrings(docs, carry=("doc_id", "text"), span=span, gram=gram).collect()
+    out = drop_repeated_substrings(docs, carry=("doc_id", "text", "kept"), span=span, gram=gram, **more).collect()
     got = sorted((r["text"] or "", bytes(r["kept"]), len(r["spans"]), sum(s["end"] - s["start"] for s in r["spans"])) for r in out)
     raw = [(t or "").encode() for t in texts]
     assert got == sorted((t or "", *b) for t, b in zip(texts, brute(raw, span)))
@@ -56,6 +56,14 @@ def test_against_brute_force(spark):
             u = rng.choice(base)
             texts.append(u[: len(u) // 2] + t[a:b] + u[len(u) // 2:])
         check(spark, texts, span, gram)
+        check(spark, texts, span, gram, hot=2)
+
+
+def test_a_gram_in_every_text_is_split(spark):
+    rng = random.Random(7)
+    shared = "".join(rng.choice("abcdefghij") for _ in range(64))
+    texts = ["".join(rng.choice("klmnop") for _ in range(rng.randint(0, 40))) + shared[rng.randint(0, 9):64 - rng.randint(0, 9)] + "".join(rng.choice("qrstuv") for _ in range(30)) for _ in range(120)]
+    check(spark, texts, 40, 8, hot=50)
 
 
 def test_long_texts_and_empty_table(spark, monkeypatch):
