@@ -1,13 +1,18 @@
 """Quality classification by importance resampling.
 
 Hashed word and word-pair counts make two generative models: of the target
-(documents labelled good) and of the raw text (all documents). A document's
-importance weight is the ratio of its probabilities under the two; its score
-is the mean log ratio of a feature, which lengths don't sway. A threshold that
-the labelled documents set says how many documents, ``k``, are good enough, and
-Gumbel top-k draws ``k`` of them without replacement, with probabilities that
-follow the (tempered) weights. The target model learns from two thirds of the
-labelled documents, the threshold from the rest.
+(documents labelled good) and of the raw text (all documents). The ratio of a
+document's probabilities under the two is tempered to that of one feature (its
+score, the mean log ratio), which lengths don't sway. As features of a text
+depend on each other, the temperature isn't the number of features: a logistic
+fit of the labels says by how much the log odds of the target grow with the
+score, and the document's log importance weight is that times its score. A
+threshold that the labelled documents set says how many documents, ``k``, are
+good enough, and Gumbel top-k draws ``k`` of them without replacement, each
+with the chance that its weight has among those left. So what lies near the
+threshold is drawn by chance, and what lies far from it nearly surely. The target
+model learns from two thirds of the labelled documents, the fit and the
+threshold from the rest.
 
 Toxic words are few in their documents, so a mean would dilute them: a second
 ratio, of documents labelled toxic to the raw text, is summed over the distinct
@@ -29,8 +34,8 @@ from .common import U64, chunks, empty_binary, materialize, mix64, small_batches
 BUCKETS = 1 << 16
 #: Labelled documents that are used at most (by hash of their ids); the models of all text have no bound.
 MOST_LABELLED = 20_000
-#: What the mean log ratio is multiplied with before Gumbel noise is added.
-TEMPERATURE = 400.0
+#: Ridge of the logistic fit, which bounds the slope where the score parts the labels without error.
+RIDGE = 0.01
 #: A good document that is refused counts as much as so many bad ones that are kept.
 CARE = 20.0
 #: Toxicity: buckets of words; texts added to those that have a feature, seen and awaited, and the log ratio that it must exceed to count.
@@ -108,6 +113,30 @@ def choose_threshold(good: np.ndarray, bad: np.ndarray, care: float = CARE) -> f
     return float(cuts[best[int(widths.argmax())]])
 
 
+def log_odds_slope(score: np.ndarray, good: np.ndarray, ridge: float = RIDGE) -> float:
+    """How much the log odds of ``good`` grow with ``score``, by a logistic fit; 1 without both kinds, never below 0."""
+    spread = float(score.std()) if len(score) else 0.0
+    if not spread or good.all() or not good.any():
+        return 1.0
+    x = np.stack([np.ones(len(score)), (score - score.mean()) / spread], axis=1)
+    w, held = np.zeros(2), np.array([1e-9, ridge])
+
+    def loss(w):
+        return np.logaddexp(0, x @ w).sum() - (x @ w)[good].sum() + 0.5 * held @ (w * w)
+
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -700, 700)))
+        slope = x.T @ (good - p) - held * w
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(held), slope)
+        size = 1.0
+        while size > 1e-6 and loss(w + size * step) > loss(w):
+            size /= 2
+        w = w + size * step
+        if np.abs(size * step).max() < 1e-8:
+            break
+    return max(0.0, float(w[1])) / spread
+
+
 def kth_largest(keys: DataFrame, column: str, k: int) -> float:
     """A value that at least ``k`` keys reach, and no more than ties and one part in 2**60 of the range allow.
 
@@ -134,51 +163,72 @@ def kth_largest(keys: DataFrame, column: str, k: int) -> float:
     return low
 
 
+OUTPUTS = ("n_features", "log_weight", "score", "weight", "key", "accepted")
+
+
 def resample(
     docs: DataFrame, labels: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id",), doc_id: str = "doc_id",
-    buckets: int = BUCKETS, most_labelled: int = MOST_LABELLED, temperature: float = TEMPERATURE, seed: int = 6,
+    buckets: int = BUCKETS, most_labelled: int = MOST_LABELLED, slope: float | None = None, k: int | None = None, seed: int = 6,
 ) -> DataFrame:
-    """``carry`` with ``n_features, log_weight, score, key, accepted`` of every row.
+    """``carry`` with ``n_features, log_weight, score, weight, key, accepted`` of every row.
 
     ``labels`` has ``doc_id, quality, toxic``; a document labelled more than
-    once has its worst label. ``accepted``: drawn by Gumbel top-k, ``k`` being
-    the number of rows whose score reaches the threshold and that aren't toxic; rows that tie at the
-    end are all drawn. Null or empty text has score 0. Without labels of both
-    kinds every row is accepted; without toxic ones none is refused as toxic.
+    once has its worst label. ``log_weight`` is the log ratio of all features,
+    ``score`` their mean, ``weight`` the score times ``slope`` (fitted, if not
+    given), ``key`` the weight with Gumbel noise. ``accepted``: drawn by Gumbel
+    top-k from the rows that aren't toxic, ``k`` being, if not given, the number
+    of them whose score reaches the threshold; rows that tie at the end are all
+    drawn. Null or empty text has score 0. A very long text is read whole, its
+    features counted like any other's. Rows that repeat an id and a text have
+    equal keys. Without labels of both kinds every row is accepted; without
+    toxic ones none is refused as toxic. An empty table has no rows. A carried
+    column with the name of a result gives way to it.
     """
     spark = docs.sparkSession
     small_batches(spark)
+    carry = tuple(c for c in carry if c not in OUTPUTS)
     said = labels.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("__id")).agg((F.min("quality") == 1).alias("__quality"), (F.max("toxic") == 1).alias("__toxic")).filter("__quality is not null")
     said = said.withColumn("__fit", F.pmod(F.xxhash64(F.lit(seed), "__id"), F.lit(3)) > 0)
     held = materialize(said.orderBy(F.xxhash64("__id"), "__id").limit(most_labelled), "labelled")
     body = empty_binary(F.col(text)).alias("__text")
     marked = docs.select(F.col(doc_id).alias("__id"), body).join(F.broadcast(held), "__id", "left").select("__text", F.coalesce(F.col("__fit") & F.col("__quality") & ~F.coalesce("__toxic", F.lit(False)), F.lit(False)).alias("good"), F.coalesce(F.col("__fit") & F.col("__toxic"), F.lit(False)).alias("toxic"))
-    sums = marked.mapInPandas(_count(buckets), "bucket long, n long, good long, toxic long, texts long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("good").alias("good"), F.sum("toxic").alias("toxic"), F.sum("texts").alias("texts")).collect()
+    sums = marked.mapInPandas(_count(buckets), "bucket long, n long, good long, toxic long, texts long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("good").alias("good"), F.sum("toxic").alias("toxic"), F.sum("texts").alias("texts")).toArrow()
     counts = np.zeros((4, buckets + MARKS))
-    for r in sums:
-        counts[:, r["bucket"]] = r["n"], r["good"], r["toxic"], r["texts"]
-    raw, good = ((c + 0.5 * counts[0, :buckets] / max(1.0, counts[0].sum()) * 1000 + 1e-3) for c in counts[:2, :buckets])
-    ratio = np.log(good / good.sum()) - np.log(raw / raw.sum()) if counts[1].sum() else np.zeros(buckets)
+    counts[:, sums.column("bucket").to_numpy()] = [sums.column(c).to_numpy() for c in ("n", "good", "toxic", "texts")]
+    ratio = log_ratios(counts[0, :buckets], counts[1, :buckets])
     counts = counts[:, buckets:]
     awaited = counts[3] * (counts[2].sum() / max(1.0, counts[3].sum()))
     strong = np.maximum(np.log((counts[2] + RARE) / (awaited + RARE)) - WEAK, 0.0)
     sent = spark.sparkContext.broadcast((ratio, strong))
 
     def scored(columns: tuple[str, ...]) -> DataFrame:
-        kinds = docs.select(*columns).schema
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds)
+        held_as = [f"c{j}" for j in range(len(columns))]
+        schema = "".join(f"{h} {f.dataType.simpleString()}, " for h, f in zip(held_as, docs.select(*columns).schema))
         noise = F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text))
         uniform = (F.shiftrightunsigned(noise, 11) + F.lit(0.5)) / F.lit(float(1 << 53))
-        rows = docs.select(*columns, (-F.log(-F.log(uniform))).alias("__noise"), body)
-        out = rows.mapInPandas(_score(sent, buckets), f"{schema}, __noise double, toxicity double, n_features long, log_weight double, score double")
-        return out.withColumn("key", F.col("score") * F.lit(temperature) + F.col("__noise")).drop("__noise")
+        rows = docs.select(*(F.col(c).alias(h) for c, h in zip(columns, held_as)), (-F.log(-F.log(uniform))).alias("__noise"), body)
+        return rows.mapInPandas(_score(sent, buckets), f"{schema}__noise double, toxicity double, n_features long, log_weight double, score double")
 
-    keys = materialize(scored((doc_id,)).select(F.col(doc_id).alias("__id"), "score", "key", "toxicity"), "keys")
-    known = keys.join(F.broadcast(held.filter("not __fit")), "__id").select("score", "toxicity", "__quality", "__toxic").limit(20 * most_labelled).toPandas()
+    keys = materialize(scored((doc_id,)).select(F.col("c0").alias("__id"), "score", "toxicity", "__noise"), "keys")
+    known = keys.join(F.broadcast(held.filter("not __fit")), "__id").groupBy("__id").agg(F.min("score").alias("score"), F.max("toxicity").alias("toxicity"), F.first("__quality").alias("__quality"), F.first("__toxic").alias("__toxic")).orderBy("__id").toPandas()
     toxic, fine = known["__toxic"].fillna(False).to_numpy(dtype=bool), known["__quality"].to_numpy(dtype=bool)
+    judged = (fine & ~toxic) | ~fine
     threshold = choose_threshold(known["score"][fine & ~toxic].to_numpy(), known["score"][~fine].to_numpy())
     mild = choose_threshold(-known["toxicity"][~toxic].to_numpy(), -known["toxicity"][toxic].to_numpy())
-    clean = -F.col("toxicity") >= F.lit(float(mild))
-    k = keys.filter((F.col("score") >= threshold) & clean).count()
-    least = kth_largest(keys.filter(clean), "key", k)
-    return scored(carry).withColumn("accepted", (F.col("key") >= F.lit(float(least))) & clean).drop("toxicity")
+    if slope is None:
+        slope = log_odds_slope(known["score"][judged].to_numpy(), fine[judged])
+    weight, clean = F.col("score") * F.lit(float(slope)), -F.col("toxicity") >= F.lit(float(mild))
+    if k is None:
+        k = keys.filter((F.col("score") >= threshold) & clean).count()
+    least = kth_largest(keys.filter(clean).select((weight + F.col("__noise")).alias("key")), "key", k)
+    out = scored(carry).withColumn("weight", weight).withColumn("key", F.col("weight") + F.col("__noise")).withColumn("accepted", (F.col("key") >= F.lit(float(least))) & clean)
+    return out.select(*(F.col(f"c{j}").alias(c) for j, c in enumerate(carry)), *OUTPUTS)
+
+
+def log_ratios(raw: np.ndarray, good: np.ndarray) -> np.ndarray:
+    """Log ratio of each bucket's probability in the target to that in the raw text, smoothed by the raw text; zeros without a target."""
+    if not good.sum():
+        return np.zeros(len(raw))
+    prior = 0.5 * raw / max(1.0, raw.sum()) * 1000 + 1e-3
+    raw, good = raw + prior, good + prior
+    return np.log(good / good.sum()) - np.log(raw / raw.sum())
