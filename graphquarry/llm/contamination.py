@@ -25,6 +25,8 @@ Q, RATE = 8, 0.08
 INDEX_CHARS = 2_000_000
 #: Characters of text that are searched at once.
 PIECE = 1 << 18
+#: Shared grams whose diagonals are counted at once: a gram of many items and places is no more memory.
+HELD = 1 << 21
 _TABLE = PowerTable(0x8CB92BA72F3D8DD7)
 _SPACES = np.array([0x20, *range(0x09, 0x0E), 0x85, 0xA0], dtype=np.uint32)
 
@@ -129,13 +131,17 @@ class Index:
         if len(hit) < 1 or not len(self.grams):
             return []
         low, high = np.searchsorted(self.grams, h[hit]), np.searchsorted(self.grams, h[hit], side="right")
-        n = high - low
-        which = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
-        item, diagonal = self.of[which], np.repeat(hit, n) - self.at[which]
-        wide = 2 * self.budget[item] + 1
-        band = diagonal // wide + (1 << 30)
-        key = item * np.int64(1 << 40) + band
-        found, count = np.unique(np.concatenate([key, key - 1]), return_counts=True)
+        found, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for some in np.split(np.arange(len(hit)), np.flatnonzero(np.diff(np.cumsum(high - low) // HELD)) + 1):
+            n = high[some] - low[some]
+            which = np.repeat(low[some] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            item, diagonal = self.of[which], np.repeat(hit[some], n) - self.at[which]
+            wide = 2 * self.budget[item] + 1
+            band = diagonal // wide + (1 << 30)
+            key = item * np.int64(1 << 40) + band
+            now, times = np.unique(np.concatenate([key, key - 1]), return_counts=True)
+            found, of = np.unique(np.concatenate([found, now]), return_inverse=True)
+            count = np.bincount(of, weights=np.concatenate([count, times]), minlength=len(found)).astype(np.int64)
         which = found >> 40
         out = []
         for k in np.flatnonzero(count >= self.need[which]):
@@ -219,7 +225,12 @@ def find_passages(docs: DataFrame, items: DataFrame, text: str = "text", keys: t
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", q: int = Q, rate: float = RATE) -> DataFrame:
-    """``docs`` without the rows in which an item stands (see :func:`find_passages`). Row by row, no shuffle."""
+    """``docs`` without the rows in which an item stands (see :func:`find_passages`).
+
+    Row by row, no shuffle. Null and empty texts stay, as nothing stands in
+    them; repeated rows stay or go together; all columns come back as they are,
+    whatever their names. A very long text is searched whole, piece by piece.
+    """
     spark, columns, out = docs.sparkSession, docs.columns, docs
     small_batches(spark)
     listed = items.select(item, F.col(item_text).alias("__text")).filter("length(__text) > 0").toLocalIterator()

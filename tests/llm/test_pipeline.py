@@ -89,3 +89,31 @@ def test_repeats_in_one_text_and_across_blocks(spark, monkeypatch):
     docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], SCHEMA)
     kept = [r["text"] for r in corpus_pipeline.cut_repeats(spark, docs, "").collect()]
     assert sorted(kept) == sorted([t.replace(twice, "").replace(shared, "") for t in texts[:-1]] + [" "])
+
+
+CLASHES = ["score", "n_features", "log_weight", "weight", "key", "accepted", "toxicity", "__text", "__noise", "__block", "__id", "kept", "spans", "found", "set_name", "component_id", "n_shingles", "id", "k", "c", "c0", "c1", "bits", "part",
+           "size", "source_size", "target", "draws", "taken", "shard", "epoch", "place", "__u", "__k", "__b", "__s", "__took", "start", "end", "edits", "item_id"]
+
+
+def test_clashing_columns_nulls_and_empty_tables(spark, tmp_path):
+    rng = random.Random(12)
+    prose = lambda n: " ".join(str(rng.randrange(5000)) for _ in range(n))
+    where, shared = str(tmp_path), prose(80)
+    texts = [prose(rng.randint(20, 90)) for _ in range(30)] + [f"{prose(40)} {shared} {prose(40)}" for _ in range(3)] + ["!! ## " * 30] * 4 + [None, "", "one", prose(40_000)]
+    rows = [(k if k % 11 else None, t, "en", None if k % 7 == 0 else f"s{k % 3}", None if t is None else len(t)) for k, t in enumerate(texts)] + [(3, texts[3], "en", "s0", len(texts[3]))]
+    extra = len(CLASHES)
+    docs = spark.createDataFrame([(*r, *([r[0]] * extra)) for r in rows], SCHEMA + "".join(f", `{c}` long" for c in CLASHES))
+    plain = spark.createDataFrame(rows, SCHEMA)
+    spark.createDataFrame([(k, int(k < 33), 0) for k in range(37)], "doc_id long, quality int, toxic int").write.parquet(f"{where}/labels.parquet")
+    spark.createDataFrame([(1, prose(25))], "item_id long, text string").write.parquet(f"{where}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        got, want = stage(spark, docs, where), stage(spark, plain, where)
+        if name != "mix":
+            assert got.columns == docs.columns
+        else:
+            assert got.columns[-3:] == ["mix_shard", "mix_epoch", "mix_place"] and want.columns[-3:] == ["shard", "epoch", "place"]
+        rows_of = lambda df: sorted(map(str, df.select("doc_id", "text", "lang", "source", "n_chars").collect()))
+        if name in ("near_duplicates", "repeats", "benchmark"):
+            assert rows_of(got) == rows_of(want)
+        assert all(r["doc_id"] == r["score"] == r["__u"] for r in got.collect())
+        assert stage(spark, docs.limit(0), where).count() == 0
