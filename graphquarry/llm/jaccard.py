@@ -34,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U64, chunks, discard, empty_binary, materialize, mix64, parts_for, small_batches, word_hashes
@@ -512,16 +512,15 @@ def similar_documents(docs: DataFrame, text: str = "text", carry: tuple[str, ...
     labels = connected_components(first)
     discard(pairs, first)
 
-    small = members.filter("kind = 0").select("gid", "k").distinct()
     crowds = members.filter("kind = 1").select("gid", "weight", "k", "slack", "code").distinct()
     dense = crowds.groupBy("k", "code", "slack").agg(F.sum("weight").alias("w")).filter("w >= slack").select("k", "code").distinct()
-    named = small.union(crowds.join(dense, ["k", "code"], "left_semi").select("gid", "k").distinct()).join(names.select("k", "c", "n"), "k").select("gid", "c", "n")
+    groups = members.filter("kind = 0").select("gid", "k").union(crowds.join(dense, ["k", "code"], "left_semi").select("gid", "k"))
     known, done = [texts], None
     for forest in (True, False):
-        placed = materialize(named.join(labels.withColumnRenamed("v", "c"), "c", "left").select("gid", "c", "n", F.coalesce("root", "c").alias("root")), "members")
-        split = placed.groupBy("gid").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("gid")
-        open_groups = materialize(placed.join(split, "gid", "left_semi"), "open")
-        discard(placed, *([done] if done is not None else []))
+        rooted = names.select("k", "c", "n").join(labels.withColumnRenamed("v", "c"), "c", "left").select("k", "c", "n", F.coalesce("root", "c").alias("root"))
+        whole = Window.partitionBy("gid")
+        placed = groups.join(rooted, "k").withColumn("__r0", F.min("root").over(whole)).withColumn("__r1", F.max("root").over(whole)).filter("__r0 <> __r1").drop("__r0", "__r1")
+        open_groups = materialize(placed.dropDuplicates(["gid", "c"]), "open")
         sketched = open_groups.join(names.select("c", "bits"), "c").withColumn("part", F.pmod("gid", F.lit(parts * 4)))
         pairs = materialize(sketched.groupBy("part").applyInArrow(_plausible(forest), "a binary, b binary").distinct(), "pairs")
         missing = materialize(of(pairs).join(texts.select("c"), "c", "left_anti").join(names.select("c", "k"), "c"), "missing")
@@ -529,8 +528,8 @@ def similar_documents(docs: DataFrame, text: str = "text", carry: tuple[str, ...
             known.append(_fetch(body, missing))
             texts = texts.union(known[-1])
         before, labels = labels, connected_components(labels.toDF("a", "b").union(_links(pairs, texts)))
-        discard(before, pairs, missing)
-        named, done = open_groups.select("gid", "c", "n"), open_groups
+        discard(before, pairs, missing, *([done] if done is not None else []))
+        groups, done = open_groups.select("gid", "k"), open_groups
     discard(members, names, done, *known)
 
     ids = narrow.filter("n_shingles > 0").groupBy("set_name").agg(F.min("id").alias("least")).join(labels.withColumnRenamed("v", "set_name"), "set_name", "left").withColumn("root", F.coalesce("root", "set_name"))
