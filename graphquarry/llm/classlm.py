@@ -7,10 +7,14 @@ P(word | class). Classes maximise the likelihood of the training text.
 2. Word counts over the whole corpus; the ``FREQUENT`` most frequent words'
    bigram counts, a table of fixed size, go to the driver, where the exchange
    algorithm moves words between classes as long as the likelihood grows.
-3. Every other word of the training text meets its exact counts of
-   neighbouring classes in one partition and is exchanged into the class where
-   the likelihood grows most (to first order, as its counts are small).
-4. Texts become sequences of classes; transitions are counted, and smoothed.
+3. Every other word of the training text meets its counts of neighbouring
+   classes in one partition and gets the class where the likelihood is greatest.
+4. Then all words are exchanged, in sweeps: blocks count the classes around each
+   of their words; a partition of words sums them, takes the table of all class
+   bigrams and moves word after word to the class where the likelihood grows
+   most (words of few tokens together, to first order); the new classes go back
+   to the blocks. Sweeps end when the likelihood grows no more.
+5. Texts become sequences of classes; transitions are counted, and smoothed.
 
 Words not seen in training are one further type, in a class of its own. The
 chance of it after a class is that of words seen once (Good and Turing), so
@@ -29,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, empty_binary, materialize, parts_for, small_batches, word_hashes
+from .common import U64, discard, empty_binary, materialize, parts_for, release, small_batches, word_hashes
 from .suffixes import pack, unpack
 
 #: Words whose bigrams the driver clusters, and classes (besides those of the end and of unseen words).
@@ -38,6 +42,8 @@ FREQUENT, CLASSES = 512, 60
 BLOCK_TOKENS, PART_BYTES = 1 << 19, 4 << 20
 #: Weight of the class distribution in smoothed transitions.
 MU = 20.0
+#: Sweeps over all words at most, growth of the likelihood (as a share) below which they end, and tokens from which a word is moved by itself.
+SWEEPS, ENOUGH, ALONE = 6, 0.005, 2000
 END = b""
 
 
@@ -191,13 +197,13 @@ def _profiles(number: dict[bytes, int], label: np.ndarray, classes: int, parts:
                 order = np.argsort(part, kind="stable")
                 borders = np.flatnonzero(np.diff(part[order], prepend=-1, append=-1))
                 code_order = np.argsort(part[word], kind="stable")
-                starts = np.searchsorted(part[word][code_order], np.arange(parts + 1))
+                dealt = part[word][code_order]
                 place = np.empty(len(part), np.int64)
                 out = []
                 for x, y in zip(borders[:-1], borders[1:]):
                     here, p = order[x:y], int(part[order[x]])
                     place[here] = np.arange(y - x)
-                    some = code_order[starts[p]:starts[p + 1]]
+                    some = code_order[np.searchsorted(dealt, p):np.searchsorted(dealt, p, side="right")]
                     out.append((p, pack((block, [b.words[k] for k in here], here.astype("<i4"), n[here].astype("<i8"), place[word[some]].astype("<i4"), (code[some] % (2 * size)).astype(np.uint8), times[some].astype("<i4")))))
                 yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary())], names=["part", "run"])
 
@@ -231,6 +237,100 @@ def _assign(number: dict[bytes, int], label: np.ndarray, table: np.ndarray, clas
     return run
 
 
+def _around(classes: int, parts: int):
+    """To each partition of words: the block's words in it, their classes, and the classes around them; as part -1 the block's class bigrams."""
+    end, size = classes, classes + 2
+
+    def run(blocks: pa.Table, dicts: pa.Table) -> pa.Table:
+        (block, b), = _read(blocks)
+        kind, n = np.full(len(b.words), classes + 1, np.int64), np.bincount(b.ids[b.train], minlength=len(b.words))
+        for where, _, k in map(unpack, dicts.column("dict").to_pylist()):
+            kind[where] = k
+        tokens = kind[b.ids]
+        before, after, train = b.before(tokens, end), np.append(tokens[1:], end), np.flatnonzero(b.train)
+        table = np.bincount(before[train] * size + tokens[train], minlength=size * size)
+        code, times = np.unique(np.concatenate([b.ids[train] * (2 * size) + before[train], b.ids[train] * (2 * size) + size + after[train]]), return_counts=True)
+        word = code // (2 * size)
+        hashes = np.append(U64(0), word_hashes([b"\n".join(b.words[1:])])[0])
+        part = (hashes % U64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        borders = np.flatnonzero(np.diff(part[order], prepend=-1, append=-1))
+        code_order = np.argsort(part[word], kind="stable")
+        dealt = part[word][code_order]
+        place, out = np.empty(len(part), np.int64), [(-1, pack(table))]
+        for x, y in zip(borders[:-1], borders[1:]):
+            here, p = order[x:y], int(part[order[x]])
+            place[here] = np.arange(y - x)
+            some = code_order[np.searchsorted(dealt, p):np.searchsorted(dealt, p, side="right")]
+            out.append((p, pack((block, [b.words[k] for k in here], here.astype("<i4"), n[here].astype("<i4"), kind[here].astype(np.uint8), place[word[some]].astype("<i4"), (code[some] % (2 * size)).astype(np.uint8), times[some].astype("<i4")))))
+        return pa.table({"part": pa.array([o[0] for o in out], pa.int64()), "run": pa.array([o[1] for o in out], pa.binary())})
+
+    return run
+
+
+def _table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums = 0
+    for batch in batches:
+        for x in batch.column("run").to_pylist():
+            sums = sums + unpack(x)
+    if not isinstance(sums, int):
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums))), pa.array(sums.astype(np.int64))], names=["code", "n"])
+
+
+def log_likelihood(table: np.ndarray) -> float:
+    """Of class bigrams given the classes, but for a sum over words that no exchange changes."""
+    return float(_xlogx(table).sum() - _xlogx(table.sum(0)).sum() - _xlogx(table.sum(1)).sum())
+
+
+def move_words(before: np.ndarray, after: np.ndarray, kind: np.ndarray, table: np.ndarray, classes: int, alone: int) -> np.ndarray:
+    """New classes of words, from the classes around them and the table of all class bigrams.
+
+    Words of ``alone`` tokens or more go one after the other, the table moving
+    along; the gains of the others are taken to first order. A word whose own
+    class is fixed (the end's, or that of unseen words) keeps it.
+    """
+    table, kind, total = table.astype(float), kind.copy(), before.sum(1)
+    movable = kind < classes
+    for w in np.flatnonzero(movable & (total >= alone))[np.argsort(-total[movable & (total >= alone)], kind="stable")]:
+        a, r, l = kind[w], after[w].astype(float), before[w].astype(float)
+        table[a] -= r
+        table[:, a] -= l
+        table = np.maximum(table, 0)
+        rows, columns = table[:classes], table[:, :classes].T
+        gain = (_xlogx(rows + r) - _xlogx(rows)).sum(1) + (_xlogx(columns + l) - _xlogx(columns)).sum(1)
+        gain -= _xlogx(rows.sum(1) + r.sum()) - _xlogx(rows.sum(1)) + _xlogx(columns.sum(1) + l.sum()) - _xlogx(columns.sum(1))
+        b = a if gain[a] >= gain.max() - 1e-9 else int(gain.argmax())
+        table[b] += r
+        table[:, b] += l
+        kind[w] = b
+    few = np.flatnonzero(movable & (total < alone))
+    logs = np.log(table + 0.1)
+    gain = after[few] @ logs[:classes].T + before[few] @ logs[:, :classes] - total[few][:, None] * (np.log(table.sum(1) + 1)[:classes] + np.log(table.sum(0) + 1)[:classes])
+    best, own = gain.argmax(1), gain[np.arange(len(few)), kind[few]]
+    kind[few] = np.where(gain.max(1) > own + 1e-6, best, kind[few]) if len(few) else kind[few]
+    return kind
+
+
+def _sweep(table: np.ndarray, classes: int, alone: int):
+    """Each word's count and new class, sent back to the blocks that have it."""
+    size = classes + 2
+
+    def run(runs: pa.Table) -> pa.Table:
+        got = [unpack(x) for x in sorted(runs.column("run").to_pylist())]
+        ids: dict[bytes, int] = {}
+        places = [np.fromiter((ids.setdefault(w, len(ids)) for w in g[1]), dtype=np.int64, count=len(g[1])) for g in got]
+        n, kind = np.zeros(len(ids), dtype=np.int64), np.zeros(len(ids), dtype=np.int64)
+        around = np.zeros((len(ids), 2 * size), dtype=np.float32)
+        for g, place in zip(got, places):
+            n[place] += g[3]
+            kind[place] = g[4]
+            np.add.at(around, (place[g[5]], g[6]), g[7])
+        kind = move_words(around[:, :size], around[:, size:], kind, table, classes, alone)
+        return pa.table({"block": pa.array([g[0] for g in got], pa.int64()), "dict": pa.array([pack((g[2], n[p], kind[p].astype(np.uint8))) for g, p in zip(got, places)], pa.binary())})
+
+    return run
+
+
 def _encode(carry: list[str], tokens: int, types: int):
     """Rows of texts: counts, base score, and the classes of their tokens (128 is added for words seen once)."""
     def run(blocks: pa.Table, dicts: pa.Table) -> pa.Table:
@@ -292,9 +392,12 @@ def _scores(chance: np.ndarray, size: np.ndarray, end: int):
     return run
 
 
+OUTPUTS = ("held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def score_texts(
     docs: DataFrame, text: str = "text", doc_id: str = "doc_id", carry: tuple[str, ...] = ("doc_id",), folds: int = 7, fold: int = 2,
-    frequent: int = FREQUENT, classes: int = CLASSES, block_tokens: int = BLOCK_TOKENS,
+    frequent: int = FREQUENT, classes: int = CLASSES, block_tokens: int = BLOCK_TOKENS, sweeps: int = SWEEPS, alone: int = ALONE,
 ) -> DataFrame:
     """``carry`` with ``held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row.
 
@@ -302,12 +405,15 @@ def score_texts(
     (null ids are, too). ``base_score`` is the unigram model's log10
     probability with one added to each count, ``score`` the class model's; both
     are distributions over the training vocabulary and one type for all other
-    words. Null or empty text is an end token. Repeated rows each count.
+    words. Null or empty text is an end token. Repeated rows each count. A very
+    long text is read whole. A carried column with the name of a result gives
+    way to it. An empty table has no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
     from .jaccard import _arrow
 
+    carry = tuple(c for c in carry if c not in OUTPUTS)
     cols = [f"c{k}" for k in range(len(carry))]
     fields = docs.select(*carry).schema.fields
     held = F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(folds)) == fold, F.lit(False))
@@ -315,26 +421,47 @@ def score_texts(
     schema = "block long, words binary, ids binary, sizes array<long>, held array<boolean>" + "".join(f", {k} array<{f.dataType.simpleString()}>" for k, f in zip(cols, fields))
     kinds = _arrow(rows.select(*cols).limit(0))
     blocks = materialize(rows.mapInArrow(_blocks(cols, kinds, block_tokens), schema), "blocks")
+    bare = blocks.select("block", "words", "ids", "sizes", "held")
 
     counts = materialize(blocks.mapInArrow(_word_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     tokens, types = (int(x or 0) for x in counts.agg(F.sum("n"), F.count("*")).first())
     top = [bytes(r["word"]) for r in counts.filter(F.col("word") != F.lit(END)).orderBy(F.desc("n"), "word").limit(frequent).collect()]
+    discard(counts)
     number = {w: k for k, w in enumerate([*top, END])}
     size = len(number) + 1
     bigrams = np.zeros(size * size)
     for r in blocks.mapInArrow(_frequent_bigrams(number), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toLocalIterator():
         bigrams[r["code"]] = r["n"]
     label, table = exchange(bigrams.reshape(size, size), len(top), classes)
-    end, unseen = classes, classes + 1
+    end, unseen, width = classes, classes + 1, classes + 2
 
     parts = parts_for(docs, PART_BYTES)
     runs = blocks.mapInArrow(_profiles(number, label, classes, parts), "part long, run binary")
-    dicts = runs.groupBy("part").applyInArrow(_assign(number, label, table, classes), "block long, dict binary")
+    dicts = materialize(runs.groupBy("part").applyInArrow(_assign(number, label, table, classes), "block long, dict binary"), "classes")
+    del runs, counts
+    release(spark)
+    before = None
+    for _ in range(sweeps):
+        around = materialize(bare.groupBy("block").cogroup(dicts.groupBy("block")).applyInArrow(_around(classes, parts), "part long, run binary"), "around")
+        now = np.zeros(width * width, dtype=np.int64)
+        for r in around.filter("part = -1").mapInArrow(_table, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect():
+            now[r["code"]] = r["n"]
+        now = now.reshape(width, width)
+        grown, before = None if before is None else log_likelihood(now) - before, log_likelihood(now)
+        if grown is not None and grown < ENOUGH * abs(before):
+            discard(around)
+            break
+        moved = materialize(around.filter("part >= 0").groupBy("part").applyInArrow(_sweep(now, classes, alone), "block long, dict binary"), "classes")
+        discard(around, dicts)
+        dicts = moved
+        del around, moved
+        release(spark)
+
     shape = ", ".join(f"{k} {f.dataType.simpleString()}" for k, f in zip(cols, fields))
     encoded = blocks.groupBy("block").cogroup(dicts.groupBy("block")).applyInArrow(_encode(cols, tokens, types), f"{shape}, __held boolean, __n long, __known long, __base double, __words double, __codes binary")
     encoded = materialize(encoded, "encoded")
+    discard(blocks, dicts)
 
-    width = classes + 2
     seen = np.zeros((width, 2 * width), dtype=np.int64)
     for r in encoded.filter("not __held").select("__codes").mapInArrow(_transitions(end, width), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect():
         seen[divmod(r["code"], 2 * width)] = r["n"]
