@@ -12,6 +12,7 @@ import sys
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+os.environ["PYTHONPATH"] = os.pathsep.join(x for x in (sys.path[0], os.environ.get("PYTHONPATH")) if x)  # for Spark's Python workers
 
 HEADLINE = (
     "p13_any_column_filter", "j6_anti_join", "j9_interval_overlap", "g1_closure_bfs", "g5_pagerank", "g6_weighted_graph", "g7_blast_radius", "q10_mutual", "r9_unique_or_null", "r25_merge_parts",
