@@ -28,3 +28,13 @@ def is_test(path: Column) -> Column:
     sharp = (end == ".cs") & name.rlike(r".*Tests?$")
     python = end.isin(".py", ".pyi") & name.rlike(r"^test_.*|.*_test$|^conftest$")
     return folder | java | sharp | python | path.rlike(r"\.(test|spec)\.[^./]+$")
+
+
+def confined(path: Column, root: str) -> Column:
+    """A path as an absolute one without ``.`` and ``..`` steps if it lies in ``root``, else null; relative ones are taken from the root."""
+    base = root.replace("\\", "/").rstrip("/")
+    whole = F.when(path.startswith("/"), path).otherwise(F.concat(F.lit(base + "/"), path))
+    parts = F.filter(F.split(whole, "/"), lambda x: (x != "") & (x != "."))
+    folded = F.aggregate(parts, F.array().cast("array<string>"), lambda r, x: F.when(x == "..", F.slice(r, F.lit(1), F.greatest(F.size(r) - 1, F.lit(0)))).otherwise(F.concat(r, F.array(x))))
+    clean = F.concat(F.lit("/"), F.array_join(folded, "/"))
+    return F.when((clean == base) | clean.startswith(base + "/"), clean)

@@ -56,3 +56,11 @@ def ratio_to_baseline(report: DataFrame, measure: str, baseline) -> DataFrame:
     base = report.filter(F.col("arm") == baseline).select("task", F.col(measure).alias("__b"))
     ratio = F.try_divide(F.col(measure), F.col("__b"))
     return report.filter(F.col("arm") != baseline).join(base, "task").withColumn("__r", ratio).filter("__r > 0").groupBy("arm").agg(F.exp(F.avg(F.log("__r"))).alias("ratio"), F.count("*").alias("tasks"))
+
+
+def arm_totals(runs: DataFrame) -> DataFrame:
+    """Per arm: ``runs, recall`` (mean), ``false_positives, passed, used`` (runs with a call of the tools), ``tool_calls, wall`` (median), ``warm, errors``."""
+    return runs.groupBy("arm").agg(
+        F.count("*").alias("runs"), F.avg("recall").alias("recall"), F.coalesce(F.sum("false_positives"), F.lit(0)).alias("false_positives"), F.count_if("passed").alias("passed"),
+        F.count_if(F.col("tool_calls") > 0).alias("used"), F.sum("tool_calls").alias("tool_calls"), F.median("wall").alias("wall"), F.count_if("warm").alias("warm"), F.count("error").alias("errors"),
+    )

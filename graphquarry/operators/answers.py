@@ -211,3 +211,24 @@ def blast_groups(callers: DataFrame, per_level: int = PER_LEVEL, tests: int = TE
     levels = some.groupBy("level").agg(F.count("*").alias("n"), names("level", "qualified_name", per_level)).orderBy("level")
     in_tests = callers.filter("test").withColumn("k", F.row_number().over(w("path"))).groupBy("path").agg(F.count("*").alias("n"), names("path", "name", tests)).orderBy("path").limit(tests)
     return levels, in_tests
+
+
+def starter_examples(symbols: DataFrame, uses: DataFrame, files: DataFrame) -> DataFrame:
+    """One row: the ``type`` used most (uses of its members count for it), the ``method`` called most, the ``caller`` of the most others, the largest ``file``.
+
+    ``uses (src, dst)``; ties go to the lesser id or path; null where there is none.
+    """
+    kinds = symbols.select(F.col("id").alias("dst"), "kind", "parent_id")
+    used = uses.join(kinds, "dst")
+    of_type = used.select(F.when(F.col("kind").isin(*TYPE_KINDS), F.col("dst")).otherwise(F.col("parent_id")).alias("id")).join(symbols.filter(F.col("kind").isin(*TYPE_KINDS)).select("id"), "id", "left_semi")
+    callable_ = F.col("kind").isin("function", "method")
+    best = lambda df, by: df.groupBy("id").agg(by.alias("n")).agg(F.max_by("id", F.struct("n", -F.col("id"))).alias("id"))
+    name = lambda row, out: row.join(symbols.select("id", F.col("name").alias(out)), "id", "left").select(out)
+    rows = [
+        name(best(of_type, F.count("*")), "type"), name(best(used.filter(callable_).select(F.col("dst").alias("id")), F.count("*")), "method"),
+        name(best(uses.select(F.col("src").alias("id"), "dst"), F.countDistinct("dst")), "caller"), files.agg(F.min_by("path", F.struct(-F.col("chars"), "path")).alias("file")),
+    ]
+    out = rows[0]
+    for row in rows[1:]:
+        out = out.crossJoin(F.broadcast(row))  # one row each
+    return out

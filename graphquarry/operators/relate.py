@@ -84,3 +84,36 @@ def replace_rows(table: DataFrame, rows: DataFrame, gone: DataFrame, key: str) -
 def null_targets(edges: DataFrame, gone: DataFrame, column: str = "to_symbol_id") -> DataFrame:
     """Edges whose target is among ``gone (id)`` stay, unresolved."""
     return edges.join(gone.select(F.col("id").alias("__g")), F.col(column) == F.col("__g"), "left").withColumn(column, F.when(F.col("__g").isNull(), F.col(column))).drop("__g")
+
+
+#: The columns of a symbol as requests show it.
+SYMBOL_COLUMNS = ("id", "kind", "name", "qualified_name", "namespace", "signature", "doc", "start_line", "end_line", "exported", "is_partial", "chars", "parent_id", "path", "language")
+
+
+def symbol_projection(symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """Symbols with their file's path and language: the fifteen columns of :data:`SYMBOL_COLUMNS`; ``files (id, path, language)``."""
+    own = symbols.drop("path", "language").join(files.select(F.col("id").alias("file_id"), "path", "language"), "file_id")
+    return own.select(*SYMBOL_COLUMNS)
+
+
+def slim_refs(symbols: DataFrame, name: str | None = None, parents: DataFrame | None = None, path: str | None = None, namespace: str | None = None, ids: DataFrame | None = None) -> DataFrame:
+    """The narrow columns of symbols by any of: name, parents (``id``), file, namespace, ids (``id``); all without a condition."""
+    some = symbols.select("id", "kind", "name", "qualified_name", "namespace", "parent_id", "path")
+    for column, value in (("name", name), ("path", path), ("namespace", namespace)):
+        some = some.filter(F.col(column) == value) if value is not None else some
+    if parents is not None:
+        some = some.join(parents.select(F.col("id").alias("parent_id")), "parent_id", "left_semi")
+    return some if ids is None else some.join(ids.select("id"), "id", "left_semi")
+
+
+def type_parts(merged: DataFrame, ids: DataFrame) -> DataFrame:
+    """``(id, part)``: all parts of the types ``ids``, whichever part is asked for; ``merged (id, merged_into)``."""
+    whole = merged.select(F.col("id").alias("part"), F.coalesce("merged_into", "id").alias("whole"))
+    asked = whole.join(ids.select(F.col("id").alias("part")), "part", "left_semi").select(F.col("part").alias("id"), "whole")
+    return asked.join(whole, "whole").select("id", "part")
+
+
+def base_types(parts: DataFrame, inherits: DataFrame, merged: DataFrame) -> DataFrame:
+    """``(id, base)``: the types that any part extends or implements, by their canonical ids; ``inherits (src, dst)``."""
+    found = parts.join(inherits.select(F.col("src").alias("part"), F.col("dst").alias("base")), "part").select("id", "base")
+    return canonical(found, "base", merged).select("id", "base").distinct()

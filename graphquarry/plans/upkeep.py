@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text
-from ..operators import answers, receivers, relink
+from ..functions import paths, text
+from ..operators import analytics, answers, receivers, relate, relink
 from ..sources import benchmarks, graphdb, store
 from . import bindings as b
 from .bindings import read
@@ -143,3 +143,69 @@ def t7_callees(spark, d):
     n = b.nodes(spark, d).withColumn("path", F.lit("p")).withColumn("start_line", F.lit(1))
     uses = b.uses(spark, d).select(F.lit("calls").alias("type"), F.col("src").alias("from_id"), F.col("dst").alias("to_id"), F.lit("x").alias("name"))
     return answers.callees(n, uses, spark.createDataFrame([(b.CUSTOMER + 1,)], "id long"), 40)[0].select("id")
+
+
+_SYMBOLS = "symbols AS (SELECT p_partkey AS id, p_type AS kind, p_name AS name, p_brand || '.' || p_name AS qualified_name, p_brand AS namespace, p_name || '()' AS signature, CAST(NULL AS VARCHAR) AS doc, p_size AS start_line, p_size + 4 AS end_line, p_size > 25 AS exported, p_size % 7 = 0 AS is_partial, CAST(length(p_name) AS BIGINT) AS chars, CASE WHEN p_partkey > 20 THEN p_partkey % 20 + 1 END AS parent_id, 'f' || p_partkey % 9 AS path, p_size % 9 AS file_id FROM part)"
+
+
+def _symbols(spark, d):
+    key, size = F.col("p_partkey"), F.col("p_size")
+    return read(spark, d, "part").select(
+        key.alias("id"), F.col("p_type").alias("kind"), F.col("p_name").alias("name"), F.concat_ws(".", "p_brand", "p_name").alias("qualified_name"), F.col("p_brand").alias("namespace"), F.concat("p_name", F.lit("()")).alias("signature"), F.lit(None).cast("string").alias("doc"),
+        size.alias("start_line"), (size + 4).alias("end_line"), (size > 25).alias("exported"), (size % 7 == 0).alias("is_partial"), F.length("p_name").cast("long").alias("chars"), F.when(key > 20, key % 20 + 1).alias("parent_id"), F.concat(F.lit("f"), (key % 9).cast("string")).alias("path"), (size % 9).alias("file_id"),
+    )
+
+
+@query(f"WITH {_SYMBOLS} SELECT id, kind, name, qualified_name, namespace, signature, doc, start_line, end_line, exported, is_partial, chars, parent_id, n_name AS path, r_name AS language FROM symbols JOIN nation ON n_nationkey = file_id JOIN region ON r_regionkey = n_regionkey")
+def p1_all_columns(spark, d):
+    nation, region = read(spark, d, "nation"), read(spark, d, "region")
+    files = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("path"), F.col("r_name").alias("language"))
+    return relate.symbol_projection(_symbols(spark, d), files)
+
+
+@query(f"""WITH {_SYMBOLS} SELECT 'all' AS shape, count(*) AS n FROM symbols UNION ALL SELECT 'name', count(*) FROM symbols WHERE name = 'red widget' UNION ALL SELECT 'parents', count(*) FROM symbols WHERE parent_id IN (3, 4)
+UNION ALL SELECT 'name in parents', count(*) FROM symbols WHERE parent_id IN (3, 4) AND name = 'red widget' UNION ALL SELECT 'file', count(*) FROM symbols WHERE path = 'f3' AND name = 'red widget' UNION ALL SELECT 'namespace', count(*) FROM symbols WHERE namespace = 'Brand#11'
+UNION ALL SELECT 'ids', count(*) FROM symbols WHERE id IN (3, 4)""")
+def p8_slim_shapes(spark, d):
+    s, ids = _symbols(spark, d), spark.createDataFrame([(3,), (4,)], "id long")
+    shapes = {"all": {}, "name": {"name": "red widget"}, "parents": {"parents": ids}, "name in parents": {"parents": ids, "name": "red widget"}, "file": {"path": "f3", "name": "red widget"}, "namespace": {"namespace": "Brand#11"}, "ids": {"ids": ids}}
+    out = None
+    for shape, by in shapes.items():
+        one = relate.slim_refs(s, **by).agg(F.count("*").alias("n")).select(F.lit(shape).alias("shape"), "n")
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query("WITH m AS (SELECT p_partkey AS id, min(p_partkey) OVER (PARTITION BY p_name, p_brand) AS whole FROM part) SELECT a.id, b.id AS part FROM m a JOIN m b USING (whole) WHERE a.id % 10 = 3")
+def g12_type_parts(spark, d):
+    merged = relate.merge_parts(read(spark, d, "part"), ["p_name", "p_brand"], "p_partkey").select(F.col("p_partkey").alias("id"), "merged_into")
+    return relate.type_parts(merged, merged.filter("id % 10 = 3").select("id"))
+
+
+@query("WITH m AS (SELECT p_partkey AS id, min(p_partkey) OVER (PARTITION BY p_name, p_brand) AS whole FROM part), h AS (SELECT p_partkey AS src, p_partkey % 40 + 1 AS dst FROM part) SELECT DISTINCT a.id, t.whole AS base FROM m a JOIN m b USING (whole) JOIN h ON h.src = b.id JOIN m t ON t.id = h.dst WHERE a.id % 10 = 3")
+def g12_base_types(spark, d):
+    merged = relate.merge_parts(read(spark, d, "part"), ["p_name", "p_brand"], "p_partkey").select(F.col("p_partkey").alias("id"), "merged_into")
+    inherits = merged.select(F.col("id").alias("src"), (F.col("id") % 40 + 1).alias("dst"))
+    return relate.base_types(relate.type_parts(merged, merged.filter("id % 10 = 3").select("id")), inherits, merged)
+
+
+@query(f"""{BASE}, t AS (SELECT parent_id AS id, count(*) AS n FROM uses JOIN nodes ON nodes.id = dst GROUP BY 1), m AS (SELECT dst AS id, count(*) AS n FROM uses GROUP BY 1), c AS (SELECT src AS id, count(DISTINCT dst) AS n FROM uses GROUP BY 1)
+SELECT (SELECT name FROM t JOIN nodes USING (id) ORDER BY n DESC, id LIMIT 1) AS type, (SELECT name FROM m JOIN nodes USING (id) ORDER BY n DESC, id LIMIT 1) AS method, (SELECT name FROM c JOIN nodes USING (id) ORDER BY n DESC, id LIMIT 1) AS caller,
+(SELECT source || '/' || doc_id FROM documents ORDER BY n_chars DESC, source || '/' || doc_id LIMIT 1) AS file""")
+def a8_starter_examples(spark, d):
+    files = read(spark, d, "documents").select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), F.col("n_chars").alias("chars"))
+    return answers.starter_examples(b.nodes(spark, d), b.uses(spark, d), files)
+
+
+@query("SELECT event_type AS arm, count(*) AS runs, round(avg(value / 100), 6) AS recall, CAST(sum(event_id % 3) AS BIGINT) AS false_positives, count(*) FILTER (WHERE value < 50) AS passed, count(*) FILTER (WHERE event_id % 4 > 0) AS used, CAST(sum(event_id % 4) AS BIGINT) AS tool_calls, round(median(value), 4) AS wall, count(*) FILTER (WHERE event_id % 5 = 0) AS warm, count(*) FILTER (WHERE event_id % 11 = 0) AS errors FROM events GROUP BY 1")
+def b6_all_measures(spark, d):
+    e = F.col("event_id")
+    runs = read(spark, d, "events").select(F.col("event_type").alias("arm"), (F.col("value") / 100).alias("recall"), (e % 3).alias("false_positives"), (F.col("value") < 50).alias("passed"), (e % 4).alias("tool_calls"), F.col("value").alias("wall"), (e % 5 == 0).alias("warm"), F.when(e % 11 == 0, "x").alias("error"))
+    return analytics.arm_totals(runs).withColumn("recall", F.round("recall", 6)).withColumn("wall", F.round("wall", 4)).withColumn("false_positives", F.col("false_positives").cast("long")).withColumn("tool_calls", F.col("tool_calls").cast("long"))
+
+
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '/root/' || source || '/' || lang WHEN 1 THEN '/root/' || lang WHEN 2 THEN NULL ELSE '/root/x' END AS path FROM documents")
+def p18_confined_paths(spark, d):
+    k = F.col("doc_id") % 4
+    given = F.when(k == 0, F.concat_ws("/", F.lit("."), "source", "lang")).when(k == 1, F.concat(F.lit("a/b/../../"), F.col("lang"))).when(k == 2, F.lit("../rooted/x")).otherwise(F.lit("/root/y/../x/"))
+    return read(spark, d, "documents").select("doc_id", paths.confined(given, "/root").alias("path"))
