@@ -13,7 +13,7 @@ P(word | class). Classes maximise the likelihood of the training text.
    of their words; a partition of words sums them, takes the table of all class
    bigrams and moves word after word to the class where the likelihood grows
    most (words of few tokens together, to first order); the new classes go back
-   to the blocks. Sweeps end when the likelihood grows no more.
+   to the blocks. Sweeps end when the moves of one gain next to nothing.
 5. Texts become sequences of classes; transitions are counted, and smoothed.
 
 Words not seen in training are one further type, in a class of its own. The
@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, discard, empty_binary, materialize, parts_for, release, small_batches, word_hashes
+from .common import U64, discard, empty_binary, materialize, parts_for, planes, release, small_batches, steps, unplanes, unsteps, word_hashes
 from .suffixes import pack, unpack
 
 #: Words whose bigrams the driver clusters, and classes (besides those of the end and of unseen words).
@@ -42,8 +42,8 @@ FREQUENT, CLASSES = 512, 60
 BLOCK_TOKENS, PART_BYTES = 1 << 19, 4 << 20
 #: Weight of the class distribution in smoothed transitions.
 MU = 20.0
-#: Sweeps over all words at most, growth of the likelihood (as a share) below which they end, and tokens from which a word is moved by itself.
-SWEEPS, ENOUGH, ALONE = 6, 0.005, 2000
+#: Sweeps over all words at most, gain of the log likelihood (as a share) below which they end, and tokens from which a word is moved by itself.
+SWEEPS, ENOUGH, ALONE = 6, 0.01, 2000
 END = b""
 
 
@@ -57,7 +57,7 @@ def _blocks(carry: list[str], kinds: pa.Schema, block_tokens: int):
         sizes, held, rows, total = [], [], [[] for _ in carry], 0
 
         def flush():
-            body = pack((list(known)[1:],)), pack(np.concatenate(ids).astype("<i4"))
+            body = pack((list(known)[1:],)), pack(planes(np.concatenate(ids)))
             columns = [[number], [body[0]], [body[1]], [sizes], [held], *([r] for r in rows)]
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
@@ -85,7 +85,7 @@ class _Block:
 
     def __init__(self, words: bytes, ids: bytes, sizes: list[int], held: list[bool]):
         self.words = [END, *unpack(words)[0]]
-        self.ids = unpack(ids).astype(np.int64)
+        self.ids = unplanes(unpack(ids)).astype(np.int64)
         self.sizes = np.array(sizes, dtype=np.int64)
         self.train = np.repeat(~np.array(held, dtype=bool), self.sizes)
 
@@ -204,7 +204,7 @@ def _profiles(number: dict[bytes, int], label: np.ndarray, classes: int, parts:
                     here, p = order[x:y], int(part[order[x]])
                     place[here] = np.arange(y - x)
                     some = code_order[np.searchsorted(dealt, p):np.searchsorted(dealt, p, side="right")]
-                    out.append((p, pack((block, [b.words[k] for k in here], here.astype("<i4"), n[here].astype("<i8"), place[word[some]].astype("<i4"), (code[some] % (2 * size)).astype(np.uint8), times[some].astype("<i4")))))
+                    out.append((p, pack((block, [b.words[k] for k in here], steps(here), planes(n[here]), steps(place[word[some]]), (code[some] % (2 * size)).astype(np.uint8), planes(times[some])))))
                 yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary())], names=["part", "run"])
 
     return run
@@ -223,8 +223,8 @@ def _assign(number: dict[bytes, int], label: np.ndarray, table: np.ndarray, clas
         n = np.zeros(len(ids), dtype=np.int64)
         around = np.zeros((len(ids), 2 * size), dtype=np.float32)
         for g, place in zip(got, places):
-            n[place] += g[3]
-            np.add.at(around, (place[g[4]], g[5]), g[6])
+            n[place] += unplanes(g[3])
+            np.add.at(around, (place[unsteps(g[4])], g[5]), unplanes(g[6]))
         total = around[:, :size].sum(1)
         gain = around[:, size:] @ logs[:classes].T + around[:, :size] @ logs[:, :classes] - total[:, None] * (after[:classes] + before[:classes])
         kind = gain.argmax(1)
@@ -232,7 +232,7 @@ def _assign(number: dict[bytes, int], label: np.ndarray, table: np.ndarray, clas
             if (s := number.get(w)) is not None:
                 kind[k] = label[s]
         kind[n == 0] = classes + 1
-        return pa.table({"block": pa.array([g[0] for g in got], pa.int64()), "dict": pa.array([pack((g[2], n[p], kind[p].astype(np.uint8))) for g, p in zip(got, places)], pa.binary())})
+        return pa.table({"block": pa.array([g[0] for g in got], pa.int64()), "dict": pa.array([pack((g[2], planes(n[p], "<u8"), kind[p].astype(np.uint8))) for g, p in zip(got, places)], pa.binary())})
 
     return run
 
@@ -245,7 +245,7 @@ def _around(classes: int, parts: int):
         (block, b), = _read(blocks)
         kind, n = np.full(len(b.words), classes + 1, np.int64), np.bincount(b.ids[b.train], minlength=len(b.words))
         for where, _, k in map(unpack, dicts.column("dict").to_pylist()):
-            kind[where] = k
+            kind[unsteps(where)] = k
         tokens = kind[b.ids]
         before, after, train = b.before(tokens, end), np.append(tokens[1:], end), np.flatnonzero(b.train)
         table = np.bincount(before[train] * size + tokens[train], minlength=size * size)
@@ -262,7 +262,7 @@ def _around(classes: int, parts: int):
             here, p = order[x:y], int(part[order[x]])
             place[here] = np.arange(y - x)
             some = code_order[np.searchsorted(dealt, p):np.searchsorted(dealt, p, side="right")]
-            out.append((p, pack((block, [b.words[k] for k in here], here.astype("<i4"), n[here].astype("<i4"), kind[here].astype(np.uint8), place[word[some]].astype("<i4"), (code[some] % (2 * size)).astype(np.uint8), times[some].astype("<i4")))))
+            out.append((p, pack((block, [b.words[k] for k in here], steps(here), planes(n[here]), kind[here].astype(np.uint8), steps(place[word[some]]), (code[some] % (2 * size)).astype(np.uint8), planes(times[some])))))
         return pa.table({"part": pa.array([o[0] for o in out], pa.int64()), "run": pa.array([o[1] for o in out], pa.binary())})
 
     return run
@@ -282,14 +282,14 @@ def log_likelihood(table: np.ndarray) -> float:
     return float(_xlogx(table).sum() - _xlogx(table.sum(0)).sum() - _xlogx(table.sum(1)).sum())
 
 
-def move_words(before: np.ndarray, after: np.ndarray, kind: np.ndarray, table: np.ndarray, classes: int, alone: int) -> np.ndarray:
-    """New classes of words, from the classes around them and the table of all class bigrams.
+def move_words(before: np.ndarray, after: np.ndarray, kind: np.ndarray, table: np.ndarray, classes: int, alone: int) -> tuple[np.ndarray, float]:
+    """New classes of words, from the classes around them and the table of all class bigrams, and what the moves gain one by one.
 
     Words of ``alone`` tokens or more go one after the other, the table moving
     along; the gains of the others are taken to first order. A word whose own
     class is fixed (the end's, or that of unseen words) keeps it.
     """
-    table, kind, total = table.astype(float), kind.copy(), before.sum(1)
+    table, kind, total, won = table.astype(float), kind.copy(), before.sum(1), 0.0
     movable = kind < classes
     for w in np.flatnonzero(movable & (total >= alone))[np.argsort(-total[movable & (total >= alone)], kind="stable")]:
         a, r, l = kind[w], after[w].astype(float), before[w].astype(float)
@@ -303,12 +303,16 @@ def move_words(before: np.ndarray, after: np.ndarray, kind: np.ndarray, table: n
         table[b] += r
         table[:, b] += l
         kind[w] = b
+        won += float(gain[b] - gain[a])
     few = np.flatnonzero(movable & (total < alone))
     logs = np.log(table + 0.1)
     gain = after[few] @ logs[:classes].T + before[few] @ logs[:, :classes] - total[few][:, None] * (np.log(table.sum(1) + 1)[:classes] + np.log(table.sum(0) + 1)[:classes])
     best, own = gain.argmax(1), gain[np.arange(len(few)), kind[few]]
-    kind[few] = np.where(gain.max(1) > own + 1e-6, best, kind[few]) if len(few) else kind[few]
-    return kind
+    if len(few):
+        more = gain.max(1) - own
+        kind[few] = np.where(more > 1e-6, best, kind[few])
+        won += float(more[more > 1e-6].sum())
+    return kind, won
 
 
 def _sweep(table: np.ndarray, classes: int, alone: int):
@@ -320,13 +324,14 @@ def _sweep(table: np.ndarray, classes: int, alone: int):
         ids: dict[bytes, int] = {}
         places = [np.fromiter((ids.setdefault(w, len(ids)) for w in g[1]), dtype=np.int64, count=len(g[1])) for g in got]
         n, kind = np.zeros(len(ids), dtype=np.int64), np.zeros(len(ids), dtype=np.int64)
-        around = np.zeros((len(ids), 2 * size), dtype=np.float32)
         for g, place in zip(got, places):
-            n[place] += g[3]
+            n[place] += unplanes(g[3])
             kind[place] = g[4]
-            np.add.at(around, (place[g[5]], g[6]), g[7])
-        kind = move_words(around[:, :size], around[:, size:], kind, table, classes, alone)
-        return pa.table({"block": pa.array([g[0] for g in got], pa.int64()), "dict": pa.array([pack((g[2], n[p], kind[p].astype(np.uint8))) for g, p in zip(got, places)], pa.binary())})
+        cells, times = (np.concatenate(x) for x in zip(*((place[unsteps(g[5])] * (2 * size) + g[6], unplanes(g[7])) for g, place in zip(got, places))))
+        around = np.bincount(cells, weights=times, minlength=len(ids) * 2 * size).astype(np.float32).reshape(len(ids), 2 * size)
+        kind, won = move_words(around[:, :size], around[:, size:], kind, table, classes, alone)
+        replies = [pack((g[2], planes(n[p], "<u8"), kind[p].astype(np.uint8))) for g, p in zip(got, places)]
+        return pa.table({"block": pa.array([*(g[0] for g in got), -1], pa.int64()), "dict": pa.array([*replies, pack(won)], pa.binary())})
 
     return run
 
@@ -337,7 +342,8 @@ def _encode(carry: list[str], tokens: int, types: int):
         (_, b), = _read(blocks)
         count, kind = np.zeros(len(b.words), np.int64), np.zeros(len(b.words), np.int64)
         for where, n, k in map(unpack, dicts.column("dict").to_pylist()):
-            count[where], kind[where] = n, k
+            at = unsteps(where)
+            count[at], kind[at] = unplanes(n, "<u8"), k
         starts = np.cumsum(b.sizes) - b.sizes
         c = count[b.ids]
         base = np.add.reduceat(np.log10((c + 1) / (tokens + types + 1)), starts)
@@ -440,25 +446,24 @@ def score_texts(
     dicts = materialize(runs.groupBy("part").applyInArrow(_assign(number, label, table, classes), "block long, dict binary"), "classes")
     del runs, counts
     release(spark)
-    before = None
     for _ in range(sweeps):
-        around = materialize(bare.groupBy("block").cogroup(dicts.groupBy("block")).applyInArrow(_around(classes, parts), "part long, run binary"), "around")
+        around = materialize(bare.groupBy("block").cogroup(dicts.filter("block >= 0").groupBy("block")).applyInArrow(_around(classes, parts), "part long, run binary"), "around")
+        release(spark)
         now = np.zeros(width * width, dtype=np.int64)
         for r in around.filter("part = -1").mapInArrow(_table, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect():
             now[r["code"]] = r["n"]
         now = now.reshape(width, width)
-        grown, before = None if before is None else log_likelihood(now) - before, log_likelihood(now)
-        if grown is not None and grown < ENOUGH * abs(before):
-            discard(around)
-            break
         moved = materialize(around.filter("part >= 0").groupBy("part").applyInArrow(_sweep(now, classes, alone), "block long, dict binary"), "classes")
         discard(around, dicts)
         dicts = moved
+        won = sum(unpack(r["dict"]) for r in moved.filter("block = -1").toLocalIterator())  # a number for each partition of words
         del around, moved
         release(spark)
+        if won < ENOUGH * abs(log_likelihood(now)):
+            break
 
     shape = ", ".join(f"{k} {f.dataType.simpleString()}" for k, f in zip(cols, fields))
-    encoded = blocks.groupBy("block").cogroup(dicts.groupBy("block")).applyInArrow(_encode(cols, tokens, types), f"{shape}, __held boolean, __n long, __known long, __base double, __words double, __codes binary")
+    encoded = blocks.groupBy("block").cogroup(dicts.filter("block >= 0").groupBy("block")).applyInArrow(_encode(cols, tokens, types), f"{shape}, __held boolean, __n long, __known long, __base double, __words double, __codes binary")
     encoded = materialize(encoded, "encoded")
     discard(blocks, dicts)
 

@@ -154,9 +154,23 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, counts
 
 
-def varints(values: np.ndarray) -> bytes:
-    """Non-negative integers as little-endian int32."""
-    return np.asarray(values, dtype="<i4").tobytes()
+def planes(values: np.ndarray, kind: str = "<u4") -> bytes:
+    """Numbers, the bytes of one weight together: those that are all zero cost next to nothing once compressed."""
+    return np.ascontiguousarray(np.asarray(values).astype(kind).view(np.uint8).reshape(len(values), np.dtype(kind).itemsize).T).tobytes()
+
+
+def unplanes(body: bytes, kind: str = "<u4") -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(body, np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
+def steps(values: np.ndarray) -> bytes:
+    """Numbers below 2**32 by what each adds to the one before: small if they ascend."""
+    return planes(np.diff(np.asarray(values, dtype=np.int64), prepend=0))
+
+
+def unsteps(body: bytes) -> np.ndarray:
+    return np.cumsum(unplanes(body), dtype=np.uint32).astype(np.int64)
 
 
 def chunks(rows, most: int, size=len):

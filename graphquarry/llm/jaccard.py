@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, chunks, discard, empty_binary, materialize, mix64, parts_for, small_batches, word_hashes
+from .common import U64, chunks, discard, empty_binary, materialize, mix64, parts_for, planes, small_batches, unplanes, word_hashes
 from .components import connected_components
 from .suffixes import pack, unpack
 
@@ -227,16 +227,6 @@ def _describe(carry: list[str], schema: pa.Schema, sketched: bool = False):
     return run
 
 
-def _planes(values: np.ndarray, kind: str) -> bytes:
-    """Numbers, the bytes of one weight together: those that are all zero cost next to nothing."""
-    return np.ascontiguousarray(values.astype(kind).view(np.uint8).reshape(len(values), -1).T).tobytes()
-
-
-def _unplanes(planes: bytes, kind: str) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, -1).T).view(kind).ravel()
-
-
 def signature_bits(plan: np.ndarray, by_band: np.ndarray, parts: int) -> int:
     """Bits of a signature beside its partition, such that unequal ones seldom meet, however many there are."""
     sent = 1.0
@@ -260,7 +250,7 @@ def _sign(plan: np.ndarray, parts: int, width: int):
             here = order[a:b]
             used, local = np.unique(owner[here], return_inverse=True)
             steps = np.diff(sig[here], prepend=U64(0))
-            rows.append((int(part[here[0]]), pack((_planes(steps, "<u8"), _planes(local, "<u4"), flag[here].astype(np.uint8).tobytes(), keys[used].tobytes(), slack[used].astype("<i4").tobytes(), code[used].astype(np.uint8).tobytes()))))
+            rows.append((int(part[here[0]]), pack((planes(steps, "<u8"), planes(local, "<u4"), flag[here].astype(np.uint8).tobytes(), keys[used].tobytes(), slack[used].astype("<i4").tobytes(), code[used].astype(np.uint8).tobytes()))))
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,8 +294,8 @@ def _meet(crowd: int):
         sig, owner, flag, keys, slack, code = [], [], [], [], [], []
         for blob in table.column("run").to_pylist():
             a, b, c, d, e, f = unpack(blob)
-            sig.append(np.cumsum(_unplanes(a, "<u8"), dtype=U64))
-            owner.append(_unplanes(b, "<u4").astype(np.int64) + base)
+            sig.append(np.cumsum(unplanes(a, "<u8"), dtype=U64))
+            owner.append(unplanes(b, "<u4").astype(np.int64) + base)
             flag.append(np.frombuffer(c, np.uint8))
             keys.append(np.frombuffer(d, U64))
             slack.append(np.frombuffer(e, "<i4"))

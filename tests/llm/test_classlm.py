@@ -44,14 +44,15 @@ def test_sweep_moves_each_word_to_its_best_class():
         best, t = likelihood(bigrams, label)
         assert abs(log_likelihood(t) - best) < 1e-6
         for w in range(10):
-            got = move_words(before[[w]], after[[w]], label[[w]], t, 2, alone)[0]
+            (got,), won = move_words(before[[w]], after[[w]], label[[w]], t, 2, alone)
+            assert won >= 0 and (won > 0) == (got != label[w])
             each = []
             for c in range(2):
                 other = label.copy()
                 other[w] = c
                 each.append(likelihood(bigrams, other)[0])
             assert each[got] >= max(each) - (1e-6 if alone == 0 else 0.02 * abs(best))
-        assert move_words(before[10:], after[10:], label[10:], t, 2, alone).tolist() == [2, 3]
+        assert move_words(before[10:], after[10:], label[10:], t, 2, alone)[0].tolist() == [2, 3]
 
 
 def plain_scores(texts, held, kind, classes):
