@@ -72,10 +72,6 @@ def _by_layout(imports: DataFrame, files: DataFrame, layout) -> DataFrame:
     return imports.join(best, ["path", "spec"], "left").withColumn("target_module", F.coalesce("__module", "target_module")).drop("__module")
 
 
-def _separator() -> "F.Column":
-    return F.when(F.col("language").isin("typescript", "tsx"), F.lit(":")).otherwise(F.lit("."))
-
-
 def exports(symbols: DataFrame, imports: DataFrame) -> DataFrame:
     """``(module, exported, id, qualified_name)``: own top-level names, then those re-exported, by way of any number of files."""
     top = symbols.filter("parent_id is null and kind <> 'namespace'").select("module", F.col("name").alias("exported"), "id", "qualified_name")
@@ -102,7 +98,6 @@ def link(symbols: DataFrame, imports: DataFrame, uses: DataFrame, layout=None, k
     symbols, uses = cut(symbols), cut(uses)
     given = cut(exports(symbols, imports))
     target = symbols.select("id", "qualified_name", "name", "kind", "parent_id", F.col("path").alias("in_path"))
-    sep = _separator()
     types = "kind in ('class', 'interface', 'enum', 'namespace')"
 
     named = imports.filter("local is not null and name is not null and name <> '*'")

@@ -37,9 +37,10 @@ def write_note(spark: SparkSession, where: str, note: dict) -> None:
     out = fs.create(beside, True)
     out.write(bytearray(json.dumps(note, sort_keys=True).encode()))
     out.close()
-    if fs.exists(path):
-        fs.delete(path, False)
-    fs.rename(beside, path)
+    kind = getattr(spark._jvm.org.apache.hadoop.fs, "Options$Rename")
+    over = spark.sparkContext._gateway.new_array(kind, 1)
+    over[0] = kind.OVERWRITE
+    spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(beside, path, over)
 
 
 def save(root: str, **tables: DataFrame) -> str:
