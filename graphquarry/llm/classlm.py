@@ -33,8 +33,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import suffixes
 from .common import U64, discard, empty_binary, materialize, parts_for, planes, release, small_batches, steps, unplanes, unsteps, word_hashes
-from .suffixes import pack, unpack
+from .suffixes import unpack
 
 #: Words whose bigrams the driver clusters, and classes (besides those of the end and of unseen words).
 FREQUENT, CLASSES = 512, 60
@@ -45,6 +46,12 @@ MU = 20.0
 #: Sweeps over all words at most, gain of the log likelihood (as a share) below which they end, and tokens from which a word is moved by itself.
 SWEEPS, ENOUGH, ALONE = 6, 0.01, 2000
 END = b""
+#: Level at which blocks and runs are compressed: all passes write or move them.
+LEVEL = 5
+
+
+def pack(run) -> bytes:
+    return suffixes.pack(run, LEVEL)
 
 
 def _blocks(carry: list[str], kinds: pa.Schema, block_tokens: int):

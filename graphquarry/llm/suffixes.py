@@ -42,9 +42,9 @@ def front_decode(coded: tuple[list[int], list[int], bytes]) -> tuple[list[bytes]
     return out, shared
 
 
-def pack(run) -> bytes:
+def pack(run, level: int = 1) -> bytes:
     """A run for the exchange."""
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(run, protocol=5))
+    return zstandard.ZstdCompressor(level=level).compress(pickle.dumps(run, protocol=5))
 
 
 def unpack(blob: bytes):
