@@ -32,12 +32,12 @@ def x8_stale_files(spark, d):
     return store.stale(files.select("path", "hash"), now)
 
 
-_IMPORTS = "imports AS (SELECT l_orderkey * 10 + l_linenumber AS id, CAST(l_suppkey AS VARCHAR) AS path, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE CAST(l_partkey % 200 AS VARCHAR) END AS target_path, CASE WHEN l_linenumber = 3 THEN 'space' END AS target_space FROM lineitem)"
+_IMPORTS = "imports AS (SELECT DISTINCT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id, CAST(l_suppkey AS VARCHAR) AS path, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE CAST(l_partkey % 200 AS VARCHAR) END AS target_path, CASE WHEN l_linenumber = 3 THEN 'space' END AS target_space FROM lineitem)"
 
 
 def _imports(spark, d):
     line = F.col("l_linenumber")
-    return read(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + line).alias("id"), F.col("l_suppkey").cast("string").alias("path"), F.when(line % 3 != 0, (F.col("l_partkey") % 200).cast("string")).alias("target_path"), F.when(line == 3, "space").alias("target_space"))
+    return read(spark, d, "lineitem").select(F.concat_ws("-", *(F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))).alias("id"), F.col("l_suppkey").cast("string").alias("path"), F.when(line % 3 != 0, (F.col("l_partkey") % 200).cast("string")).alias("target_path"), F.when(line == 3, "space").alias("target_space")).distinct()
 
 
 @query(f"WITH {_IMPORTS}, changed AS (SELECT CAST(s_suppkey AS VARCHAR) AS path FROM supplier WHERE s_acctbal > 8000) SELECT id, path FROM imports WHERE path IN (SELECT path FROM changed) OR target_path IN (SELECT path FROM changed) OR (target_path IS NULL AND target_space IS NULL)")
