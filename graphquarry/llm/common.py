@@ -89,6 +89,17 @@ def empty_binary(column) -> "F.Column":
     return F.coalesce(column.cast("binary"), F.lit("").cast("binary"))
 
 
+def free_names(names, taken) -> list[str]:
+    """``names``, each with as many ``_`` appended as set it apart from those taken, letter case aside."""
+    out, used = [], {t.lower() for t in taken}
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser, elementwise."""
     x = x.astype(U64, copy=True)

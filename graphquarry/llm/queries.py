@@ -89,8 +89,20 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(_read(spark, sf_dir, "pages"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .exact import find_duplicates
+
+    return find_duplicates(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_suffix_dedup, op2_class_lm, op3_decontaminate, op4_token_counts, op5_ngram_jaccard, op6_quality, op7_source_mix, op8_image_copies, op9_chat_format, op10_html_text)
+    f.__name__: f for f in (op1_suffix_dedup, op2_class_lm, op3_decontaminate, op4_token_counts, op5_ngram_jaccard, op6_quality, op7_source_mix, op8_image_copies, op9_chat_format, op10_html_text, op11_exact_dedup)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op11_exact_dedup": r"""
+        SELECT doc_id, min(doc_id) OVER (PARTITION BY squeezed) AS keep_id, count(*) OVER (PARTITION BY squeezed) AS group_size,
+               row_number() OVER (PARTITION BY squeezed ORDER BY doc_id) = 1 AS kept, sha256(squeezed) AS text_sha256
+        FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS squeezed FROM documents)
+    """,
+}
