@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,8 +104,15 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine_hard_negatives(_read(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .alignment import align_tokens
+
+    a, b = (Path(tokenizer_dir(), name).read_bytes() for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return align_tokens(_read(spark, sf_dir, "documents"), a, b)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_suffix_dedup, op2_class_lm, op3_decontaminate, op4_token_counts, op5_ngram_jaccard, op6_quality, op7_source_mix, op8_image_copies, op9_chat_format, op10_html_text, op11_exact_dedup, op12_hard_negatives)
+    f.__name__: f for f in (op1_suffix_dedup, op2_class_lm, op3_decontaminate, op4_token_counts, op5_ngram_jaccard, op6_quality, op7_source_mix, op8_image_copies, op9_chat_format, op10_html_text, op11_exact_dedup, op12_hard_negatives, op13_token_alignment)
 }
 
 ORACLE_SQL: dict[str, str] = {
