@@ -98,7 +98,7 @@ def link(symbols: DataFrame, imports: DataFrame, uses: DataFrame, layout=None, k
     symbols, uses = cut(symbols), cut(uses)
     given = cut(exports(symbols, imports))
     target = symbols.select("id", "qualified_name", "name", "kind", "parent_id", F.col("path").alias("in_path"))
-    types = "kind in ('class', 'interface', 'enum', 'namespace')"
+    types, spaceless = "kind in ('class', 'interface', 'enum', 'namespace')", "kind in ('class', 'interface', 'enum')"
 
     named = imports.filter("local is not null and name is not null and name <> '*'")
     by_module = named.join(given.select(F.col("module").alias("target_module"), F.col("exported").alias("name"), "id", "qualified_name"), ["target_module", "name"]).select("path", "local", "id", "qualified_name")
@@ -131,9 +131,9 @@ def link(symbols: DataFrame, imports: DataFrame, uses: DataFrame, layout=None, k
             found.append(of_type.select("use", (F.col("depth") + 50).alias("rule"), "id", "qualified_name"))
             sees = imports.select("path", "target_module").join(files.select(F.col("module").alias("target_module"), F.col("path").alias("in_path")), "target_module").select("path", "in_path").union(files.select("path", F.col("path").alias("in_path"))).distinct()
             anywhere = target.filter("parent_id is not null and kind in ('method', 'property', 'field')").select("name", "id", "qualified_name", "in_path")
-            shown = first_rule(symbols.filter(types).select("path", F.col("name").alias("local"), "id", "qualified_name").withColumn("rule", F.lit(10)).union(names.withColumn("rule", F.lit(30))).union(wide.withColumn("rule", F.lit(40))).join(symbols.filter(types).select("id"), "id", "left_semi").select(F.struct("path", "local").alias("key"), "rule", "id", "qualified_name"), "key").filter("id is not null").select("key.path", "key.local", "id")
+            shown = first_rule(symbols.filter(spaceless).select("path", F.col("name").alias("local"), "id", "qualified_name").withColumn("rule", F.lit(10)).union(names.withColumn("rule", F.lit(30))).union(wide.withColumn("rule", F.lit(40))).join(symbols.filter(spaceless).select("id"), "id", "left_semi").select(F.struct("path", "local").alias("key"), "rule", "id", "qualified_name"), "key").filter("id is not null").select("key.path", "key.local", "id")
             every = target.filter("parent_id is not null").select(F.col("parent_id").alias("holder"), "name", "kind", "id", "qualified_name")
-            lookup = Types(cut(shown), up, cut(every), symbols.filter(types).groupBy("qualified_name", "language").agg(F.min("id").alias("id")))
+            lookup = Types(cut(shown), up, cut(every), symbols.filter(spaceless).groupBy("qualified_name", "language").agg(F.min("id").alias("id")))
             chained = some.filter("language in ('java', 'csharp') and qualifier is not null and from_id is not null").filter(~F.col("qualifier").isin(*SELF, *SUPER)).select(F.col("id").alias("use"), "path", "language", "from_id", "name", "segments", "receiver_base")
             typed = cut(receiver_types(chained, symbols, lookup, owner))
             of_receiver = typed.join(chained.select("use", "name"), "use").select(F.col("use").alias("key"), F.col("id").alias("owner"), "name")

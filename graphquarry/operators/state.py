@@ -5,8 +5,9 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of a table, by Catalyst's estimate, up to which it is broadcast.
@@ -19,16 +20,72 @@ def if_small(df: DataFrame, most: int = SMALL) -> DataFrame:
     return F.broadcast(df) if size <= most else df
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the folder that the cluster shares (``spark.checkpoint.dir``).
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
     Only where the session names none, as in tests, a temporary folder serves.
     """
-    sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir", None) and not sc._jsc.sc().getCheckpointDir().isDefined():
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir", None)
+    if not found:
+        held = sc._jsc.sc().getCheckpointDir()
+        found = held.get() if held.isDefined() else None
+    if not found:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = tempfile.mkdtemp(prefix="graphquarry-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
+        found = tempfile.mkdtemp(prefix="graphquarry-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
+        sc.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def delete_path(spark: SparkSession, where: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back.
+
+    The plan starts afresh from files that survive a lost executor, and Catalyst
+    knows their size, so small tables are broadcast from here on.
+    """
+    spark = df.sparkSession
+    where = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(where)
+    out = spark.read.schema(df.schema).parquet(where)
+    out.stored_at = where
+    return out
+
+
+def drop_cut(*tables: DataFrame) -> None:
+    """Delete what :func:`cut` wrote; nothing may read it afterwards."""
+    for df in tables:
+        delete_path(df.sparkSession, df.stored_at)
+
+
+class Seen:
+    """What a search has found so far, in few tables however many levels it takes.
+
+    Each level is added as a table; two tables of about one age are written as
+    one, as when counting in binary, and the old ones are deleted. So ``n``
+    levels make about ``log2(n)`` tables, and a row is written as often.
+    """
+
+    def __init__(self, first: DataFrame):
+        self.tables: list[tuple[int, DataFrame]] = [(0, first)]
+
+    def add(self, level: DataFrame) -> None:
+        age = 0
+        while self.tables and self.tables[-1][0] == age and len(self.tables) > 1:
+            _, older = self.tables.pop()
+            level, done = cut(older.unionByName(level)), (older, level)
+            drop_cut(*done)
+            age += 1
+        self.tables.append((age, level))
+
+    def all(self) -> DataFrame:
+        out = self.tables[0][1]
+        for _, df in self.tables[1:]:
+            out = out.unionByName(df)
+        return out

@@ -132,30 +132,11 @@ def test_changed_lines(spark, tmp_path):
     assert list(git.changed_ranges(["+++ b/x", "@@ -3,2 +2,0 @@", "@@ -9 +8 @@", "+++ /dev/null", "@@ -1 +1 @@"])) == [("x", 2, 2), ("x", 8, 8)]
 
 
-def test_graph_load(spark):
-    said = []
-
-    def run(statement, params):
-        said.append((statement, params))
-        if "DETACH DELETE s RETURN" in statement:
-            return [{"deleted": 10_000 if sum("DETACH DELETE s RETURN" in s for s, _ in said) == 1 else 3}]
-        return [{"largest": "r", "queries": 2}] if "largest" in statement else []
-
-    nodes = spark.createDataFrame([(k, f"n{k}", 1.0) for k in range(4100)], "id long, name string, pagerank double")
-    links = spark.createDataFrame([(1, 2, "calls", 2, [1, 4]), (2, 3, "extends", 1, [7])], "src long, dst long, type string, n long, lines array<int>")
-    done = graphdb.load_graph(nodes, links, run, "app", "r")
-    assert done["deleted"] == 10_003 and done["nodes"] == {"Symbol": 4100} and done["relationships"] == {"CALLS": 1, "EXTENDS": 1, "IMPLEMENTS": 0, "REFERENCES": 0}
-    sizes = [len(p["rows"]) for s, p in said if s.startswith("UNWIND $rows AS r CREATE")]
-    assert sizes == [2000, 2000, 100] and any("queries" in p for _, p in said)
-    assert graphdb.coerce({"a": 2.0, "pagerank": 1.0, "b": None, "c": [1.0, 1.5, True], "d": {"e": 3.0}}) == {"a": 2, "pagerank": 1.0, "c": [1, 1.5, True], "d": {"e": 3}}
-    assert isinstance(graphdb.coerce(2.0), int) and isinstance(graphdb.coerce(1.0, "pagerank"), float)
-
-
 def test_stored_queries(spark):
-    stored = graphdb.stored_queries(spark, {"b": graphdb.starter_queries("b"), "a": [{"name": "old", "view": "table", "title": "t", "cypher": "x", "order": 1}]})
-    now = graphdb.upsert_queries(stored, graphdb.stored_queries(spark, {"a": graphdb.starter_queries("a", repo="r")}))
-    listed = [(r["app"], r["order"]) for r in graphdb.list_queries(now).collect()]
-    assert listed == [(x, k) for x in "ab" for k in range(1, 14)] and now.filter("name = 'old'").isEmpty()
+    table = lambda *rows: spark.createDataFrame(rows, "app string, name string, `order` int")
+    stored = table(("b", "x", 2), ("b", "y", 1), ("a", "old", 1))
+    now = graphdb.upsert_queries(stored, table(("a", "new", 2), ("a", "first", 1)))
+    assert [tuple(r) for r in graphdb.list_queries(now).collect()] == [("a", "first", 1), ("a", "new", 2), ("b", "y", 1), ("b", "x", 2)]
     repos = spark.createDataFrame([("a", "r", 5), ("a", "s", 9)], "app string, name string, symbols long")
     assert graphdb.may_store(repos, now, "a", "s") and not graphdb.may_store(repos, now, "a", "r") and graphdb.may_store(repos, now, "c", "z")
 
