@@ -33,6 +33,8 @@ from .common import free_names, materialize, steps, unsteps
 
 #: Characters of a chunk of documents, and of those tokenized together.
 CHUNK, PIECE = 6 << 20, 1 << 20
+#: Characters of segments that are tokenized as one text.
+TOGETHER = 1 << 13
 #: Segments, and characters of them, that a worker remembers before it starts afresh.
 REMEMBERED, REMEMBERED_CHARS = 200_000, 16 << 20
 
@@ -64,29 +66,29 @@ class Pair:
             self.a_bytes[k] = bytes(byte[c] for c in piece if c in byte)
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(pieces)]
+        self.a_len, self.b_len = (np.array([*map(len, x)], np.int64) for x in (self.a_bytes, self.b_bytes))
         self.space = self.b.piece_to_id("▁")
 
-    def encode(self, segments: list[str]) -> Iterator[tuple[list[int], list[int]]]:
-        """A and B ids of segments, each of which starts with a space; B adds that space itself."""
-        a = self.a.encode_batch(segments, add_special_tokens=False)
-        b = self.b.encode([s[1:] for s in segments], num_threads=1)
-        for segment, x, y in zip(segments, a, b):
-            yield x.ids, y if len(segment) > 1 else [self.space]
-
-    def groups(self, segment: str, a: list[int], b: list[int]) -> list[str] | None:
-        """Keys ``a1,a2|b1`` of the segment's groups; none if its bytes can't be had back from the tokens."""
-        body = segment.encode()
-        left, right = [self.a_bytes[k] for k in a], [self.b_bytes[k] for k in b]
-        if b"".join(left) != body or b"".join(right) != body:
+    def encode(self, text: str) -> tuple[list[int], list[int]]:
+        """A and B ids of a text that starts with a space; B adds that space itself."""
+        return self.a.encode(text, add_special_tokens=False).ids, self.b.encode(text[1:]) if len(text) > 1 else [self.space]
+
+    def groups(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+        """A and B ids of consecutive segments, which A and B id each group ends with, and how many A and B ids come before each segment and after all; none if some bytes can't be had back from the tokens."""
+        text = "".join(segments)
+        a, b = self.encode(text)
+        body = text.encode()
+        if b"".join([self.a_bytes[k] for k in a]) != body or b"".join([self.b_bytes[k] for k in b]) != body:
             return None
-        ends = [*accumulate(map(len, left))]
-        other = {end: k for k, end in enumerate(accumulate(map(len, right)), 1)}
-        out, i, j = [], 0, 0
-        for k, end in enumerate(ends, 1):
-            if (to := other.get(end)) is not None:
-                out.append(f"{','.join(map(str, a[i:k]))}|{','.join(map(str, b[j:to]))}")
-                i, j = k, to
-        return out
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        ends, other = np.cumsum(self.a_len[a]), np.cumsum(self.b_len[b])
+        at = np.searchsorted(other, ends)
+        both = other[np.minimum(at, len(other) - 1)] == ends
+        cuts = np.concatenate([[0], np.cumsum([len(x) if x.isascii() else len(x.encode()) for x in segments])])
+        before = np.searchsorted(ends, cuts[1:]) + 1, np.searchsorted(other, cuts[1:]) + 1
+        if (ends[before[0] - 1] != cuts[1:]).any() or (other[before[1] - 1] != cuts[1:]).any():
+            return None
+        return a, b, np.flatnonzero(both), at[both], *(np.concatenate([[0], x]) for x in before)
 
     def links(self, key: str) -> Counter:
         """How often each (A id, B id) pair of a group overlaps."""
@@ -123,31 +125,69 @@ def _intern(sent, names: list[str], by: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair, chunk = _pair(sent), TaskContext.get().partitionId() << 33
-        known: dict[str, tuple] = {}
+        known: dict[str, tuple | None] = {}
         number: dict[str, int] = {}
+        spelled: list[str] = []
         held: list[tuple] = []
         size = remembered = 0
         kinds: dict[str, pa.DataType] = {}
 
         def learn(segments: set[str]) -> None:
+            """Tokenize what isn't known yet, many segments at once: those that end in white space, which could run into the next, alone."""
             nonlocal remembered
-            new = [s for s in segments if s not in known]
-            for segment, (a, b) in zip(new, pair.encode(new)):
+            some: list[str] = []
+            chars = 0
+            for segment in segments:
+                if segment in known:
+                    continue
                 remembered += len(segment)
-                keys = pair.groups(segment, a, b)
-                known[segment] = (None, 0, 0, "") if keys is None else ([number.setdefault(k, len(number)) for k in keys], len(a), len(b), ";".join(keys))
-
-        def document(text: str | None) -> tuple[int, int, list[int], str]:
-            if not text:
-                return 0, 0, [], ""
-            parts = [known[s] for s in SEGMENT.split(" " + text)]
-            if any(p[0] is None for p in parts):
+                if segment[-1].isspace():
+                    take([segment])
+                    continue
+                some.append(segment)
+                chars += len(segment)
+                if chars > TOGETHER:
+                    take(some)
+                    some, chars = [], 0
+            if some:
+                take(some)
+
+        def take(some: list[str]) -> None:
+            found = pair.groups(some)
+            if found is None:
+                for segment in some if len(some) > 1 else ():
+                    take([segment])
+                if len(some) == 1:
+                    known[some[0]] = None
+                return
+            a, b, last_a, last_b, upto_a, upto_b = found
+            first_a, first_b = np.concatenate([[0], last_a[:-1] + 1]), np.concatenate([[0], last_b[:-1] + 1])
+            numbers = np.empty(len(last_a), np.int64)
+            single = (first_a == last_a) & (first_b == last_b)
+            codes, back = np.unique(a[last_a[single]] << 32 | b[last_b[single]], return_inverse=True)
+            numbers[single] = np.array([number.setdefault(f"{c >> 32}|{c & 0xFFFFFFFF}", len(number)) for c in codes.tolist()], np.int64)[back]
+            left, right = [*map(str, a.tolist())], [*map(str, b.tolist())]
+            more = np.flatnonzero(~single)
+            numbers[more] = [number.setdefault(f"{','.join(left[i:k + 1])}|{','.join(right[j:m + 1])}", len(number)) for i, k, j, m in zip(first_a[more].tolist(), last_a[more].tolist(), first_b[more].tolist(), last_b[more].tolist())]
+            ends = np.searchsorted(last_a, upto_a[1:] - 1) + 1
+            each = numbers.tolist()
+            start = 0
+            for segment, end, x, y in zip(some, ends.tolist(), np.diff(upto_a).tolist(), np.diff(upto_b).tolist()):
+                known[segment] = (each[start:end], x, y)
+                start = end
+
+        def document(segments: list[str]) -> tuple[int, int, list[int], str]:
+            parts = [known[s] for s in segments]
+            if not parts or None in parts:
                 return 0, 0, [], ""
-            return sum(p[1] for p in parts), sum(p[2] for p in parts), [*chain.from_iterable(p[0] for p in parts)], hashlib.sha256(";".join(p[3] for p in parts).encode()).hexdigest()
+            mine, a, b = zip(*parts)
+            mine = [*chain.from_iterable(mine)]
+            if len(spelled) < len(number):
+                spelled.extend([*number][len(spelled):])
+            return sum(a), sum(b), mine, hashlib.sha256(";".join([spelled[k] for k in mine]).encode()).hexdigest()
 
         def chunk_rows() -> Iterator[pa.RecordBatch]:
             nonlocal chunk, size
-            keys = list(number)
             flat = np.fromiter(chain.from_iterable(d[1][2] for d in held), dtype=np.int64)
             used, ranks, times = np.unique(flat, return_inverse=True, return_counts=True)
             each = [np.sort(x) for x in np.split(ranks, np.cumsum([len(d[1][2]) for d in held])[:-1])]
@@ -161,7 +201,7 @@ def _intern(sent, names: list[str], by: str):
             yield pa.record_batch(out)
             m = len(used)
             out = {c: pa.nulls(m, kinds[c]) for c in names} | {"chunk": np.full(m, chunk)} | {c: pa.nulls(m, pa.int64()) for c in ("n_a", "n_b", "n_groups")}
-            out |= {"sha": pa.nulls(m, pa.string()), "groups": pa.nulls(m, pa.binary()), "local": np.arange(m, dtype=np.int32), "group_key": pa.array([keys[k] for k in used.tolist()], pa.string()), "freq": times.astype(np.int64)}
+            out |= {"sha": pa.nulls(m, pa.string()), "groups": pa.nulls(m, pa.binary()), "local": np.arange(m, dtype=np.int32), "group_key": pa.array([spelled[k] for k in used.tolist()], pa.string()), "freq": times.astype(np.int64)}
             yield pa.record_batch(out)
             held.clear()
             chunk, size = chunk + 1, 0
@@ -182,9 +222,11 @@ def _intern(sent, names: list[str], by: str):
                     if len(known) > REMEMBERED or remembered > REMEMBERED_CHARS:
                         known.clear()
                         number.clear()
+                        spelled.clear()
                         remembered = 0
-                learn({s for t in texts[first:last] if t for s in SEGMENT.split(" " + t)})
-                held += [(carried[k], document(texts[k])) for k in range(first, last)]
+                split = [SEGMENT.split(" " + t) if t else [] for t in texts[first:last]]
+                learn(set(chain.from_iterable(split)))
+                held += zip(carried[first:last], map(document, split))
                 size += chars
                 first = last
         if held:

@@ -69,9 +69,12 @@ def test_segments_give_whole_texts_tokens():
     for text in [t for t in HARD + prose(100) if t]:
         segments = SEGMENT.split(" " + text)
         assert "".join(segments) == " " + text
-        a, b = zip(*pair.encode(segments))
+        a, b = zip(*map(pair.encode, segments))
         assert sum(a, []) == ta.encode(" " + text, add_special_tokens=False).ids
         assert sum(b, []) == pair.b.encode(text), repr(text)
+    segments = sorted({s for text in HARD + prose(100) if text for s in SEGMENT.split(" " + text) if not s[-1].isspace()})
+    alone, together = [*map(pair.encode, segments)], pair.encode("".join(segments))
+    assert sum((a for a, _ in alone), []) == together[0] and sum((b for _, b in alone), []) == together[1]
 
 
 def test_against_whole_texts(spark):
