@@ -27,9 +27,9 @@ def tree_times(spark) -> tuple[dict[str, float], dict[str, int]]:
     from pyspark.sql import functions as F
 
     from graphquarry.api import Index
-    from graphquarry.operators import relate, relink
+    from graphquarry.operators import relate
     from graphquarry.sources import workspace
-    from graphquarry.sources.parsers import parse_files
+    from graphquarry.streaming import fresh
 
     folder = tempfile.mkdtemp()
     shutil.copytree(os.path.dirname(os.__file__), f"{folder}/lib", ignore=shutil.ignore_patterns("site-packages", "test", "tests", "idlelib", "lib2to3", "__pycache__", "*.so", "*.a"))
@@ -45,14 +45,13 @@ def tree_times(spark) -> tuple[dict[str, float], dict[str, int]]:
     lap("tree_ranks")
     relate.changes(index.files.select("path", "hash"), workspace.scan(spark, folder).select("path", "hash"), "path", "hash").filter("state <> 'unchanged'").count()
     lap("tree_rescan")
-    changed = spark.createDataFrame([("lib/textwrap.py",)], "path string")
-    content = index.files.join(changed, "path", "left_semi").withColumn("content", F.concat("content", F.lit("\n\ndef added_here():\n    return fill('x')\n")))
-    symbols, imports, uses, _ = parse_files(content, [""])
+    kept = fresh.FreshIndex(spark, f"{folder}/kept", buckets=16)
+    kept.apply(index.files.select("path", "content", F.lit(False).alias("deleted")), 0)
     began = time.time()
-    files = index.modules()
-    old = {"files": files, "symbols": index.symbols.drop("chars", "test"), "imports": index.imports.drop("target_module", "local"), "uses": index.uses}
-    relink.relink(old, {"files": files.join(changed, "path", "left_semi"), "symbols": symbols, "imports": imports, "uses": uses}, changed, changed.limit(0))
-    lap("tree_one_file")
+    for number, line in enumerate(("def added_here():\n    return fill('x')\n", "def added_later():\n    return added_here()\n"), 1):
+        content = index.files.filter("path = 'lib/textwrap.py'").select("path", F.concat("content", F.lit(f"\n\n{line}")).alias("content"), F.lit(False).alias("deleted"))
+        kept.apply(content, number)
+        lap("tree_one_file")  # the second: code is compiled then
     sizes = {"files": index.files.count(), "symbols": index.symbols.count(), "uses": index.uses.count()}
     shutil.rmtree(folder)
     return took, sizes

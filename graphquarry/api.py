@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import paths, text
-from .operators import answers, graph, linker, pack, search
+from .operators import answers, graph, linker, pack, postings, search
 from .operators.state import cut
 from .sources import config, git, store, workspace
 from .sources.parsers import parse_files, python_roots
@@ -23,6 +24,7 @@ class Index:
     imports: DataFrame
     uses: DataFrame
     _ranks: DataFrame | None = field(default=None, repr=False)
+    _words: postings.Postings | None = field(default=None, repr=False)
 
     @classmethod
     def build(cls, spark: SparkSession, root: str) -> Index:
@@ -52,7 +54,11 @@ class Index:
         return self._ranks
 
     def search_symbols(self, query: str, kind: str | None = None, language: str | None = None, limit: int = 20) -> DataFrame:
-        return search.ranked_prefix_search(self.symbols, query, min(max(limit, 1), 50), kind, language)
+        """From an index of the symbols' words that the first request builds."""
+        if self._words is None:
+            self._words = postings.Postings.build(self.symbols, {"name": 10.0, "qualified_name": 2.0})
+        asked = [F.col(c) == v for c, v in (("kind", kind), ("language", language)) if v]
+        return self._words.search(query, min(max(limit, 1), 50), reduce(lambda a, b: a & b, asked) if asked else None)
 
     def exact_match(self, query: str, most_lines: int = 60) -> DataFrame:
         """The code of the only symbol of this name (or qualified name), if it is no type and short; else no row."""

@@ -8,16 +8,12 @@ seen, and each level is checkpointed, so cycles end and plans stay short.
 from __future__ import annotations
 
 import itertools
+import uuid
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .state import cut
-
-#: Edges and nodes up to which ranks are computed in one process: 16 bytes each.
-IN_MEMORY = 4_000_000
+from .state import Seen, bucketed, cut, drop_bucketed, drop_cut
 
 
 def _levels(depth: int | None):
@@ -25,36 +21,42 @@ def _levels(depth: int | None):
 
 
 def kept(edges: DataFrame, *more: str) -> DataFrame:
-    """``edges`` written once, without repeats, dealt by ``src``: searches read them in every level."""
-    return cut(edges.select("src", "dst", *more).distinct().repartition("src"))
+    """``edges`` written once, without repeats, in buckets of ``src``: searches read them in every level and don't move them."""
+    return bucketed(edges.select("src", "dst", *more).repartition("src").distinct(), "src")
 
 
 def bfs(seeds: DataFrame, edges: DataFrame, depth: int | None = None) -> DataFrame:
     """``(id, level)``: what ``seeds`` (``id``) reach in at most ``depth`` steps (none: in any number), at the first level."""
     edges = kept(edges)
-    seen = frontier = cut(seeds.select("id").distinct().withColumn("level", F.lit(0)))
+    frontier = cut(seeds.select("id").distinct().withColumn("level", F.lit(0)))
+    seen = Seen(frontier)
     for level in _levels(depth):
-        nxt = frontier.join(edges, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("level", F.lit(level))
-        frontier = cut(nxt)
-        if frontier.isEmpty():
+        nxt = frontier.join(edges, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct().join(seen.all(), "id", "left_anti").withColumn("level", F.lit(level))
+        found = cut(nxt)
+        if found.isEmpty():
+            drop_cut(found)
             break
-        seen = seen.union(frontier)
-    return seen
+        frontier = seen.add(found).filter(F.col("level") == level)
+    drop_bucketed(edges)
+    return seen.all()
 
 
 def closure(edges: DataFrame, depth: int | None = None) -> DataFrame:
     """``(src, dst, depth)``: all pairs connected in at most ``depth`` steps (none: in any number), with the fewest."""
     edges = kept(edges.filter("src <> dst"))
-    seen = frontier = edges.withColumn("depth", F.lit(1))
-    step = edges.select(F.col("src").alias("dst"), F.col("dst").alias("far"))
+    frontier = cut(edges.withColumn("depth", F.lit(1)))
+    seen = Seen(frontier)
+    step = edges.select(F.col("src").alias("by"), F.col("dst").alias("far"))
     for level in _levels(None if depth is None else depth - 1):
         level += 1
-        nxt = frontier.join(step, "dst").select("src", F.col("far").alias("dst")).filter("src <> dst").distinct().join(seen, ["src", "dst"], "left_anti").withColumn("depth", F.lit(level))
-        frontier = cut(nxt)
-        if frontier.isEmpty():
+        nxt = frontier.join(step, F.col("dst") == F.col("by")).select("src", F.col("far").alias("dst")).filter("src <> dst").distinct().join(seen.all(), ["src", "dst"], "left_anti").withColumn("depth", F.lit(level))
+        found = cut(nxt)
+        if found.isEmpty():
+            drop_cut(found)
             break
-        seen = seen.union(frontier)
-    return seen
+        frontier = seen.add(found).filter(F.col("depth") == level)
+    drop_bucketed(edges)
+    return seen.all()
 
 
 def weighted(uses: DataFrame) -> DataFrame:
@@ -74,53 +76,96 @@ def neighbours(ids: DataFrame, edges: DataFrame) -> DataFrame:
     return out.union(back).distinct()
 
 
-def _ranks_in_memory(ids: np.ndarray, src: np.ndarray, dst: np.ndarray, n: np.ndarray, damping: float, rounds: int, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
-    ids = np.sort(ids)
-    a, b = np.minimum(np.searchsorted(ids, src), len(ids) - 1), np.minimum(np.searchsorted(ids, dst), len(ids) - 1)
-    known = (ids[a] == src) & (ids[b] == dst) & (src != dst)
-    a, b, w = a[known], b[known], np.sqrt(n[known])
-    out = np.bincount(a, weights=w, minlength=len(ids))
-    share, dangling, rank = w / out[a], out == 0, np.full(len(ids), 1.0 / len(ids))
-    for _ in range(rounds):
-        new = (1 - damping) / len(ids) + damping * rank[dangling].sum() / len(ids) + damping * np.bincount(b, weights=rank[a] * share, minlength=len(ids))
-        moved, rank = np.abs(new - rank).sum(), new
-        if moved < tolerance:
-            break
-    return ids, rank
+#: Sources with more than 1/(HUB_SHARE * P) of the edges are hubs, so there are few of them; rounds that one job takes.
+HUB_SHARE, AT_ONCE = 4, 10
+
+
+class Ranking:
+    """The tables of a rank computation, in buckets of a node's id.
 
+    ``shares (src, dst, share)`` lie in the buckets of ``src``, ``ranks (id,
+    rank)`` in those of ``id``, as many as the session has shuffle partitions.
+    So a round joins ranks with edges where they lie, and moves only partial
+    sums, by target: one exchange. Each node has a row to itself without a
+    share, which carries its rank over, so no other join is needed. Edges of
+    hubs lie apart, dealt evenly, and the few ranks of hubs go to all tasks.
 
-def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-9, every: int = 5, in_memory: int = IN_MEMORY) -> DataFrame:
+    What lies in nodes without edges is spread evenly over all nodes, which
+    multiplies all ranks alike; so it is left out, and the ranks are scaled to
+    one at the end.
+    """
+
+    def __init__(self, nodes: DataFrame, edges: DataFrame, damping: float):
+        spark, self.damping = nodes.sparkSession, damping
+        parts = spark.conf.get("spark.sql.shuffle.partitions")
+        ids = cut(nodes.select(F.col("id").cast("long").alias("id")).filter("id is not null").distinct())
+        known = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), "n").filter("src <> dst and n > 0")
+        known = known.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+        held = cut(known.groupBy("src", "dst").agg(F.sqrt(F.sum("n")).alias("w")))
+        out = cut(held.groupBy("src").agg(F.sum("w").alias("out"), F.count("*").alias("n")))
+        self.count = ids.count()
+        self.hubs = cut(out.join(F.broadcast(out.agg(F.sum("n").alias("all"))), F.col("n") * HUB_SHARE * int(parts) > F.col("all")).select("src"))
+        self.has_hubs = not self.hubs.isEmpty()
+        shares = held.join(out.select("src", "out"), "src").select("src", "dst", (F.col("w") / F.col("out")).alias("share"))
+        few = F.broadcast(self.hubs)
+        own = ids.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(None).cast("double").alias("share"))
+        tables = [bucketed(shares.join(few, "src", "left_anti").union(own).repartition(int(parts), "src"), "src"), bucketed(ids.select("id", F.lit(1.0 / max(self.count, 1)).alias("rank")).repartition(int(parts), "id"), "id")]
+        self.hub_shares = cut(shares.join(few, "src", "left_semi"))
+        drop_cut(ids, held, out)
+        # a session of its own: a job of many equal rounds has nothing that would be planned anew on the way
+        self.side = spark.newSession()
+        self.side.conf.set("spark.sql.shuffle.partitions", parts)
+        self.side.conf.set("spark.sql.adaptive.enabled", "false")
+        self.side.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        self.shares, self.first = (self.inside(t) for t in tables)
+
+    def inside(self, table: DataFrame) -> DataFrame:
+        out = self.side.table(table.stored_as)
+        out.stored_as = table.stored_as
+        return out
+
+    def next(self, ranks: DataFrame) -> tuple[DataFrame, Observation]:
+        """The ranks after a round, and how much they moved in all, which is summed as they are made."""
+        parts = lambda df: df.select("dst", (F.col("rank") * F.col("share")).alias("flow"), F.when(F.col("share").isNull(), F.col("rank")).alias("was"))
+        flow = parts(self.shares.join(ranks.withColumnRenamed("id", "src"), "src"))
+        if self.has_hubs:
+            hubs, edges = (self.side.read.schema(t.schema).parquet(t.stored_at) for t in (self.hubs, self.hub_shares))
+            few = F.broadcast(ranks.withColumnRenamed("id", "src").join(F.broadcast(hubs), "src", "left_semi"))
+            flow = flow.union(parts(edges.join(few, "src")))
+        into = flow.groupBy(F.col("dst").alias("id")).agg(F.sum("flow").alias("flow"), F.max("was").alias("was"))
+        new = (F.lit((1 - self.damping) / max(self.count, 1)) + F.lit(self.damping) * F.coalesce("flow", F.lit(0.0))).alias("rank")
+        moved = Observation()
+        return into.select("id", new, "was").observe(moved, F.sum(F.abs(F.col("rank") - F.col("was"))).alias("moved"), F.sum("rank").alias("all")).drop("was"), moved
+
+    def drop(self, ranks: DataFrame) -> None:
+        drop_bucketed(ranks, self.shares)
+        drop_cut(self.hubs, self.hub_shares)
+
+
+def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-9, at_once: int = AT_ONCE) -> DataFrame:
     """``(id, rank)`` by weights ``sqrt(n)`` of ``edges (src, dst, n)``.
 
-    Self-edges and edges with unknown ends are dropped, dangling mass is spread
-    evenly, and it ends when the ranks change by less than ``tolerance`` in all.
-    A graph of at most ``in_memory`` edges and nodes, which is counted first, is
-    ranked in the driver's memory; a larger one by joins, where the change is
-    looked at after ``every`` rounds. Ids are numbers.
+    Self-edges and edges with unknown ends are dropped, ``n`` of repeated pairs
+    is added up, dangling mass is spread evenly. A job takes ``at_once`` rounds
+    and measures each; it ends after the job in which a round moved ranks by
+    less than ``tolerance`` in all, or after ``rounds``. Ids are numbers.
     """
-    ids, held = cut(nodes.select(F.col("id").cast("long").alias("id")).distinct()), cut(edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), "n"))
-    n = ids.count()
-    if not n:
-        return ids.withColumn("rank", F.lit(0.0))
-    if n + held.count() <= in_memory:
-        got = held.toArrow()
-        found, rank = _ranks_in_memory(ids.toArrow().column("id").to_numpy(), *(got.column(c).to_numpy() for c in ("src", "dst", "n")), damping, rounds, tolerance)
-        return cut(nodes.sparkSession.createDataFrame(pa.table({"id": found, "rank": rank})))
-    known = held.filter("src <> dst").join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").withColumn("w", F.sqrt("n"))
-    share = cut(known.join(known.groupBy("src").agg(F.sum("w").alias("out")), "src").select("src", "dst", (F.col("w") / F.col("out")).alias("share")).repartition("src"))
-    sources = cut(share.select(F.col("src").alias("id")).distinct())
-    ranks = ids.withColumn("rank", F.lit(1.0 / n))
-    for k in range(rounds):
-        dangling = ranks.join(sources, "id", "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("d"))
-        inflow = share.join(ranks, F.col("src") == F.col("id")).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("flow"))
-        new = ids.join(inflow, F.col("id") == F.col("dst"), "left").crossJoin(F.broadcast(dangling)).select("id", (F.lit((1 - damping) / n) + damping / n * F.col("d") + damping * F.coalesce("flow", F.lit(0.0))).alias("rank"))
-        new = cut(new)
-        if (k + 1) % every == 0 and tolerance > 0 and k + 1 < rounds:
-            moved = new.join(ranks.withColumnRenamed("rank", "was"), "id").agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0]
-            if moved < tolerance:
-                return new
-        ranks = new
-    return ranks
+    work = Ranking(nodes, edges, damping)
+    ranks, left = work.first, rounds if work.count else 0
+    while left > 0:
+        new, seen = ranks, []
+        for _ in range(1 if work.has_hubs else min(at_once, left)):  # hubs' ranks are read apart, so each round is written
+            new, moved = work.next(new)
+            seen.append(moved)
+        written = bucketed(new, "id")
+        drop_bucketed(ranks)
+        ranks, left = written, left - len(seen)
+        if any(o.get["moved"] < tolerance * o.get["all"] for o in seen):
+            break
+    out = cut(nodes.sparkSession.table(ranks.stored_as))
+    work.drop(ranks)
+    total = out.agg(F.sum("rank")).first()[0] or 1.0
+    return out.select("id", (F.col("rank") / F.lit(total)).alias("rank"))
 
 
 def blast_radius(targets: DataFrame, calls: DataFrame, depth: int | None = 3, most: int | None = 500, overridden: DataFrame | None = None, order: tuple[Column | str, ...] = ("id",)) -> tuple[DataFrame, bool]:
@@ -130,27 +175,27 @@ def blast_radius(targets: DataFrame, calls: DataFrame, depth: int | None = 3, mo
     base declaration may reach the method. Callers appear once, at the first
     level; the level that exceeds ``most`` (none: no cap) is cut in ``order``.
     """
-    calls = cut(calls.select("src", "dst").distinct().repartition("dst"))
+    calls = bucketed(calls.select("src", "dst").repartition("dst").distinct(), "dst")
     overridden = None if overridden is None else cut(overridden.select("id", "base").distinct())
-    seen = frontier = cut(targets.select("id").distinct().withColumn("level", F.lit(0)))
-    found, left = None, most
+    frontier = cut(targets.select("id").distinct().withColumn("level", F.lit(0)))
+    seen, left, last = Seen(frontier), most, None
     for level in _levels(depth):
         wide = frontier.select("id")
         if overridden is not None:
             wide = wide.union(overridden.join(wide, "id").select(F.col("base").alias("id"))).distinct()
-        callers = calls.join(wide.withColumnRenamed("id", "dst"), "dst", "left_semi").select(F.col("src").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("level", F.lit(level))
-        callers = cut(callers)
-        n = callers.count()
+        callers = cut(calls.join(wide.withColumnRenamed("id", "dst"), "dst", "left_semi").select(F.col("src").alias("id")).distinct().join(seen.all(), "id", "left_anti").withColumn("level", F.lit(level)))
+        n = callers.count() if left is not None else int(not callers.isEmpty())
         if left is not None and n > left:
-            part = callers.orderBy(*order).limit(left)
-            return (part if found is None else found.union(part)), True
+            last = callers.orderBy(*order).limit(left)
+            break
         if not n:
+            drop_cut(callers)
             break
-        found = callers if found is None else found.union(callers)
         left = None if left is None else left - n
-        seen, frontier = seen.union(callers), callers
-    empty = seen.filter("level > 0")
-    return (empty if found is None else found), False
+        frontier = seen.add(callers).filter(F.col("level") == level)
+    drop_bucketed(calls)
+    found = seen.all().filter("level > 0")
+    return (found if last is None else found.unionByName(last)), last is not None
 
 
 def descendants(symbols: DataFrame, roots: DataFrame, depth: int | None = None) -> DataFrame:

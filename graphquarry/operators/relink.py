@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .linker import link, resolve_imports
-from .relate import replace_rows
-from .state import cut
+from .state import cut, cut_all, if_small
 from .visibility import files_seeing
 
 
@@ -50,37 +49,74 @@ def _seeing(paths: DataFrame, symbols: DataFrame, imports: DataFrame, files: Dat
     return files_seeing(paths.select(F.col("path").alias("id")), again, hit.select("file", "target"), spaces, used, files.select(F.col("path").alias("id"), F.lit("").alias("project"))).select(F.col("id").alias("path"))
 
 
-def relink(old: dict[str, DataFrame], new: dict[str, DataFrame], changed: DataFrame, gone: DataFrame, layout=None) -> dict[str, DataFrame]:
-    """The tables after a change: ``old`` without the files ``changed`` and ``gone`` (``path``), with the rows of ``new``, linked anew where needed.
+#: What names an import beside its file.
+IMPORT_KEY = ("line", "kind", "spec", "name", "alias")
+#: What resolving adds to an import.
+RESOLVED = ("target_module", "local", "target_path")
+
+
+def with_target_path(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """Resolved ``imports`` with ``target_path``: the file of the module that each means, null if the tree has none."""
+    at = files.groupBy(F.col("module").alias("target_module")).agg(F.min("path").alias("target_path"))
+    return imports.drop("target_path").join(at, "target_module", "left")
 
-    Tables: ``files (path, module)``, ``symbols``, ``imports`` as parsed,
-    ``uses`` (``old``: linked, with ``to_id``). Equal to linking everything:
-    linked again are uses in changed files, in files whose imports now mean
-    something else or whose import went, those that pointed into changed files,
-    and unlinked ones with a declared name where the declaration is seen. Links
-    through inheritance follow the types above them, so a changed inheritance
-    links all uses of its language anew.
+
+def relinked_rows(old: dict[str, DataFrame], new: dict[str, DataFrame], changed: DataFrame, gone: DataFrame, layout=None) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """What a change replaces: for each table its new rows and the files ``(path)`` of which they are all rows.
+
+    ``old`` has ``imports`` resolved (with :data:`RESOLVED`) and ``uses`` linked;
+    ``new`` has the rows of the files ``changed`` as parsed. Beside those files,
+    imports are resolved again that point into changed or gone files or to none;
+    a file is linked anew if one of its imports now means something else, and a
+    use if it pointed into such a file, or was open and may mean a declared name
+    that it sees. Links through inheritance follow the types above them, so a
+    changed inheritance links all uses anew.
     """
     paths = cut(changed.select("path").union(gone.select("path")).distinct())
-    tables = {n: cut(replace_rows(old[n].drop("to_id"), new[n].drop("to_id"), paths, "path")) for n in ("files", "symbols", "imports", "uses")}
-    before = cut(resolve_imports(old["imports"], old["symbols"], old["files"], layout))
-    after = cut(resolve_imports(tables["imports"], tables["symbols"], tables["files"], layout))
-    present = lambda im, f: im.join(f.select(F.col("module").alias("target_module"), F.lit(True).alias("__there")).distinct(), "target_module", "left")
-    key = ["path", "line", "kind", "spec", F.coalesce("name", F.lit("")), F.coalesce("alias", F.lit(""))]
-    named = lambda im, f: present(im, f).select("path", F.xxhash64(*key).alias("__key"), "target_module", "__there").distinct()
-    meant = changed_meaning(named(before, old["files"]), named(after, tables["files"]), ["path", "__key"], ["target_module", "__there"])
-    importers = before.join(old["files"].join(gone, "path", "left_semi").select(F.col("module").alias("target_module")), "target_module", "left_semi").select("path")
-    into = old["symbols"].join(paths, "path", "left_semi").select("id")
-    names = old["symbols"].join(paths, "path", "left_semi").select("name").union(new["symbols"].select("name"))
-    seeing = _seeing(paths, tables["symbols"], after, tables["files"])
-    kept = old["uses"].join(paths, "path", "left_anti")
+    without = lambda df: df.join(if_small(paths), "path", "left_anti")
+    still = without(old["imports"]).withColumn("target_space", F.lit(None).cast("string"))
+    files, symbols, again, before = cut_all(
+        without(old["files"]).unionByName(new["files"]), without(old["symbols"]).unionByName(new["symbols"]), imports_to_resolve(still, paths).drop("target_space"),
+        old["symbols"].join(if_small(paths), "path", "left_semi").select("id", "name"),
+    )
+    todo = again.drop(*RESOLVED).unionByName(new["imports"].drop(*RESOLVED))
+    resolved = cut(with_target_path(resolve_imports(todo, symbols, files, layout), files))
+    key = F.xxhash64("path", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in IMPORT_KEY)).alias("key")
+    meaning = lambda df: df.select("path", key, "target_module", "target_path").distinct()
+    meant = cut(changed_meaning(meaning(again), meaning(without(resolved)), ["path", "key"], ["target_module", "target_path"]))
+    settled = still.filter("target_path is not null").join(if_small(paths.select(F.col("path").alias("target_path"))), "target_path", "left_anti").drop("target_space")
+    imports = settled.unionByName(resolved)
+
+    names = before.select("name").union(new["symbols"].select("name")).distinct()
+    seeing = _seeing(paths, symbols, imports, files)
+    kept = without(old["uses"])
     heirs = "type in ('extends', 'implements')"
-    some = cut(uses_to_resolve(kept, meant.union(importers), into, seeing, names))
-    moved = some.filter(heirs).isEmpty() and new["uses"].filter(heirs).isEmpty() and old["uses"].filter(heirs).join(paths, "path", "left_semi").isEmpty()
-    if not moved:
+    some = cut(uses_to_resolve(kept, meant, before.select("id"), seeing, names))
+    moved = some.select("type").union(new["uses"].select("type")).union(old["uses"].join(if_small(paths), "path", "left_semi").select("type")).filter(heirs)
+    if not moved.isEmpty():
         some = kept
     todo = cut(some.drop("to_id").unionByName(new["uses"].drop("to_id")))
-    rest = kept.join(some.select("id"), "id", "left_anti")
-    known = rest.filter(heirs).filter("to_id is not null").select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"))
-    linked = link(tables["symbols"], after, todo, layout, known, tables["files"].select("path", "module"))
-    return {**{n: tables[n] for n in ("files", "symbols", "imports")}, "uses": cut(rest.unionByName(linked.select(*rest.columns)))}
+    known = kept.filter(heirs).filter("to_id is not null").join(some.select("id"), "id", "left_anti").select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"))
+    linked = cut(link(symbols, imports, todo, layout, known, files.select("path", "module")))
+    where = cut(linked.select("path").union(paths).distinct())
+    rest = kept.join(if_small(where), "path", "left_semi").join(linked.select("id"), "id", "left_anti")
+    turned = meant.union(paths).distinct()
+    return {
+        "files": (new["files"], paths), "symbols": (new["symbols"], paths),
+        "imports": (imports.join(if_small(turned), "path", "left_semi"), turned),
+        "uses": (rest.unionByName(linked.select(*rest.columns)), where),
+    }
+
+
+def relink(old: dict[str, DataFrame], new: dict[str, DataFrame], changed: DataFrame, gone: DataFrame, layout=None) -> dict[str, DataFrame]:
+    """The tables after a change: ``old`` without the files ``changed`` and ``gone`` (``path``), with the rows of ``new``, linked anew where needed.
+
+    Tables: ``files (path, module)``, ``symbols``, ``imports`` as parsed or
+    resolved, ``uses`` (``old``: linked, with ``to_id``). Equal to linking
+    everything, see :func:`relinked_rows`.
+    """
+    if "target_path" not in old["imports"].columns:
+        resolved = resolve_imports(old["imports"].drop(*RESOLVED), old["symbols"], old["files"], layout)
+        old = old | {"imports": cut(with_target_path(resolved, old["files"]))}
+    out = relinked_rows(old, new, changed, gone, layout)
+    return {n: cut(old[n].join(if_small(paths), "path", "left_anti").unionByName(rows.select(*old[n].columns))) for n, (rows, paths) in out.items()}

@@ -6,10 +6,16 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 #: Bytes of a table, by Catalyst's estimate, up to which it is broadcast.
 SMALL = 10 << 20
 
@@ -58,12 +64,43 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def at_once(*jobs: Callable[[], T]) -> list[T]:
+    """Run some jobs of their own side by side: small ones take turns on the cluster's cores, not on the clock."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        return [f.result() for f in [pool.submit(job) for job in jobs]]
+
+
+def cut_all(*tables: DataFrame) -> list[DataFrame]:
+    return at_once(*(partial(cut, t) for t in tables))
+
+
+def stored(*tables: DataFrame) -> list[DataFrame]:
+    """Each table itself if :func:`cut` wrote it, else cut."""
+    return at_once(*((lambda t=t: t if hasattr(t, "stored_at") else cut(t)) for t in tables))
+
+
 def drop_cut(*tables: DataFrame) -> None:
     """Delete what :func:`cut` wrote; nothing may read it afterwards."""
     for df in tables:
         delete_path(df.sparkSession, df.stored_at)
 
 
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """``df`` as a table in buckets of ``key``, as many as the session has shuffle partitions: joins and sums by ``key`` leave it where it lies."""
+    spark = df.sparkSession
+    name = f"graphquarry_{uuid.uuid4().hex}"
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).sortBy(key).option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+    out = spark.table(name)
+    out.stored_as = name
+    return out
+
+
+def drop_bucketed(*tables: DataFrame) -> None:
+    for df in tables:
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS {df.stored_as}")
+        delete_path(df.sparkSession, f"{shared_folder(df.sparkSession)}/{df.stored_as}")
+
+
 class Seen:
     """What a search has found so far, in few tables however many levels it takes.
 
@@ -75,7 +112,8 @@ class Seen:
     def __init__(self, first: DataFrame):
         self.tables: list[tuple[int, DataFrame]] = [(0, first)]
 
-    def add(self, level: DataFrame) -> None:
+    def add(self, level: DataFrame) -> DataFrame:
+        """Take in a level; returns the table that holds it from now on."""
         age = 0
         while self.tables and self.tables[-1][0] == age and len(self.tables) > 1:
             _, older = self.tables.pop()
@@ -83,6 +121,7 @@ class Seen:
             drop_cut(*done)
             age += 1
         self.tables.append((age, level))
+        return level
 
     def all(self) -> DataFrame:
         out = self.tables[0][1]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
-from ..operators import analytics, graph, relate, search
+from ..operators import analytics, graph, postings, relate, search
 from . import bindings as b
 from ..operators.state import cut, if_small
 from .bindings import CUSTOMER, NATION, NATION_USES_SQL, NODES_SQL, PART, RANKS_SQL, SUPPLIER, TRADE_SQL, USES_SQL, read
@@ -404,15 +404,27 @@ def a15_context_totals(spark, d):
 # -- search and text
 
 
-@query("""WITH t AS (SELECT p_partkey AS id, p_name AS name, p_brand || '.' || p_name AS qualified_name FROM part),
+_SEARCH = """WITH t AS (SELECT p_partkey AS id, p_name AS name, p_brand || '.' || p_name AS qualified_name FROM part),
 w AS (SELECT id, 10.0 AS w, unnest(list_filter(regexp_split_to_array(lower(name), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS term FROM t UNION ALL SELECT id, 2.0, unnest(list_filter(regexp_split_to_array(lower(qualified_name), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) FROM t),
 p AS (SELECT id, term, sum(w) AS tf, count(*) AS n FROM w GROUP BY ALL), l AS (SELECT id, sum(n) AS len FROM p GROUP BY id), m AS (SELECT count(*) AS n, avg(len) AS mean FROM l),
 h AS (SELECT id, sum(tf) AS tf FROM p WHERE starts_with(term, 'wid') GROUP BY id), df AS (SELECT count(*) AS df FROM h),
 s AS (SELECT h.id, greatest(ln((m.n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean)) AS score FROM h JOIN l USING (id), m, df)
-SELECT id, name, qualified_name, round(score, 6) AS score FROM s JOIN t USING (id) ORDER BY (lower(name) = 'wid') DESC, starts_with(lower(name), 'wid') DESC, round(score, 6) DESC, length(qualified_name), id LIMIT 20""")
+SELECT id, name, qualified_name, round(score, 6) AS score FROM s JOIN t USING (id) ORDER BY (lower(name) = 'wid') DESC, starts_with(lower(name), 'wid') DESC, round(score, 6) DESC, length(qualified_name), id LIMIT 20"""
+
+
+def _parts(spark, d):
+    return read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.concat("p_brand", F.lit("."), "p_name").alias("qualified_name"))
+
+
+@query(_SEARCH)
 def s1_ranked_prefix_search(spark, d):
-    parts = read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.concat("p_brand", F.lit("."), "p_name").alias("qualified_name"))
-    return search.ranked_prefix_search(parts, "wid").select("id", "name", "qualified_name", F.round("score", 6).alias("score"))
+    return search.ranked_prefix_search(_parts(spark, d), "wid").select("id", "name", "qualified_name", F.round("score", 6).alias("score"))
+
+
+@query(_SEARCH)
+def s1_stored_index(spark, d):
+    kept = postings.Postings.build(_parts(spark, d), {"name": 10.0, "qualified_name": 2.0}, shards=8)
+    return kept.search("wid").select("id", "name", "qualified_name", F.round("score", 6).alias("score"))
 
 
 @query("SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[^A-Za-z0-9_$]+'), lambda x: length(x) >= 2 AND (regexp_matches(x, '[a-z][A-Z]|[_$0-9]') OR CASE WHEN regexp_matches(x, '^[A-Z][a-z]+$') THEN length(x) >= 4 AND lower(x) NOT IN (" + ", ".join(f"'{w}'" for w in sorted(text.STOP_WORDS)).replace("method's", "method''s").replace("class's", "class''s").replace("code's", "code''s") + ") ELSE NOT regexp_matches(x, '^[A-Z]{2,}$') AND contains(text, x || '(') AND regexp_matches(text, '(^|[^\\w$])' || replace(x, '$', '\\$') || '\\(') END))) AS code_words FROM documents")

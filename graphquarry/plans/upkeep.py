@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
 from ..operators import analytics, answers, receivers, relate, relink
-from ..sources import benchmarks, graphdb, store
+from ..operators.state import shared_folder
+from ..sources import benchmarks, graphdb, merge, store
 from . import bindings as b
 from .bindings import read
 from .registry import BASE, FULL, query
@@ -32,6 +35,18 @@ def x8_stale_files(spark, d):
     return store.stale(files.select("path", "hash"), now)
 
 
+@query(f"WITH {_FILES} SELECT path, hash, CAST(CASE WHEN starts_with(path, 'src3/') THEN 3 WHEN lang = 'de' THEN 1 ELSE 0 END AS BIGINT) AS batch FROM files WHERE NOT starts_with(path, 'src3/') AND lang <> 'fr' OR starts_with(path, 'src3/') AND doc_id % 2 = 0")
+def x4_merge_on_read(spark, d):
+    """A table of files through four batches: all; German ones anew and French ones gone; a folder gone, which is compacted; half of the folder again."""
+    files = _files(spark, d)
+    kept = merge.MergeStore(spark, f"{shared_folder(spark)}/merge-{uuid.uuid4().hex}", {"files": "path string, hash string, batch long"}, buckets=16, most_deltas=2)
+    batches = [(files, files), (files.filter("lang = 'de'"), files.filter("lang in ('de', 'fr')")), (files.filter("false"), files.filter("false"))]
+    batches.append((files.filter("startswith(path, 'src3/') and doc_id % 2 = 0"), files.filter("startswith(path, 'src3/') and doc_id % 2 = 0")))
+    for k, (rows, paths) in enumerate(batches):
+        kept.commit(k, {"files": (rows.select("path", "hash", F.lit(k).cast("long").alias("batch")), paths.select("path"))}, ["src3/"] if k == 2 else [])
+    return kept.read("files")
+
+
 _IMPORTS = "imports AS (SELECT DISTINCT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id, CAST(l_suppkey AS VARCHAR) AS path, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE CAST(l_partkey % 200 AS VARCHAR) END AS target_path, CASE WHEN l_linenumber = 3 THEN 'space' END AS target_space FROM lineitem)"
 
 

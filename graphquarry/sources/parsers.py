@@ -9,6 +9,7 @@ Further languages can be registered in :data:`PARSERS`.
 
 from __future__ import annotations
 
+import bisect
 import ast
 import json
 import re
@@ -217,13 +218,17 @@ def parse_braces(path: str, source: str, module: str, language: str) -> Parsed:
     line_at = [0, *(m.end() for m in re.finditer("\n", plain))]
 
     def line(at: int) -> int:
-        import bisect
-
         return bisect.bisect_right(line_at, at)
 
+    docs = [(m.end(), m[1] or m[2]) for m in re.finditer(r"/\*\*(.*?)\*/|((?:^[ \t]*///[^\n]*\n)+)", source, re.S | re.M)]
+    ends = [end for end, _ in docs]
+
     def doc_before(at: int) -> str | None:
-        m = re.search(r"/\*\*(.*?)\*/\s*(?:@\w+(?:\([^)]*\))?\s*|export\s+|default\s+)*$|((?:^[ \t]*///[^\n]*\n)+)\s*$", source[:at], re.S | re.M)
-        return re.sub(r"^[ \t]*(\*|///) ?|<[^>]+>", "", m[1] or m[2], flags=re.M).strip() if m else None
+        """The comment that ends right before a declaration; only annotations may stand between."""
+        k = bisect.bisect_right(ends, at) - 1
+        if k < 0 or not re.fullmatch(r"\s*(?:@\w+(?:\([^)]*\))?\s*|export\s+|default\s+)*", source[ends[k]:at]):
+            return None
+        return re.sub(r"^[ \t]*(\*|///) ?|<[^>]+>", "", docs[k][1], flags=re.M).strip()
 
     prefix, dot = (module + ":", ".") if language in ("typescript", "tsx") else ("", ".")
     if language == "java" and (m := re.search(r"^\s*package\s+([\w.]+)\s*;", plain, re.M)):

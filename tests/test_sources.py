@@ -115,3 +115,37 @@ def test_segments_and_type_names():
     assert [base_type_name(t) for t in ("Part<K, Map<A, B>>", "Store?", "com.acme.Util", "int", "T[]", "T...", "", None, "@A(x=1)T")] == ["Part", "Store", "com.acme.Util", None, None, None, None, None, "T"]
     for text, want in (("x = f(a, g(b)) . put(", "f(a,g(b))"), ("return put(", None), ("new Foo(1).bar(", "new Foo(1)"), ("a?.b(", "a"), ("  .of(", None)):
         assert qualifier_before(text, text.rindex(text.rstrip("(").split(".")[-1].strip() if "." in text else "put")) == want
+
+
+def test_lexical_scopes(spark):
+    """The innermost declaration of a name is meant; a type's members aren't seen from its methods."""
+    got = linked(spark, {
+        "oven.py": "def heat():\n    return 1\n\ndef bake():\n    def heat():\n        return 2\n\n    def stir():\n        def deep():\n            return heat()\n        return deep()\n    return heat() + stir()\n\ndef cool():\n    return heat()\n\nclass Oven:\n    def door(self):\n        return 1\n\n    def open(self):\n        return door()\n\ndef door():\n    return 3\n",
+    })
+    assert got >= {"oven.bake -calls-> oven.bake.heat", "oven.bake -calls-> oven.bake.stir", "oven.bake.stir -calls-> oven.bake.stir.deep", "oven.bake.stir.deep -calls-> oven.bake.heat", "oven.cool -calls-> oven.heat", "oven.Oven.open -calls-> oven.door"}
+    assert "oven.bake -calls-> oven.heat" not in got and "oven.Oven.open -calls-> oven.Oven.door" not in got
+
+
+def test_export_precedence(spark):
+    """Own names before named re-exports before stars; of stars the first; rings end."""
+    make = lambda rows, schema: spark.createDataFrame(rows, schema)
+    symbols = make([(k, m, n, f"{m}:{n}", None, "function") for k, (m, n) in enumerate([("a", "x"), ("b", "x"), ("c", "x"), ("b", "y"), ("c", "y"), ("a", "z"), ("b", "z")])], "id long, module string, name string, qualified_name string, parent_id long, kind string")
+    again = [("own", "a", "*", None), ("own", "b", "*", None), ("star", "b", "*", None), ("star", "c", "*", None), ("named", "b", "*", None), ("named", "far", "x", None), ("named", "c", "y", "x2"), ("far", "c", "*", None), ("ring1", "ring2", "*", None), ("ring2", "ring1", "*", None), ("ring2", "a", "z", None), ("odd1", "odd2", "*", None), ("odd1", "b", "*", None), ("odd2", "odd1", "*", None), ("odd2", "c", "*", None)]
+    imports = make([(m, t, n, a, k, "reexport", "typescript") for k, (m, t, n, a) in enumerate(again)], "module string, target_module string, name string, alias string, line int, kind string, language string")
+    symbols = symbols.union(make([(9, "own", "x", "own:x", None, "function")], symbols.schema))
+    got = {(r["module"], r["exported"]): r["qualified_name"] for r in linker.exports(symbols, imports).collect()}
+    assert got["own", "x"] == "own:x" and got["own", "z"] == "a:z" and got["own", "y"] == "b:y" and got["star", "x"] == "b:x"
+    assert got["named", "x"] == "c:x" and got["named", "x2"] == "c:y" and got["named", "y"] == "b:y" and got["ring1", "z"] == got["ring2", "z"] == "a:z"
+    assert {got["odd1", "x"], got["odd2", "x"]} <= {"b:x", "c:x"} and ("ring1", "x") not in got
+
+
+def test_doc_comments(spark):
+    """A declaration has the comment right before it, or none."""
+    rows = spark.createDataFrame([
+        ("Kiln.java", "package pots;\n/** Fires clay. */\npublic class Kiln {\n  /** Degrees now. */\n  @Deprecated\n  public int heat() { return 1; }\n  public int rest() { return 2; }\n}\nclass Shelf {\n  int load() { return 3; }\n}\n"),
+        ("glaze.ts", "/** Mixes it. */\nexport class Glaze {\n  /** Stirs. */\n  stir() { return 1; }\n  pour() { return 2; }\n}\nexport class Brush {\n  dip() { return 3; }\n}\n"),
+        ("Clay.cs", "namespace Pots;\n/// <summary>Soft.</summary>\npublic class Clay {\n  public void Knead() { }\n}\npublic class Slip { }\n"),
+    ], "path string, content string")
+    docs = {r["name"]: r["doc"] for r in parse_files(workspace.describe(rows))[0].collect()}
+    want = {"Kiln": "Fires clay.", "heat": "Degrees now.", "Glaze": "Mixes it.", "stir": "Stirs.", "Clay": "Soft."}
+    assert {n: d for n, d in docs.items() if d} == want and {"rest", "Shelf", "load", "pour", "Brush", "dip", "Knead", "Slip"} <= docs.keys()

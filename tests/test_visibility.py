@@ -44,3 +44,47 @@ def test_pagerank_toy(spark):
     assert sorted(out, key=out.get)[-2:] == [5, 6] or sorted(out, key=out.get)[-2:] == [6, 5]
     assert abs(sum(out.values()) - 1) < 1e-6
     assert graph.pagerank(nodes.limit(0), edges).count() == 0
+
+
+def brute_ranks(nodes, edges, damping=0.85, rounds=400):
+    out = {}
+    for a, b, n in edges:
+        if a != b and a in nodes and b in nodes:
+            out.setdefault(a, []).append((b, n ** 0.5))
+    rank = dict.fromkeys(nodes, 1 / len(nodes))
+    for _ in range(rounds):
+        lost = sum(r for k, r in rank.items() if k not in out)
+        new = dict.fromkeys(nodes, (1 - damping) / len(nodes) + damping * lost / len(nodes))
+        for a, some in out.items():
+            for b, w in some:
+                new[b] += damping * rank[a] * w / sum(x for _, x in some)
+        rank = new
+    return rank
+
+
+def test_pagerank_with_hubs_against_brute_force(spark):
+    """Node 0 has a third of the edges, so its edges lie apart; some nodes have none, some edges lead out of the graph."""
+    import random
+
+    rng = random.Random(2)
+    nodes = list(range(40))
+    pairs = {(0, b) for b in range(1, 38)} | {(rng.randint(1, 30), rng.randint(0, 42)) for _ in range(90)}
+    edges = [(a, b, rng.randint(1, 9)) for a, b in sorted(pairs)]
+    frame = spark.createDataFrame(edges, "src long, dst long, n long")
+    want = brute_ranks(set(nodes), edges)
+    for some in (frame, frame.filter("src > 0")):
+        if some is not frame:
+            want = brute_ranks(set(nodes), [e for e in edges if e[0]])
+        got = {r["id"]: r["rank"] for r in graph.pagerank(spark.createDataFrame([(k,) for k in nodes], "id long"), some, at_once=4).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-8 for k in want)
+
+
+def test_long_chain(spark):
+    """Sixty levels: found in order, in few tables."""
+    import time
+
+    chain = spark.range(60).select("id", (graph.F.col("id") + 1).alias("dst")).toDF("src", "dst")
+    began = time.time()
+    found = graph.bfs(spark.createDataFrame([(0,)], "id long"), chain)
+    assert sorted((r["id"], r["level"]) for r in found.collect()) == [(k, k) for k in range(61)]
+    assert len(found.inputFiles()) < 60 and time.time() - began < 120
