@@ -87,6 +87,11 @@ class Index:
         seeing = cut(answers.seeing_files(self.symbols, self.imports, self.modules(), found.select("path")))
         return answers.references(self.symbols, self.uses, self.files.select("path", "content"), found, seeing, self.inherits(), min(max(depth, 1), 5))
 
+    def source_with_callees(self, query: str, max_lines: int = answers.LINES) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """The source of a symbol, the signatures of what it and all inside it call, and the names of calls that aren't linked."""
+        called, external = self.callees(query)
+        return self.symbol_source(query, max_lines), called.select("id", "qualified_name", "path", "start_line", "signature", text.first_sentence(F.col("doc")).alias("summary")), external
+
     def callees(self, query: str) -> tuple[DataFrame, DataFrame]:
         """What a symbol and all inside it call outside itself, and the names of calls that aren't linked."""
         return answers.callees(self.symbols, self.uses, search.lookup(self.symbols, query).select("id"))
@@ -112,6 +117,10 @@ class Index:
         frame = lambda some: spark.createDataFrame([(x,) for x in some], "id long")
         return pack.context(self.symbols, frame(ids), self.edges(), self.ranks(), max(budget, 500) - 150, min(max(depth, 0), 3), frame(related), "test" in task.lower())
 
+    def context_text(self, entries: DataFrame) -> DataFrame:
+        """The entries of :meth:`get_context` with their headers, docs and code."""
+        return pack.with_text(entries, self.symbols, self.files)
+
     def stale(self, now: DataFrame) -> DataFrame:
         """``(path, stale)`` against the files as they are now (``path, hash``)."""
         return store.stale(self.files, now)

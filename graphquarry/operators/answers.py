@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths, text
 from . import graph, search, visibility
+from .relate import first_of_each
 from .state import cut
 
 #: Kinds that are types, and the limits of answers.
@@ -55,8 +56,7 @@ def best_of_name(symbols: DataFrame, ranks: DataFrame, per: str, most: int) -> D
     """The ``most`` best rows of each ``per``: types first, then by rank, then by id."""
     ranked = symbols.join(ranks.select("id", "rank"), "id", "left")
     order = [F.col("kind").isin(*TYPE_KINDS).desc(), F.coalesce("rank", F.lit(0.0)).desc(), "id"]
-    top = lambda df, *by: df.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("place") <= most)
-    return top(top(ranked.withColumn("__salt", F.pmod(F.hash("id"), F.lit(64))), per, "__salt").drop("place", "__salt"), per)
+    return first_of_each(ranked, per, order, most)
 
 
 def seeds_from_task(symbols: DataFrame, ranks: DataFrame, task: str, limit: int = SEEDS) -> tuple[list[int], list[int]]:
@@ -86,7 +86,7 @@ def seeds_from_task(symbols: DataFrame, ranks: DataFrame, task: str, limit: int
     if words:
         some = symbols.filter(~F.col("kind").isin("namespace", "module"))
         hits = search.best_by_prefix(symbols, some, words, WORD_HITS + len(named)).filter(~F.col("id").isin(named) if named else F.lit(True))
-        five = hits.withColumn("hit", F.row_number().over(Window.partitionBy("q").orderBy("place"))).filter(F.col("hit") <= WORD_HITS).drop("place")
+        five = first_of_each(hits, "q", ["place"], WORD_HITS, "hit").drop("place")
         leading = five.filter("hit = 1").filter(F.lower("name").startswith(F.col("q"))).select("q")
         rows = best_of_name(five.join(leading, "q", "left_semi"), ranks, "q", 1).select("q", "id").collect()
         by_word = {r["q"]: r["id"] for r in rows}
@@ -205,12 +205,13 @@ def references(symbols: DataFrame, uses: DataFrame, contents: DataFrame, found:
 
 def blast_groups(callers: DataFrame, per_level: int = PER_LEVEL, tests: int = TESTS) -> tuple[DataFrame, DataFrame]:
     """Callers per level (``level, n, names`` of the first ones) and the tests among them per file (``path, n, names``)."""
-    w = lambda by: Window.partitionBy(by).orderBy("path", "start_line", "id")
-    some = callers.filter("not test").withColumn("k", F.row_number().over(w("level")))
-    names = lambda by, name, most: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("k") <= most, F.struct("k", F.col(name).alias("name"))))), lambda x: x["name"]), ", ").alias("names")
-    levels = some.groupBy("level").agg(F.count("*").alias("n"), names("level", "qualified_name", per_level)).orderBy("level")
-    in_tests = callers.filter("test").withColumn("k", F.row_number().over(w("path"))).groupBy("path").agg(F.count("*").alias("n"), names("path", "name", tests)).orderBy("path").limit(tests)
-    return levels, in_tests
+    order = ["path", "start_line", "id"]
+
+    def grouped(some: DataFrame, by: str, name: str, most: int) -> DataFrame:
+        first = first_of_each(some, by, order, most).groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", F.col(name).alias("name")))), lambda x: x["name"]), ", ").alias("names"))
+        return some.groupBy(by).agg(F.count("*").alias("n")).join(first, by).orderBy(by)
+
+    return grouped(callers.filter("not test"), "level", "qualified_name", per_level), grouped(callers.filter("test"), "path", "name", tests).limit(tests)
 
 
 def starter_examples(symbols: DataFrame, uses: DataFrame, files: DataFrame) -> DataFrame:

@@ -149,6 +149,27 @@ def context(symbols: DataFrame, seeds: DataFrame, edges: DataFrame, ranks: DataF
     return spark.createDataFrame([(r["id"], r["path"], r["start_line"], r["level"], r.get("hops"), r["seed"]) for r in packed], "id long, path string, start_line int, level int, hops int, seed boolean")
 
 
+def with_text(entries: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """``entries (id, level)`` of a context with their ``text``, in the order of files and lines; ``files (path, content)``.
+
+    A line tells the entry's lines and name (its signature at levels 2 and 3),
+    the next one its doc at level 3, and at level 4 its code follows, without
+    the indent that its lines share. All stand as deep as entries enclose them.
+    """
+    own = entries.select("id", "level").join(symbols.select("id", "parent_id", "path", "kind", "name", "signature", "doc", "start_line", "end_line"), "id")
+    shown = cut(own)
+    inside = shown.filter("parent_id is not null").select(F.col("id").alias("src"), F.col("parent_id").alias("dst")).join(shown.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst")
+    above = closure(inside).groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n"))
+    bodies = shown.filter("level = 4").join(files.select("path", "content"), "path", "left").select("id", F.when(F.col("content").isNull(), F.lit("(file no longer exists)")).otherwise(text.reindent(text.line_slice(F.col("content"), F.col("start_line"), F.col("end_line")))).alias("body"))
+    placed = shown.join(above, "id", "left").join(bodies, "id", "left")
+    indent = F.repeat(F.lit("  "), F.coalesce("n", F.lit(0)).cast("int") + 1)
+    header = text.entry_header(F.col("kind"), F.col("name"), F.col("signature"), F.col("start_line"), F.col("end_line"), F.col("level"))
+    under = F.when(F.col("level") == 3, text.entry_doc(F.col("doc"))).when(F.col("level") == 4, F.col("body"))
+    lines = F.concat(F.array(F.concat(indent, header)), F.transform(F.split(F.coalesce(under, F.lit("")), "\n"), lambda x: F.concat(indent, F.lit("  "), x)))
+    shown_lines = F.when(under.isNull(), F.slice(lines, 1, 1)).otherwise(lines)
+    return placed.select("id", "path", "start_line", "level", F.array_join(shown_lines, "\n").alias("text")).orderBy("path", "start_line", "id")
+
+
 def repo_map(symbols: DataFrame, ranks: DataFrame, tokens: int = 1000, folder: str = "") -> DataFrame:
     """Symbols by rank until the budget is spent, in order of choice.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,8 +18,19 @@ def unique_or_null(candidates: DataFrame, key: str, name: str = "qualified_name"
 
 def first_rule(candidates: DataFrame, key: str, rule: str = "rule", name: str = "qualified_name", target: str = "id") -> DataFrame:
     """Like :func:`unique_or_null`, with the candidates of each key's first rule that has any."""
-    best = candidates.withColumn("__r", F.min(rule).over(Window.partitionBy(key))).filter(F.col(rule) == F.col("__r"))
-    return unique_or_null(best, key, name, target)
+    each = candidates.groupBy(key, rule).agg(F.min(name).alias("a"), F.max(name).alias("b"), F.min(target).alias("t"))
+    first = each.groupBy(key).agg(F.min_by(F.struct("a", "b", "t"), rule).alias("x"))
+    return first.select(key, F.when(F.col("x.a") == F.col("x.b"), F.col("x.t")).alias(target))
+
+
+def first_of_each(df: DataFrame, by: str | list[str], order: list, most: int, place: str = "place") -> DataFrame:
+    """The first ``most`` rows of each group, with their ``place`` from 1.
+
+    The limit stands right above the ranks, so tasks drop what can't be among
+    the first before rows are shuffled: ``most`` rows of a group and task at most.
+    """
+    w = Window.partitionBy(*([by] if isinstance(by, str) else by)).orderBy(*order)
+    return df.withColumn(place, F.row_number().over(w)).filter(F.col(place) <= most)
 
 
 def top_declaration(candidates: DataFrame, ancestors: DataFrame, key: str, owner: str = "owner", target: str = "id") -> DataFrame:
@@ -34,8 +47,10 @@ def top_declaration(candidates: DataFrame, ancestors: DataFrame, key: str, owner
 
 def merge_parts(symbols: DataFrame, key: str | list[str] = "qualified_name", id: str = "id") -> DataFrame:
     """``symbols`` with ``merged_into``: the least id of rows that share the key, null for that row itself."""
-    w = Window.partitionBy(*([key] if isinstance(key, str) else key))
-    return symbols.withColumn("__c", F.min(id).over(w)).withColumn("merged_into", F.when(F.col(id) != F.col("__c"), F.col("__c"))).drop("__c")
+    keys = [key] if isinstance(key, str) else list(key)
+    least = symbols.groupBy(*(F.col(k).alias(f"__{k}") for k in keys)).agg(F.min(id).alias("__c"))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys))
+    return symbols.join(least, same, "left").withColumn("merged_into", F.when(F.col(id) != F.col("__c"), F.col("__c"))).drop("__c", *(f"__{k}" for k in keys))
 
 
 def canonical(df: DataFrame, column: str, merged: DataFrame) -> DataFrame:

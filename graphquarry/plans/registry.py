@@ -391,8 +391,7 @@ def a12_matches_per_file(spark, d):
 @query("SELECT event_type, string_agg(event_id, ',' ORDER BY event_id) AS examples, any_value(n) AS n FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events) WHERE k <= 5 GROUP BY event_type")
 def a13_capped_groups(spark, d):
     events = read(spark, d, "events").select("event_type", "event_id")
-    w = Window.partitionBy("event_type").orderBy("event_id")
-    top = events.withColumn("k", F.row_number().over(w)).filter("k <= 5").groupBy("event_type").agg(F.array_join(F.array_sort(F.collect_list("event_id")), ",").alias("examples"))
+    top = relate.first_of_each(events, "event_type", ["event_id"], 5).groupBy("event_type").agg(F.array_join(F.array_sort(F.collect_list("event_id")), ",").alias("examples"))
     return top.join(events.groupBy("event_type").agg(F.count("*").alias("n")), "event_type").select("event_type", "examples", "n")
 
 

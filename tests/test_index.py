@@ -46,6 +46,13 @@ def test_requests(spark, tmp_path):
     assert Index.open(spark, saved).uses.count() == index.uses.count()
     got = index.get_context(seeds=["shop.pricing.price"]).collect()
     assert [(names[r["id"]], r["level"]) for r in got if r["seed"]] == [("shop.pricing.price", 4)] and len(got) > 2
+    told = {names[r["id"]]: r["text"] for r in index.context_text(spark.createDataFrame([(by_name[n], k) for n, k in (("shop.cart.Cart", 1), ("shop.cart.Cart.pay", 4), ("shop.cart.Cart.total", 2), ("shop.pricing.price", 3))], "id long, level int")).collect()}
+    assert told == {
+        "shop.cart.Cart": "  4-9 class Cart", "shop.cart.Cart.pay": "    8-9 method pay\n      def pay(self):\n          return self.total()", "shop.cart.Cart.total": "    5-6 def total(self)",
+        "shop.pricing.price": "  1-3 def price(n)\n    // The price of n.",
+    }
+    source, called, external = index.source_with_callees("shop.pricing.price")
+    assert source.count() == 1 and [(r["qualified_name"], r["summary"]) for r in called.collect()] == [("shop.pricing.tax", None)] and external.count() == 0
 
 
 def plain_pack(rows, seeds, budget, above):

@@ -88,3 +88,13 @@ def test_long_chain(spark):
     found = graph.bfs(spark.createDataFrame([(0,)], "id long"), chain)
     assert sorted((r["id"], r["level"]) for r in found.collect()) == [(k, k) for k in range(61)]
     assert len(found.inputFiles()) < 60 and time.time() - began < 120
+
+
+def test_first_rows_are_kept_before_the_shuffle(spark):
+    from graphquarry.operators.relate import first_of_each
+
+    rows = spark.range(5000).selectExpr("id % 3 as g", "id")
+    found = first_of_each(rows, "g", ["id"], 2)
+    assert sorted(tuple(r) for r in found.collect()) == [(g, g + 3 * k, k + 1) for g in range(3) for k in range(2)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Final") < plan.index("Exchange") < plan.index("Partial")  # read from the top: limited on both sides of the exchange
