@@ -428,9 +428,7 @@ def s1_stored_index(spark, d):
 
 @query("SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[^A-Za-z0-9_$]+'), lambda x: length(x) >= 2 AND (regexp_matches(x, '[a-z][A-Z]|[_$0-9]') OR CASE WHEN regexp_matches(x, '^[A-Z][a-z]+$') THEN length(x) >= 4 AND lower(x) NOT IN (" + ", ".join(f"'{w}'" for w in sorted(text.STOP_WORDS)).replace("method's", "method''s").replace("class's", "class''s").replace("code's", "code''s") + ") ELSE NOT regexp_matches(x, '^[A-Z]{2,}$') AND contains(text, x || '(') AND regexp_matches(text, '(^|[^\\w$])' || replace(x, '$', '\\$') || '\\(') END))) AS code_words FROM documents")
 def s4_code_words(spark, d):
-    words = F.split("text", "[^A-Za-z0-9_$]+")
-    called = lambda w: F.col("text").contains(F.concat(w, F.lit("("))) & F.regexp_like("text", F.concat(F.lit(r"(^|[^\w$])"), F.replace(w, F.lit("$"), F.lit(r"\$")), F.lit(r"\(")))
-    return read(spark, d, "documents").select("doc_id", F.size(F.filter(words, lambda w: text.is_code(w, called(w)))).cast("long").alias("code_words"))
+    return read(spark, d, "documents").select("doc_id", text.code_words(F.col("text")).alias("code_words"))
 
 
 @query(f"{BASE} SELECT id, round(power(0.5, CASE kind WHEN 'namespace' THEN 0 WHEN 'class' THEN 1 ELSE 2 END) * (0.7 + 0.3 * length(name) / 20.0), 6) AS score FROM nodes WHERE kind <> 'field'")
