@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .state import Seen, bucketed, cut, drop_bucketed, drop_cut
+from .state import Seen, bucketed, cut, dealt, drop_bucketed, drop_cut, parts_for
 
 
 def _levels(depth: int | None):
@@ -22,7 +22,12 @@ def _levels(depth: int | None):
 
 def kept(edges: DataFrame, *more: str) -> DataFrame:
     """``edges`` written once, without repeats, in buckets of ``src``: searches read them in every level and don't move them."""
-    return bucketed(edges.select("src", "dst", *more).repartition("src").distinct(), "src")
+    return _kept(edges.select("src", "dst", *more), "src")
+
+
+def _kept(edges: DataFrame, key: str) -> DataFrame:
+    parts = parts_for(edges)
+    return bucketed(dealt(edges, key, parts=parts).distinct(), key, parts)
 
 
 def bfs(seeds: DataFrame, edges: DataFrame, depth: int | None = None) -> DataFrame:
@@ -175,7 +180,7 @@ def blast_radius(targets: DataFrame, calls: DataFrame, depth: int | None = 3, mo
     base declaration may reach the method. Callers appear once, at the first
     level; the level that exceeds ``most`` (none: no cap) is cut in ``order``.
     """
-    calls = bucketed(calls.select("src", "dst").repartition("dst").distinct(), "dst")
+    calls = _kept(calls.select("src", "dst"), "dst")
     overridden = None if overridden is None else cut(overridden.select("id", "base").distinct())
     frontier = cut(targets.select("id").distinct().withColumn("level", F.lit(0)))
     seen, left, last = Seen(frontier), most, None

@@ -26,6 +26,36 @@ def if_small(df: DataFrame, most: int = SMALL) -> DataFrame:
     return F.broadcast(df) if size <= most else df
 
 
+#: Bytes of the read tables for each partition of a large exchange: about a million rows of two or three numbers.
+PART_BYTES = 16 << 20
+
+
+def read_bytes(df: DataFrame) -> int:
+    """Bytes of the tables that ``df`` reads, each as often as it is read; those of unknown size count nothing.
+
+    Unlike Catalyst's estimate of a join, which is a product, it grows as the input does.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = (int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
+    return sum(n for n in sizes if n < 1 << 60)
+
+
+def parts_for(df: DataFrame) -> int | None:
+    """Partitions that a large exchange of ``df`` needs, so that a task's share stays the same whatever the input; none where one for each core is enough.
+
+    Adaptive execution joins partitions until there are about as many as cores,
+    so a hash table of small rows would grow with the input in each task.
+    """
+    spark = df.sparkSession
+    parts = -(-read_bytes(df) // PART_BYTES)
+    return max(parts, int(spark.conf.get("spark.sql.shuffle.partitions"))) if parts > spark.sparkContext.defaultParallelism else None
+
+
+def dealt(df: DataFrame, *by: str, parts: int | None) -> DataFrame:
+    """``df`` dealt out by columns to ``parts`` (:func:`parts_for`), or to as many as adaptive execution finds fit."""
+    return df.repartition(*by) if parts is None else df.repartition(parts, *by)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
@@ -85,11 +115,11 @@ def drop_cut(*tables: DataFrame) -> None:
         delete_path(df.sparkSession, df.stored_at)
 
 
-def bucketed(df: DataFrame, key: str) -> DataFrame:
-    """``df`` as a table in buckets of ``key``, as many as the session has shuffle partitions: joins and sums by ``key`` leave it where it lies."""
+def bucketed(df: DataFrame, key: str, parts: int | None = None) -> DataFrame:
+    """``df`` as a table in buckets of ``key``, ``parts`` or as many as the session has shuffle partitions: joins and sums by ``key`` leave it where it lies."""
     spark = df.sparkSession
     name = f"graphquarry_{uuid.uuid4().hex}"
-    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).sortBy(key).option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+    df.write.bucketBy(parts or int(spark.conf.get("spark.sql.shuffle.partitions")), key).sortBy(key).option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
     out = spark.table(name)
     out.stored_as = name
     return out

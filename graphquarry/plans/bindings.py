@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.state import if_small
+from ..operators.state import dealt, if_small, parts_for
 
 NATION, SUPPLIER, CUSTOMER, PART = 1000, 1_000_000_000, 2_000_000_000, 3_000_000_000
 
@@ -42,6 +42,8 @@ def uses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(src, dst, line)``."""
     items = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber")
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    if parts := parts_for(items):  # sorts of a task stay as small, however many rows there are
+        items, orders = dealt(items, "l_orderkey", parts=parts), dealt(orders, "o_orderkey", parts=parts)
     return items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select((_long("o_custkey") + CUSTOMER).alias("src"), (_long("l_suppkey") + SUPPLIER).alias("dst"), F.col("l_linenumber").alias("line"))
 
 
