@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .state import Seen, bucketed, cut, dealt, drop_bucketed, drop_cut, parts_for
+from .state import Seen, bucketed, cut, dealt, drop_bucketed, drop_cut, if_small, parts_for
 
 
 def _levels(depth: int | None):
@@ -66,7 +66,9 @@ def closure(edges: DataFrame, depth: int | None = None) -> DataFrame:
 
 def weighted(uses: DataFrame) -> DataFrame:
     """Uses per pair, without self-edges: ``(src, dst, n)``."""
-    return uses.filter("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
+    uses = uses.filter("src <> dst")
+    parts = parts_for(uses)
+    return (uses if parts is None else dealt(uses, "src", "dst", parts=parts)).groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
 def uses_with_lines(uses: DataFrame) -> DataFrame:
@@ -89,7 +91,8 @@ class Ranking:
     """The tables of a rank computation, in buckets of a node's id.
 
     ``shares (src, dst, share)`` lie in the buckets of ``src``, ``ranks (id,
-    rank)`` in those of ``id``, as many as the session has shuffle partitions.
+    rank)`` in those of ``id``, as many as the session has shuffle partitions, or more if
+    there are many edges (:func:`parts_for`).
     So a round joins ranks with edges where they lie, and moves only partial
     sums, by target: one exchange. Each node has a row to itself without a
     share, which carries its rank over, so no other join is needed. Edges of
@@ -102,24 +105,28 @@ class Ranking:
 
     def __init__(self, nodes: DataFrame, edges: DataFrame, damping: float):
         spark, self.damping = nodes.sparkSession, damping
-        parts = spark.conf.get("spark.sql.shuffle.partitions")
         ids = cut(nodes.select(F.col("id").cast("long").alias("id")).filter("id is not null").distinct())
         known = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), "n").filter("src <> dst and n > 0")
-        known = known.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+        few_ids = if_small(ids)
+        known = known.join(few_ids.withColumnRenamed("id", "src"), "src", "left_semi").join(few_ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+        if few_ids is ids and (many := parts_for(known)):  # else they lie as they did before the joins
+            known = dealt(known, "src", "dst", parts=many)
         held = cut(known.groupBy("src", "dst").agg(F.sqrt(F.sum("n")).alias("w")))
+        parts = parts_for(held) or int(spark.conf.get("spark.sql.shuffle.partitions"))
         out = cut(held.groupBy("src").agg(F.sum("w").alias("out"), F.count("*").alias("n")))
         self.count = ids.count()
-        self.hubs = cut(out.join(F.broadcast(out.agg(F.sum("n").alias("all"))), F.col("n") * HUB_SHARE * int(parts) > F.col("all")).select("src"))
+        self.hubs = cut(out.join(F.broadcast(out.agg(F.sum("n").alias("all"))), F.col("n") * HUB_SHARE * parts > F.col("all")).select("src"))
         self.has_hubs = not self.hubs.isEmpty()
         shares = held.join(out.select("src", "out"), "src").select("src", "dst", (F.col("w") / F.col("out")).alias("share"))
         few = F.broadcast(self.hubs)
         own = ids.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(None).cast("double").alias("share"))
-        tables = [bucketed(shares.join(few, "src", "left_anti").union(own).repartition(int(parts), "src"), "src"), bucketed(ids.select("id", F.lit(1.0 / max(self.count, 1)).alias("rank")).repartition(int(parts), "id"), "id")]
+        tables = [bucketed(shares.join(few, "src", "left_anti").union(own).repartition(parts, "src"), "src", parts), bucketed(ids.select("id", F.lit(1.0 / max(self.count, 1)).alias("rank")).repartition(parts, "id"), "id", parts)]
         self.hub_shares = cut(shares.join(few, "src", "left_semi"))
         drop_cut(ids, held, out)
         # a session of its own: a job of many equal rounds has nothing that would be planned anew on the way
         self.side = spark.newSession()
-        self.side.conf.set("spark.sql.shuffle.partitions", parts)
+        self.side.conf.set("spark.sql.shuffle.partitions", str(parts))
+        self.parts = parts
         self.side.conf.set("spark.sql.adaptive.enabled", "false")
         self.side.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
         self.shares, self.first = (self.inside(t) for t in tables)
@@ -162,7 +169,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
         for _ in range(1 if work.has_hubs else min(at_once, left)):  # hubs' ranks are read apart, so each round is written
             new, moved = work.next(new)
             seen.append(moved)
-        written = bucketed(new, "id")
+        written = bucketed(new, "id", work.parts)
         drop_bucketed(ranks)
         ranks, left = written, left - len(seen)
         if any(o.get["moved"] < tolerance * o.get["all"] for o in seen):

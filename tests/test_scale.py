@@ -37,3 +37,27 @@ def test_search_over_many_buckets(spark, edges):
         seen |= dict.fromkeys(level, k)
     got = graph.bfs(spark.createDataFrame([(5,)], "id long"), edges, 3)
     assert {r["id"]: r["level"] for r in got.collect()} == seen
+
+
+def test_uses_are_added_up_in_as_many_partitions(spark, edges):
+    added = graph.weighted(edges)
+    assert added.rdd.getNumPartitions() >= 12
+    assert pairs(added) == [x for x in pairs(edges) if x[0] != x[1]] and added.agg(F.sum("n")).first()[0] == edges.filter("src <> dst").count()
+
+
+def test_ranks_in_as_many_buckets(spark, edges):
+    uses, nodes = graph.weighted(edges), spark.range(-900, 900)
+    work = graph.Ranking(nodes, uses, 0.85)
+    for table in (work.shares, work.first):
+        said = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE EXTENDED {table.stored_as}").collect()}
+        assert int(said["Num Buckets"]) >= 12
+    new, moved = work.next(work.first)
+    got = {r["id"]: r["rank"] for r in new.collect()}
+    out, flow = {}, {k: 0.0 for k in range(-900, 900)}
+    rows = [(r["src"], r["dst"], r["n"] ** 0.5) for r in uses.collect()]
+    for a, _, w in rows:
+        out[a] = out.get(a, 0.0) + w
+    for a, b, w in rows:
+        flow[b] += w / out[a] / 1800
+    assert got == pytest.approx({k: 0.15 / 1800 + 0.85 * x for k, x in flow.items()}, abs=1e-12)
+    assert moved.get["all"] == pytest.approx(sum(got.values()))
