@@ -46,10 +46,11 @@ def bfs(seeds: DataFrame, edges: DataFrame, depth: int | None = None) -> DataFra
     return seen.all()
 
 
-def closure(edges: DataFrame, depth: int | None = None) -> DataFrame:
-    """``(src, dst, depth)``: all pairs connected in at most ``depth`` steps (none: in any number), with the fewest."""
+def closure(edges: DataFrame, depth: int | None = None, sources: DataFrame | None = None) -> DataFrame:
+    """``(src, dst, depth)``: all pairs connected in at most ``depth`` steps (none: in any number), with the fewest; those from ``sources`` (``id``) only, if given."""
     edges = kept(edges.filter("src <> dst"))
-    frontier = cut(edges.withColumn("depth", F.lit(1)))
+    first = edges if sources is None else edges.join(if_small(sources.select(F.col("id").alias("src"))), "src", "left_semi")
+    frontier = cut(first.withColumn("depth", F.lit(1)))
     seen = Seen(frontier)
     step = edges.select(F.col("src").alias("by"), F.col("dst").alias("far"))
     for level in _levels(None if depth is None else depth - 1):

@@ -47,7 +47,7 @@ def candidates(symbols: DataFrame, seeds: DataFrame, edges: DataFrame, ranks: Da
     near = expand(seeds, related, symbols, edges, hops)
     top = ranks.agg(F.max("rank")).first()[0] or 1.0
     kind = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in KIND_WEIGHT.items() for x in kv)), F.col("kind")), F.lit(0.3))
-    joined = symbols.filter(~F.col("kind").isin("namespace", "module")).join(near, "id").join(nested_in_function(symbols), "id", "left_anti").join(ranks.select("id", "rank"), "id", "left").withColumn("rank", F.coalesce("rank", F.lit(0.0)))
+    joined = symbols.filter(~F.col("kind").isin("namespace", "module")).join(near, "id").join(nested_in_function(symbols, near), "id", "left_anti").join(ranks.select("id", "rank"), "id", "left").withColumn("rank", F.coalesce("rank", F.lit(0.0)))
     test = F.when(F.col("test") & F.lit(not tests), F.lit(TEST_WEIGHT)).otherwise(F.lit(1.0))
     score = F.pow(F.lit(0.5), "hops") * (0.7 + 0.3 * F.col("rank") / F.lit(float(top))) * kind * test
     return drop_copies(joined.withColumn("score", score), ["qualified_name", "signature"], [F.desc("score"), "hops", "id"], CANDIDATES)
@@ -59,7 +59,7 @@ def described(symbols: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame
     sized = lambda df: df.withColumn("h1", size(1)).withColumn("h2", size(2)).withColumn("d", F.when(F.col("doc") != "", text.utf16_length(text.entry_doc(F.col("doc")))))
     has = symbols.filter("parent_id is not null").select(F.col("parent_id").alias("id")).distinct().withColumn("__has", F.lit(True))
     out = sized(rows).join(has, "id", "left").withColumn("members", F.col("kind").isin(*TYPES) & F.coalesce("__has", F.lit(False))).drop("__has")
-    up = closure(symbols.filter("parent_id is not null").select(F.col("id").alias("src"), F.col("parent_id").alias("dst"))).join(rows.select(F.col("id").alias("src")), "src", "left_semi")
+    up = closure(symbols.filter("parent_id is not null").select(F.col("id").alias("src"), F.col("parent_id").alias("dst")), sources=rows)
     above = sized(symbols.filter(~F.col("kind").isin("namespace", "module"))).select(F.col("id").alias("dst"), "parent_id", "path", "start_line", "h1").join(up, "dst")
     return out, above.select(F.col("src").alias("id"), "depth", F.struct(F.col("dst").alias("id"), "path", "start_line", "h1").alias("above"))
 

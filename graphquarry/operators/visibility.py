@@ -61,7 +61,7 @@ def ancestors(symbols: DataFrame, depth: int | None = None) -> DataFrame:
     return symbols.select("id").join(listed, "id", "left").withColumn("ancestors", F.coalesce("ancestors", F.array().cast("array<bigint>")))
 
 
-def nested_in_function(symbols: DataFrame) -> DataFrame:
-    """``(id)`` of symbols that a function or method encloses."""
-    inside = ancestors(symbols).select("id", F.explode("ancestors").alias("above"))
-    return inside.join(symbols.filter("kind in ('function', 'method')").select(F.col("id").alias("above")), "above", "left_semi").select("id").distinct()
+def nested_in_function(symbols: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    """``(id)`` of symbols, or of those ``among`` them (``id``), that a function or method encloses."""
+    up = closure(symbols.filter("id is not null and parent_id is not null").select(F.col("id").alias("src"), F.col("parent_id").alias("dst")), sources=among)
+    return up.join(symbols.filter("kind in ('function', 'method')").select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("id")).distinct()

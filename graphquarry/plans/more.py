@@ -10,7 +10,7 @@ from ..operators import analytics, graph, pack, relate, search
 from ..sources import sinks
 from ..streaming import watch
 from . import bindings as b
-from ..operators.state import if_small
+from ..operators.state import cut, if_small
 from .bindings import CUSTOMER, NATION, SUPPLIER, read
 from .registry import BASE, TRADE, query
 
@@ -167,7 +167,7 @@ def s9_repo_map(spark, d):
 @query()
 def s7_packed_context(spark, d):
     symbols = b.nodes(spark, d).filter("kind <> 'field'").select("id", "kind", "name", "qualified_name", F.col("name").alias("signature"), F.lit(None).cast("string").alias("doc"), F.col("kind").alias("path"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), "parent_id", F.length("qualified_name").cast("long").alias("chars"), F.lit(False).alias("test"))
-    edges = graph.weighted(b.uses(spark, d))
+    edges = cut(graph.weighted(b.uses(spark, d)))  # read four times
     ranks = edges.groupBy(F.col("dst").alias("id")).agg(F.sum("n").cast("double").alias("rank"))
     return pack.context(symbols, spark.createDataFrame([(SUPPLIER + 1,)], "id long"), edges, ranks)
 

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from graphquarry.operators import graph, state
+from graphquarry.operators import graph, pack, state, visibility
 from graphquarry.operators.state import cut
 
 
@@ -61,3 +61,27 @@ def test_ranks_in_as_many_buckets(spark, edges):
         flow[b] += w / out[a] / 1800
     assert got == pytest.approx({k: 0.15 / 1800 + 0.85 * x for k, x in flow.items()}, abs=1e-12)
     assert moved.get["all"] == pytest.approx(sum(got.values()))
+
+
+def test_closure_from_some_sources(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (7, 3), (4, 4), (None, 1)], "src long, dst long")
+    some = spark.createDataFrame([(3,), (7,), (7,), (99,), (None,)], "id long")
+    got = sorted(map(tuple, graph.closure(edges, 2, some).collect()))
+    assert got == [(3, 1, 1), (3, 2, 2), (3, 4, 1), (7, 1, 2), (7, 3, 1), (7, 4, 2)]
+    assert got == sorted(tuple(r) for r in graph.closure(edges, 2).collect() if r["src"] in (3, 7))
+
+
+def test_context_climbs_from_its_candidates_only(spark, monkeypatch):
+    """Of 2,000 methods the request is near to three, one of them inside another; what encloses the others isn't looked up."""
+    kind = F.when(F.col("id") < 10, "class").otherwise("method")
+    parent = F.when(F.col("id") == 12, 11).when(F.col("id") >= 10, F.col("id") % 10)
+    of = lambda x: F.concat(F.lit(x), F.col("id").cast("string"))
+    symbols = cut(spark.range(2000).select("id", kind.alias("kind"), of("n").alias("name"), of("q").alias("qualified_name"), of("s").alias("signature"), F.lit(None).cast("string").alias("doc"), F.lit("a.py").alias("path"), F.col("id").cast("int").alias("start_line"), F.col("id").cast("int").alias("end_line"), parent.alias("parent_id"), F.lit(40).cast("long").alias("chars"), F.lit(False).alias("test")))
+    uses = cut(spark.createDataFrame([(10, 11, 2), (10, 12, 1), (500, 600, 1)], "src long, dst long, n long"))
+    found, closure = [], graph.closure
+    for place in (pack, visibility):
+        monkeypatch.setattr(place, "closure", lambda *a, **b: found.append(closure(*a, **b)) or found[-1])
+    out = pack.context(symbols, spark.createDataFrame([(10,)], "id long"), uses, uses.select(F.col("dst").alias("id"), F.col("n").cast("double").alias("rank")), hops=1)
+    rows = {r["id"]: (r["hops"], r["seed"]) for r in out.collect()}
+    assert rows == {10: (0, True), 11: (1, False), 0: (None, False), 1: (None, False)}  # 12 is enclosed by a method
+    assert len(found) == 2 and all(df.count() <= 5 for df in found)
