@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .state import Seen, bucketed, cut, dealt, drop_bucketed, drop_cut, if_small, parts_for
+from .state import ROW_BYTES, SMALL, Seen, bucketed, cut, dealt, drop_bucketed, drop_cut, if_few, if_small, parts_for
 
 
 def _levels(depth: int | None):
@@ -108,14 +108,15 @@ class Ranking:
         spark, self.damping = nodes.sparkSession, damping
         ids = cut(nodes.select(F.col("id").cast("long").alias("id")).filter("id is not null").distinct())
         known = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), "n").filter("src <> dst and n > 0")
-        few_ids = if_small(ids)
-        known = known.join(few_ids.withColumnRenamed("id", "src"), "src", "left_semi").join(few_ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
-        if few_ids is ids and (many := parts_for(known)):  # else they lie as they did before the joins
-            known = dealt(known, "src", "dst", parts=many)
+        self.count = ids.count()
+        few_ids, many = if_few(ids, self.count), None if self.count * ROW_BYTES <= SMALL else parts_for(known)
+        spread = lambda df, *by: df if many is None else dealt(df, *by, parts=many)
+        for end in ("src", "dst"):  # ids are distinct; a semi join would be pushed below what spreads its rows
+            known = spread(known, end).join(few_ids.withColumnRenamed("id", end), end)
+        known = spread(known, "src", "dst")  # as they lay before the joins
         held = cut(known.groupBy("src", "dst").agg(F.sqrt(F.sum("n")).alias("w")))
         parts = parts_for(held) or int(spark.conf.get("spark.sql.shuffle.partitions"))
         out = cut(held.groupBy("src").agg(F.sum("w").alias("out"), F.count("*").alias("n")))
-        self.count = ids.count()
         self.hubs = cut(out.join(F.broadcast(out.agg(F.sum("n").alias("all"))), F.col("n") * HUB_SHARE * parts > F.col("all")).select("src"))
         self.has_hubs = not self.hubs.isEmpty()
         shares = held.join(out.select("src", "out"), "src").select("src", "dst", (F.col("w") / F.col("out")).alias("share"))

@@ -63,6 +63,20 @@ def test_ranks_in_as_many_buckets(spark, edges):
     assert moved.get["all"] == pytest.approx(sum(got.values()))
 
 
+def test_many_nodes_are_merged_not_broadcast(spark, edges, monkeypatch):
+    """150,000 ids are a small file, but a hash table of megabytes in each task."""
+    plans, cut = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    uses = graph.weighted(edges)
+    for most, name in ((900, "BroadcastHashJoin"), (150_000, "SortMergeJoin")):
+        plans.clear()
+        work = graph.Ranking(spark.range(-800, most), uses, 0.85)
+        joins = {k for k in ("BroadcastHashJoin", "SortMergeJoin") if k in plans[1]}
+        assert joins == {name}
+        assert pairs(work.shares.filter("share is not null")) == [x for x in pairs(edges) if x[0] != x[1] and min(x) >= -800]
+        work.drop(work.first)
+
+
 def test_closure_from_some_sources(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (7, 3), (4, 4), (None, 1)], "src long, dst long")
     some = spark.createDataFrame([(3,), (7,), (7,), (99,), (None,)], "id long")
